@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddup import op9_embedding_neardup
+from .neardup import op5_ngram_jaccard_join
 from .packing import op2_packing
+from .quality import op8_quality_classifier
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing}
+    return {
+        "op2_packing": op2_packing,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_embedding_neardup": op9_embedding_neardup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
