@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +56,13 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def words_pattern() -> str:
-    """A word is a run of anything but ASCII white space."""
-    return r"[^\x20\x09-\x0D]+"
+#: A word is a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.transform(F.array(value), use)[0]
 
 
 def crc_mod(id_col: Column, modulus: int) -> Column:
