@@ -82,6 +82,7 @@ def numbered(
     b, off = f"__{out}_bucket", f"__{out}_offset"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per (key, bucket): without keys, ``buckets`` rows in one task.
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(off)

@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddup import op9_embedding_neardup
+from .linededup import op4_line_dedup
 from .neardup import op5_ngram_jaccard_join
 from .packing import op2_packing
+from .perplexity import op10_quality_rules
 from .quality import op8_quality_classifier
+from .secrets import op7_secret_scans
+from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
+        "op4_line_dedup": op4_line_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op7_secret_scans": op7_secret_scans,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_embedding_neardup": op9_embedding_neardup,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
