@@ -11,6 +11,7 @@ from .linededup import op4_line_dedup
 from .neardup import op5_ngram_jaccard_join
 from .packing import op2_packing
 from .perplexity import op10_quality_rules
+from .pieces import op6_sentencepiece
 from .quality import op8_quality_classifier
 from .secrets import op7_secret_scans
 from .sharding import op1_sharding
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_secret_scans": op7_secret_scans,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_embedding_neardup": op9_embedding_neardup,
