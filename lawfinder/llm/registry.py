@@ -15,12 +15,14 @@ from .pieces import op6_sentencepiece
 from .quality import op8_quality_classifier
 from .secrets import op7_secret_scans
 from .sharding import op1_sharding
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_sentencepiece": op6_sentencepiece,
