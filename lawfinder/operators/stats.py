@@ -22,7 +22,7 @@ def r2(x: Column, y: Column) -> Column:
 
 def with_target(df: DataFrame, target: str) -> DataFrame:
     """Long form (feature, x, y)."""
-    return long_form(df.withColumn("y", F.col(f"`{target}`").cast("double")).drop(target), ["y"])
+    return long_form(df.withColumnRenamed(target, "__y"), ["__y"]).select("feature", "x", F.col("__y").cast("double").alias("y"))
 
 
 def univariate_r2(df: DataFrame, target: str) -> DataFrame:

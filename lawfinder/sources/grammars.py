@@ -44,13 +44,14 @@ def builtin(spark: SparkSession) -> DataFrame:
 
 def from_directory(spark: SparkSession, path: str) -> DataFrame:
     """Grammars of a folder's ``*.json`` files; the id comes from the file name, unreadable files are left out."""
-    reader = spark.read.schema(_FILE_SCHEMA + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json")
     try:
-        rows = reader.json(path).select("*", F.col("_metadata.file_name").alias("file")).where("_corrupt is null")
+        whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_name").alias("file"))
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], GRAMMAR_SCHEMA)
+    sound = whole.where(F.try_parse_json("value").isNotNull())
+    rows = sound.select(F.from_json("value", _FILE_SCHEMA).alias("g"), "file").select("g.*", "file")
     known = {r[0]: f"{r[1]} Grammar" for r in GRAMMARS}
     cid = F.regexp_replace(F.regexp_replace("file", r"\.json$", ""), "^grammar_cluster_", "")
     fallback = F.concat(F.trim(F.regexp_replace(F.coalesce("family_label", F.lit("Unnamed Grammar")), r"\s*Family\s*$", "")), F.lit(" Grammar"))
