@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import oracles
 from .embeddup import op9_embedding_neardup
 from .linededup import op4_line_dedup
 from .neardup import op5_ngram_jaccard_join
@@ -37,4 +38,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op5_ngram_jaccard_join": oracles.OP5, "op9_embedding_neardup": oracles.OP9}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
