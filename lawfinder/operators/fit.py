@@ -104,7 +104,7 @@ def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list
     """Grow linear combinations of features term by term, keeping the best few of each length.
 
     The data are read once, for the moments; every candidate is solved from
-    those. Returns complexity, loss, r2, terms and equation.
+    those. Returns complexity, loss, r2, terms, features, coefficients, intercept and equation.
     """
     names = [f.name for f in plan]
     m = moments(wide, target, names)
@@ -133,5 +133,5 @@ def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list
             loss, size, coef = found[k]
             constant = mean[-1] - coef @ mean[list(k)]
             text = " + ".join([f"{a:.6g}*({plan[i].formula})" for a, i in zip(coef, k, strict=True)] + [f"{constant:.6g}"])
-            rows.append((size, loss, float(1 - loss / cov[-1, -1]) if cov[-1, -1] > 0 else 1.0, len(k), [names[i] for i in k], text))
-    return spark.createDataFrame(rows, "complexity int, loss double, r2 double, terms int, features array<string>, equation string")
+            rows.append((size, loss, float(1 - loss / cov[-1, -1]) if cov[-1, -1] > 0 else 1.0, len(k), [names[i] for i in k], [float(a) for a in coef], float(constant), text))
+    return spark.createDataFrame(rows, "complexity int, loss double, r2 double, terms int, features array<string>, coefficients array<double>, intercept double, equation string")

@@ -115,5 +115,11 @@ def influence(uses: DataFrame, shares: DataFrame, equation_ops: DataFrame, by: l
     return per.unionByName(joint).groupBy(*by, "op").agg(F.least(F.lit(1.0), F.max("mass")).alias("influence"))
 
 
+def dominant_core(held: DataFrame, by: list[str], least: float = 0.01) -> DataFrame:
+    """(by, core): signature of the sum of an equation's formulas that carry at least ``least`` of the importance each; none for fewer than two."""
+    formulas = held.where(F.col("share") >= least).groupBy(*by).agg(F.array_sort(F.collect_list("formula")).alias("fs"))
+    return formulas.where(F.size("fs") >= 2).select(*by, text.signature(F.array_join("fs", " + ")).alias("core"))
+
+
 def with_signature(df: DataFrame, formula: str, name: str = "sig", hint: str | None = None) -> DataFrame:
     return df.withColumn(name, text.signature(F.col(formula), hint=F.col(hint) if hint else None))

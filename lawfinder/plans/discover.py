@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.transforms import adjusted_r2, confidence
-from ..operators import fit, probe, rank, similarity
+from ..operators import fit, probe, rank, similarity, stats
 from ..operators.features import selected
 from ..operators.stats import top_features, univariate_r2
 from ..sources import grammars as G
@@ -63,6 +63,32 @@ def search(spark: SparkSession, df: DataFrame, target: str, cluster_id: str, ops
     return Run(cluster_id, top_features(univariate_r2(wide, target), [f.name for f in plan]), signed, matches, agreement, candidates)
 
 
+def evidence(spark: SparkSession, df: DataFrame, target: str, run: Run, ops: DataFrame, library: DataFrame, shifts: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the best equation of a run rests on.
+
+    Returns the importance of each of its features, its agreement with the
+    grammar counting operators by the importance they carry, and its nearest
+    reference equations by itself or by its dominant core.
+    """
+    best = run.equations.orderBy("loss", "complexity").first()
+    wide, plan = selected(validated(df, target), target, grammar_functions(ops, run.cluster_id))
+    formula = {f.name: f.formula for f in plan}
+    names, weights = best["features"], best["coefficients"]
+    order = [f"__o{i}" for i in range(len(names) + 1)]
+    rows = wide.select(target, *names, *[F.col(c).alias(o) for c, o in zip([*names, target], order, strict=True)])
+    predict = lambda c: sum((F.lit(w) * c[n] for n, w in zip(names, weights, strict=True)), F.lit(best["intercept"]))
+    importance = stats.permutation_importance(rows, target, order, predict, shifts)
+    shares = stats.shares(importance)
+    known = spark.createDataFrame([(best["equation_id"], n, formula[n]) for n in names], "equation_id int, feature string, formula string")
+    signed = known.withColumn("sig", text.signature(F.col("formula")))
+    one = run.equations.where(F.col("equation_id") == best["equation_id"])
+    binary = one.select("equation_id", F.explode("sig.operators").alias("op"))
+    carried = similarity.influence(signed.select("equation_id", "feature", F.concat("sig.operators", "sig.functions").alias("ops")), shares, binary, ["equation_id"])
+    agreed = similarity.compatibility(used_ops(one, ["equation_id"]), ops, ["equation_id"], carried)
+    core = similarity.dominant_core(signed.join(shares, "feature"), ["equation_id"])
+    return importance, agreed, similarity.top_similar(one.join(core, "equation_id", "left"), library)
+
+
 def auto_probe(spark: SparkSession, df: DataFrame, target: str, library: DataFrame, grammars: DataFrame | None = None) -> tuple[DataFrame, Run]:
     """Fast probe of all grammars, then a search under the winner."""
     grammars = grammars if grammars is not None else G.builtin(spark)

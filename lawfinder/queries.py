@@ -248,7 +248,8 @@ def formula_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, plan = features.selected(_law(spark, sf_dir), LAW)
-    return _rounded(fit.forward_search(spark, wide, LAW, plan, most_terms=3), "loss", "r2")
+    found = fit.forward_search(spark, wide, LAW, plan, most_terms=3)
+    return _rounded(found.select("complexity", "loss", "r2", "terms", "features", "equation"), "loss", "r2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -197,8 +197,11 @@ def test_whole_analyses(spark, hall_petch):
     known = library.textbook(spark).cache()
     scores, run = discover.auto_probe(spark, hall_petch, "sigma", known)
     assert scores.where("wins").first()["cluster_id"] == run.cluster_id == "7"
-    best = run.candidates.orderBy("loss").first()
+    best = run.candidates.orderBy("loss", "complexity").first()
     assert best["r2"] > 0.9999 and 0 < best["compatibility"] <= 1 and best["reference_name"] != "Unknown"
+    operators = grammars.operator_table(grammars.builtin(spark))
+    importance, agreed, near = discover.evidence(spark, hall_petch, "sigma", run, operators, known)
+    assert importance.agg(F.max("importance")).first()[0] > 0.1 and 0 < agreed.first()["compatibility"] <= best["compatibility"] + 1e-9 and near.count() == 5
     shown = discover.report(run)
     assert "Grammar C7" in shown and "Equation 1" in shown
     few = grammars.builtin(spark).where(F.col("cluster_id").isin("0", "4", "7", "8"))
