@@ -49,6 +49,11 @@ def granted(asked: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out
 
 
+def _buckets(rows: int) -> int:
+    """Hash buckets in which rows are numbered, of about half a million rows each."""
+    return max(256, rows // 500_000)
+
+
 def _grid(rows: list, shards: int) -> np.ndarray:
     out = np.zeros((shards, shards), dtype=np.int64)
     for r in rows:
@@ -67,7 +72,7 @@ def propagated(linked: DataFrame, quota: np.ndarray, rounds: int) -> DataFrame:
     """Shards of linked rows after label propagation under quotas."""
     shards, size = len(quota), max(1, int(quota.min()))
     total = linked.count()
-    index = numbered(linked, [], [F.col("doc_id"), F.col("link")], "at", buckets=256)
+    index = numbered(linked, [], [F.col("doc_id"), F.col("link")], "at", buckets=_buckets(total))
     state = cut(index.withColumn("shard", (F.col("at") % shards).cast("int")).drop("at"))
     quiet = 0
     for number in range(rounds):
@@ -117,13 +122,13 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = propagated(base.join(several, "link", "left_semi"), quota, rounds)
     alone = base.join(several, "link", "left_anti")
     left = np.cumsum(quota - _loads(linked, shards))
-    index = numbered(alone, [], [F.col("doc_id")], "at", buckets=256)
+    index = numbered(alone, [], [F.col("doc_id")], "at", buckets=_buckets(total))
     shard: Column = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):
         shard = F.when(F.col("at") < int(left[s]), F.lit(s)).otherwise(shard)
     filled = index.withColumn("shard", shard).drop("at")
     placed = linked.select(*base.columns, "shard").unionByName(filled.select(*base.columns, "shard"))
-    return numbered(cut(placed), ["shard"], [F.col("doc_id")], "slot", buckets=256)
+    return numbered(cut(placed), ["shard"], [F.col("doc_id")], "slot", buckets=_buckets(total // shards))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
