@@ -51,18 +51,15 @@ def transform_r2_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.transform_matrix(_lines(spark, sf_dir), TARGET), "r2")
 
 
-def _probe(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
-    known = grammars.builtin(spark)
-    rows = _lines(spark, sf_dir) if target == TARGET else _law(spark, sf_dir).drop(TARGET)
-    return probe.fast_probe(rows, target, known, grammars.operator_table(known))
-
-
 def fast_probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_probe(spark, sf_dir, TARGET).select("cluster_id", "score"), "score")
+    ops = grammars.operator_table(grammars.builtin(spark))
+    return _rounded(probe.grammar_scores(stats.transform_matrix(_lines(spark, sf_dir), TARGET), ops), "score")
 
 
 def fast_probe_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_probe(spark, sf_dir, LAW).where("wins").select("cluster_id", "score", "equation_count"), "score")
+    known = grammars.builtin(spark)
+    found = probe.fast_probe(_law(spark, sf_dir).drop(TARGET), LAW, known, grammars.operator_table(known))
+    return _rounded(found.where("wins").select("cluster_id", "score", "equation_count"), "score")
 
 
 def engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
