@@ -203,8 +203,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     known = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column), F.col("label").cast("int").alias("label")).dropDuplicates([id_column])
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(LABELLED / max(1, sizes.get(1, 0)))).otherwise(F.lit(LABELLED / max(1, sizes.get(0, 0))))
-    drawn = known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < share * (1 << 20))
-    lexicon = learned_lexicon(docs.select(id_column, "text").join(drawn, id_column))
+    drawn = known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * LABELLED)
+    # About 2 * LABELLED ids, and by the limit never over 3 * LABELLED, so they go to the texts.
+    lexicon = learned_lexicon(docs.select(id_column, "text").join(F.broadcast(drawn), id_column))
 
     votes = cut(voted(docs, lexicon, [id_column]))
     voters = len(dict.fromkeys([f" {w} " for w in SEEDS] + lexicon)) + len(PATTERNS) + 1
