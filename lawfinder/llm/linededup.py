@@ -87,7 +87,8 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataF
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))))).alias("deleted_lines"),
         F.array_sort(F.collect_set("source_id")).alias("source_ids"),
     )
-    joined = _keyed(docs).join(cut(gone), _NODE, "left").drop("text_hash")
+    # What is deleted grows with the documents: it meets them in a shuffle, at any size.
+    joined = _keyed(docs).join(cut(gone).hint("merge"), _NODE, "left").drop("text_hash")
     lines = F.split("text", "\n")
     rest = bound(
         F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted_lines")).alias("kept")),

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -94,29 +95,28 @@ def learned_lexicon(rows: DataFrame, most: int = VOTERS, support: int = SUPPORT,
     return [r["feature"] for r in good.orderBy(F.desc(bound), "feature").limit(most).collect()]
 
 
-def voted(docs: DataFrame, lexicon: list[str], id_columns: list[str]) -> DataFrame:
-    """Id columns and the sorted numbers of the voters that speak for each text."""
+def votes_of(text: Column, lexicon: list[str]) -> Column:
+    """The sorted numbers of the voters that speak for a text."""
     terms = [*dict.fromkeys([f" {w} " for w in SEEDS] + lexicon)]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_columns).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def speak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for k, term in enumerate(terms):
             automaton.add_word(term, k)
         automaton.make_automaton()
+
+        def votes(text: str | None) -> list[int]:
+            found = {k for _, k in automaton.iter(plain(text))}
+            found |= {len(terms) + k for k, p in enumerate(PATTERNS.values()) if p.search(text or "")}
+            return sorted(found) or [len(terms) + len(PATTERNS)]
+
         for batch in batches:
-            votes = []
-            for text in batch["text"]:
-                speak = {k for _, k in automaton.iter(plain(text))}
-                speak |= {len(terms) + k for k, p in enumerate(PATTERNS.values()) if p.search(text or "")}
-                votes.append(sorted(speak) or [len(terms) + len(PATTERNS)])
-            out = batch[id_columns].copy()
-            out["votes"] = votes
-            yield out
+            yield batch.map(votes)
 
-    return docs.select(*id_columns, "text").mapInPandas(run, schema=f"{types}, votes array<int>")
+    return speak(text)
 
 
 class LabelModel:
@@ -198,8 +198,31 @@ def fitted_label_model(patterns: DataFrame, voters: int, rounds: int = ROUNDS) -
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Add ``score`` to the documents' id; ``labels`` has doc_id and label (0 or 1) to learn from."""
+@dataclass
+class Scorer:
+    """A fitted classifier: its lexicon, and the slope of each voter."""
+
+    lexicon: list[str]
+    slopes: np.ndarray
+    base: float
+
+    def of_votes(self, votes: Column) -> Column:
+        slopes, base = self.slopes, self.base
+
+        @F.pandas_udf("double")
+        def probability(v: pd.Series) -> pd.Series:
+            z = base + np.array([slopes[x].sum() for x in v])
+            return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+        return probability(votes)
+
+    def of_documents(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """All columns of the documents with their score; a narrow pass over the texts, without a join."""
+        return docs.withColumn(name, self.of_votes(votes_of(F.col("text"), self.lexicon)))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, Scorer | None]:
+    """Votes of all documents, and the classifier trained on them; none for an empty table."""
     known = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column), F.col("label").cast("int").alias("label")).dropDuplicates([id_column])
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(LABELLED / max(1, sizes.get(1, 0)))).otherwise(F.lit(LABELLED / max(1, sizes.get(0, 0))))
@@ -207,11 +230,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     # About 2 * LABELLED ids, and by the limit never over 3 * LABELLED, so they go to the texts.
     lexicon = learned_lexicon(docs.select(id_column, "text").join(F.broadcast(drawn), id_column))
 
-    votes = cut(voted(docs, lexicon, [id_column]))
+    votes = cut(docs.select(id_column, votes_of(F.col("text"), lexicon).alias("votes")))
     voters = len(dict.fromkeys([f" {w} " for w in SEEDS] + lexicon)) + len(PATTERNS) + 1
     patterns = cut(votes.join(known, id_column, "left").groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")))
     if patterns.isEmpty():
-        return votes.select(id_column, F.lit(0.0).alias("score"))
+        return votes, None
     model = fitted_label_model(patterns, voters)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,14 +250,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
     rows = cut(patterns.mapInPandas(examples, schema="label double, mass double, x array<double>").where("mass > 0"))
     trained = LogisticRegression(maxIter=60, regParam=2e-5, standardization=False, weightCol="mass", featuresCol="x").fit(rows.withColumn("x", array_to_vector("x")))
-    slopes, base = trained.coefficients.toArray(), float(trained.intercept)
+    return votes, Scorer(lexicon, trained.coefficients.toArray(), float(trained.intercept))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The documents' id and ``score``; ``labels`` has doc_id and label (0 or 1) to learn from."""
+    votes, scorer = fitted(docs, labels, id_column)
+    return votes.select(id_column, (F.lit(0.0) if scorer is None else scorer.of_votes(F.col("votes"))).alias("score"))
 
-    @F.pandas_udf("double")
-    def probability(v: pd.Series) -> pd.Series:
-        z = base + np.array([slopes[x].sum() for x in v])
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return votes.select(id_column, probability("votes").alias("score"))
+def with_toxicity(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """All columns of the documents and their score; texts are read again rather than shuffled."""
+    _, scorer = fitted(docs, labels)
+    return docs.withColumn(name, F.lit(0.0)) if scorer is None else scorer.of_documents(docs, name)
 
 
 def _held_out(modulus: int = 3, fold: int = 1) -> Column:
