@@ -16,15 +16,13 @@ from lawfinder.llm.linededup import deduplicated
 from lawfinder.llm.neardup import near_duplicates
 from lawfinder.llm.packing import pack
 from lawfinder.llm.secrets import redacted
-from lawfinder.llm.toxicity import THRESHOLD, score_toxicity
+from lawfinder.llm.toxicity import THRESHOLD, with_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic. Labels of all rows teach the classifier."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    scores = score_toxicity(docs, labels)
-    toxic = scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    return with_toxicity(docs, labels, "__score").where(F.col("__score") < THRESHOLD).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near duplicates."""
-    dropped = near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct()
+    # Dropped ids grow with the documents: they meet in a shuffle, at any size.
+    dropped = near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct().hint("merge")
     return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
