@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,11 +48,22 @@ class PieceTrie:
 
     def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int], unigram: bool = False):
         self.scores, self.ids, self.byte_ids, self.unigram = scores, ids, byte_ids, unigram
-        self.longest = max(map(len, scores), default=1)
+        tails: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                tails.setdefault(piece[-2:], set()).add(len(piece))
+        #: Lengths of the pieces that end with two characters, longest first.
+        self.lengths = {tail: sorted(found, reverse=True) for tail, found in tails.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.texts = {i: p.encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def shared(path: str) -> PieceTrie:
+        """The codec of a file that all tasks of a Python worker use, with what it remembers."""
+        return PieceTrie.from_file(path)
+
     @classmethod
     def from_file(cls, path: str, unigram: bool = False) -> PieceTrie:
         import sentencepiece
@@ -88,18 +100,21 @@ class PieceTrie:
 
     def _step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
         """Extend the forward pass by the character before ``end``."""
-        scores = self.scores
         chosen, top = word[end - 1], -np.inf
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            score = scores.get(piece)
-            if score is None and end - start > 1:
+        if self.unigram:
+            top = best[end - 1] + self.scores.get(chosen, -1e4)
+        for length in self.lengths.get(word[max(0, end - 2) : end], ()):
+            if length > end:
+                continue
+            piece = word[end - length : end]
+            score = self.scores.get(piece)
+            if score is None:
                 continue
             if self.unigram:
-                total = best[start] + (score if score is not None else -1e4)
+                total = best[end - length] + score
                 if total > top:
                     chosen, top = piece, total
-            elif start == 0 or self.apart(last[start], piece):
+            elif length == end or self.apart(last[end - length], piece):
                 chosen = piece
                 break
         last.append(chosen)
@@ -152,7 +167,7 @@ def coded(docs: DataFrame, model_path: str, with_ids: bool = True, with_text: bo
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = PieceTrie.from_file(model_path)
+        codec = PieceTrie.shared(model_path)
         for batch in batches:
             size = batch["text"].str.len().fillna(0).cumsum() // TOGETHER
             for _, part in batch.groupby(size, sort=False):
