@@ -3,7 +3,10 @@
 A modified Kneser-Ney model of folded characters is counted by Spark over all
 documents, one model per language, and kept as sorted arrays of n-gram keys
 with their log probabilities. A document whose perplexity lies outside its
-language's band is rejected, as is one that fails a base rule.
+language's band is rejected, as is one that fails a base rule. A band is cut
+from the documents labelled clean, so that it rejects ``FALSE_REJECTION`` of
+them; all labelled rows are used alike. A language with too few of them gets
+a fence around the quartiles of its documents that pass the base rules.
 
 Characters fold to 40 symbols (letters without case and accents, digits as
 one, white space, kinds of marks), so an order-4 model has at most 40**4 =
@@ -12,8 +15,9 @@ one, white space, kinds of marks), so an order-4 model has at most 40**4 =
 
 Defined cases: a null text counts as empty; a text without words has no
 perplexity and fails the base rules; a null language is a language of its
-own; repeated rows are counted and judged each; an empty table gives no rows;
-further columns are ignored.
+own; repeated rows are counted and judged each; labels of one id that differ
+do not call it clean; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from .textstats import mixed, word_bounds, word_hashes
 SYMBOLS = 40
 ORDER = 4
 MOST_MODELS = 32
-#: A band reaches this many interquartile ranges of log perplexity beyond the quartiles.
-BAND = 6.0
-#: And at least by this factor of perplexity, however alike a language's documents are.
-LEAST_FACTOR = 2.0
+#: The share of clean documents that a band may reject, half of it on either side.
+FALSE_REJECTION = 0.01
+#: Documents labelled clean from which a language's band is cut, at least.
+FEWEST_CLEAN = 100
+#: With fewer, a band reaches this many interquartile ranges of log perplexity beyond the quartiles.
+BAND = 3.0
 FEWEST_WORDS = 50
 POOLED_NAME = "*"
 
@@ -177,8 +183,11 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, marks, len(lines) - len(set(lines)), repeated
 
 
-def judged(docs: DataFrame, order: int = ORDER, band: float = BAND) -> DataFrame:
-    """One row per document: base counts, perplexity, band and verdicts."""
+def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: DataFrame | None = None, false_rejection: float = FALSE_REJECTION) -> DataFrame:
+    """One row per document: base counts, perplexity, band and verdicts.
+
+    ``labels`` has doc_id and quality, 1 for clean documents.
+    """
     spark = docs.sparkSession
     common = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_MODELS).collect()]
     named = F.coalesce(F.col("lang"), F.lit(""))
@@ -219,14 +228,23 @@ def judged(docs: DataFrame, order: int = ORDER, band: float = BAND) -> DataFrame
     scored = cut(texts.mapInPandas(run, schema="doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double").withColumn("log_ppl", F.nanvl("log_ppl", F.lit(None).cast("double"))))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marked = scored.withColumn("base_failed", failed)
+    sound = marked.where(~F.col("base_failed")).select("doc_id", "model", "log_ppl")
     quarter = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    bands = marked.where(~F.col("base_failed")).groupBy("model").agg(quarter.alias("q"))
-    reach = F.greatest((F.col("q")[1] - F.col("q")[0]) * band, F.lit(math.log(LEAST_FACTOR)))
-    limits = F.broadcast(bands.select("model", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper")))  # at most MOST_MODELS + 1 rows
+    reach = (F.col("q")[1] - F.col("q")[0]) * band
+    bands = sound.groupBy("model").agg(quarter.alias("q")).select("model", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    if labels is not None:
+        clean = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1")
+        sides = F.percentile_approx("log_ppl", F.array(F.lit(false_rejection / 2), F.lit(1 - false_rejection / 2)), 10000)
+        fitted_on = sound.where("log_ppl is not null").join(clean.select("doc_id"), "doc_id", "left_semi")
+        own_bands = fitted_on.groupBy("model").agg(sides.alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST_CLEAN)
+        bands = bands.join(F.broadcast(own_bands), "model", "left").select(
+            "model", F.coalesce(F.col("s")[0], F.col("lower")).alias("lower"), F.coalesce(F.col("s")[1], F.col("upper")).alias("upper")
+        )
+    limits = F.broadcast(bands)  # at most MOST_MODELS + 1 rows
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return marked.join(limits, "model", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(table(spark, sf_dir, "documents"))
+    found = judged(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.exp("log_ppl").alias("perplexity"))

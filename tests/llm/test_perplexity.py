@@ -56,3 +56,16 @@ def test_model_is_a_distribution():
 
 def test_empty_table(spark):
     assert judged(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_band_rejects_labelled_junk(spark):
+    rng = random.Random(8)
+    vocab = ["the", "river", "stone", "walks", "quietly", "under", "evening", "light", "again", "with", "many", "birds"]
+    menu = ["home", "login", "cart", "share", "next", "terms", "about", "help"]
+    clean = [(i, " ".join(rng.choice(vocab) for _ in range(200)), "en") for i in range(600)]
+    junk = [(1000 + i, " ".join(rng.choice(menu if rng.random() < 0.7 else vocab) for _ in range(200)), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in clean] + [(i, 0) for i, *_ in junk], "doc_id long, quality int")
+    found = judged(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string"), labels=labels).where("not base_failed").collect()
+    out = [r["doc_id"] for r in found if not r["kept"]]
+    assert len(found) == 660
+    assert sum(i >= 1000 for i in out) >= 54 and sum(i < 1000 for i in out) <= 8
