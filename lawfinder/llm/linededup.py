@@ -7,6 +7,11 @@ with ``REACH`` words share one at the same place. Each fingerprint is joined
 to its first occurrence, the match is extended line by line both ways, and
 the later of the two runs is deleted. Documents are in order of doc_id.
 
+A first occurrence may hold less of a run than a later one does. So besides,
+the shortest run of ``REACH`` words or more from each line on is looked up
+among all such runs, and goes where it also stands earlier, in whatever
+document that is.
+
 Everything is DataFrame expressions: there is no Python on the rows.
 
 Defined cases: lines without words are no units, and go with a run that
@@ -34,13 +39,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text"))
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
-    """doc_id, text_hash, pos and hash of each fingerprint, with the lines before and after it."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """The lines with words of each document: pos, hash h, words w, and words before it s."""
     lines = _keyed(docs).select(*_NODE, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     units = lines.select(*_NODE, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
     dealt = units.repartition(*_NODE).dropDuplicates([*_NODE, "pos"])
+    before = Window.partitionBy(*_NODE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("s", F.sum("w").over(before) - F.col("w"))
+
+
+def fingerprints(at: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+    """doc_id, text_hash, pos and hash of each fingerprint of the placed lines, with the lines before and after it."""
     inside = Window.partitionBy(*_NODE)
-    at = dealt.withColumn("s", F.sum("w").over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
     span = lambda a, b: inside.orderBy("s").rangeBetween(a, b)
     line = F.struct("h", "pos")
     grams = at.select(
@@ -62,9 +72,9 @@ def _common(a: Column, b: Column) -> Column:
         F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & x).alias("on")), lambda s: s["n"])
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def repeated_runs(at: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """The later runs: doc_id, text_hash, first and last line, and the doc_id of the first occurrence."""
-    found = cut(fingerprints(docs, gram, reach))
+    found = cut(fingerprints(at, gram, reach))
     place = F.struct("doc_id", "text_hash", "pos")
     firsts = found.groupBy("g").agg(F.min(F.struct(*_NODE, "pos", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = found.join(cut(firsts.select("g", "first")), "g").where(place != F.struct("first.doc_id", "first.text_hash", "first.pos"))
@@ -76,15 +86,34 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> Data
     return sized.where("ahead > 0").select(*_NODE, start.alias("first_line"), end.alias("last_line"), "source_id")
 
 
+def long_runs(at: DataFrame, reach: int = REACH) -> DataFrame:
+    """Each shortest run of ``reach`` words or more that also stands earlier, in the columns of :func:`repeated_runs`."""
+    ahead = Window.partitionBy(*_NODE).orderBy("s").rangeBetween(0, reach - 1)
+    runs = at.select(
+        *_NODE, F.col("pos").alias("first_line"), F.last("pos").over(ahead).alias("last_line"),
+        F.when(F.sum("w").over(ahead) >= reach, F.xxhash64(F.collect_list("h").over(ahead))).alias("g"),
+    ).where("g is not null")
+    place = F.struct(*_NODE, "first_line")
+    found = cut(runs)
+    firsts = found.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = found.join(cut(firsts.select("g", "first")), "g").where(place != F.col("first"))
+    return later.select(*_NODE, "first_line", "last_line", F.col("first.doc_id").alias("source_id"))
+
+
 def deduplicated(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """Documents with their later repeated runs removed.
 
     Adds ``deleted_lines`` (positions) and ``source_ids`` (documents that hold
     the first occurrences), both sorted and empty where nothing repeats.
     """
-    runs = repeated_runs(docs, gram, reach)
-    gone = runs.groupBy(*_NODE).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", "last_line"))))).alias("deleted_lines"),
+    at = cut(_placed(docs))
+    runs = cut(repeated_runs(at, gram, reach).unionByName(long_runs(at, reach)))
+    # Runs overlap: each adds the lines beyond those before it.
+    before = Window.partitionBy(*_NODE).orderBy("first_line", "last_line").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.col("first_line"), F.max("last_line").over(before) + 1)
+    fresh = runs.withColumn("start", start).withColumn("fresh", F.when(F.col("start") <= F.col("last_line"), F.sequence("start", "last_line")))
+    gone = fresh.groupBy(*_NODE).agg(
+        F.array_sort(F.flatten(F.collect_list("fresh"))).alias("deleted_lines"),
         F.array_sort(F.collect_set("source_id")).alias("source_ids"),
     )
     # What is deleted grows with the documents: it meets them in a shuffle, at any size.

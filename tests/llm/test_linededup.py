@@ -69,3 +69,17 @@ def test_empty_table_and_repeated_rows(spark):
     text = "\n".join(["a b c d e f g h i j k l m n"] * 2)
     found = deduplicated(spark.createDataFrame([(1, text, 0, "x")] * 3, SCHEMA)).collect()
     assert [r["deleted_lines"] for r in found] == [[1]] * 3
+
+
+def test_parts_that_stand_alone_earlier(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"v{rng.randrange(2000)}" for _ in range(n))
+    rows = []
+    for i in range(0, 240, 4):
+        passage = [line(12) for _ in range(6)]
+        alone = [[line(20), passage[k], line(20)] for k in (1, 4)]
+        holders = [[line(20), *passage, line(20)] for _ in range(2)]
+        rows += [(i + k, "\n".join(x), 0, "x") for k, x in enumerate(alone + holders)]
+    found = {r["doc_id"]: set(r["deleted_lines"]) for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    must, may = covered(rows, REACH), covered(rows, GRAM)
+    assert all(must[i] <= found[i] <= may[i] for i in must) and sum(map(len, must.values())) == 60 * 6
