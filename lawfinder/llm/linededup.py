@@ -8,9 +8,11 @@ to its first occurrence, the match is extended line by line both ways, and
 the later of the two runs is deleted. Documents are in order of doc_id.
 
 A first occurrence may hold less of a run than a later one does. So besides,
-the shortest run of ``REACH`` words or more from each line on is looked up
-among all such runs, and goes where it also stands earlier, in whatever
-document that is.
+the shortest runs of ``REACH`` words or more from each line on, and up to
+each line, are looked up among all such runs, and go where they also stand
+earlier, in whatever document that is. Together they cover every line of a
+repeat of ``REACH`` words, and no other: its first lines lie in the run from
+its start on, each later line ends a run that lies inside.
 
 Everything is DataFrame expressions: there is no Python on the rows.
 
@@ -88,11 +90,18 @@ def repeated_runs(at: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFr
 
 def long_runs(at: DataFrame, reach: int = REACH) -> DataFrame:
     """Each shortest run of ``reach`` words or more that also stands earlier, in the columns of :func:`repeated_runs`."""
-    ahead = Window.partitionBy(*_NODE).orderBy("s").rangeBetween(0, reach - 1)
-    runs = at.select(
-        *_NODE, F.col("pos").alias("first_line"), F.last("pos").over(ahead).alias("last_line"),
-        F.when(F.sum("w").over(ahead) >= reach, F.xxhash64(F.collect_list("h").over(ahead))).alias("g"),
-    ).where("g is not null")
+    inside = Window.partitionBy(*_NODE)
+    ahead = inside.orderBy("s").rangeBetween(0, reach - 1)
+    back = inside.orderBy("e").rangeBetween(1 - reach, 0)
+
+    def run(over: Window, needed: Column) -> Column:
+        long = (F.sum("w").over(over) >= reach) & needed
+        return F.struct(F.first("pos").over(over).alias("first_line"), F.last("pos").over(over).alias("last_line"), F.when(long, F.xxhash64(F.collect_list("h").over(over))).alias("g"))
+
+    # Where the lines before it have fewer words, the run up to a line is also the run from its first line on.
+    ends = run(back, F.col("s") - F.first("s").over(back) >= reach)
+    both = at.withColumn("e", F.col("s") + F.col("w")).select(*_NODE, F.array(run(ahead, F.lit(True)), ends).alias("runs"))
+    runs = both.select(*_NODE, F.inline("runs")).where("g is not null")
     place = F.struct(*_NODE, "first_line")
     found = cut(runs)
     firsts = found.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -83,3 +83,15 @@ def test_parts_that_stand_alone_earlier(spark):
     found = {r["doc_id"]: set(r["deleted_lines"]) for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     must, may = covered(rows, REACH), covered(rows, GRAM)
     assert all(must[i] <= found[i] <= may[i] for i in must) and sum(map(len, must.values())) == 60 * 6
+
+
+def test_short_lines_after_a_long_one(spark):
+    rng = random.Random(13)
+    line = lambda n: " ".join(f"v{rng.randrange(2000)}" for _ in range(n))
+    rows = []
+    for i in range(0, 120, 2):
+        passage = [[line(60), line(5)], [line(60), *(line(10) for _ in range(4))], [line(5), line(70), "", line(3)]][i // 2 % 3]
+        rows += [(i + k, "\n".join([line(20), *passage, line(20)]), 0, "x") for k in range(2)]
+    found = {r["doc_id"]: set(r["deleted_lines"]) for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    must, own = covered(rows, REACH), {i: {p for p, _ in units(t)} for i, t, *_ in rows}
+    assert all(found[i] & own[i] == must[i] for i in must) and sum(map(len, must.values())) == 20 * (2 + 5 + 3)
