@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lawfinder.llm.common import WORD, cut, table
 from lawfinder.llm.linededup import deduplicated
-from lawfinder.llm.neardup import near_duplicates
+from lawfinder.llm.neardup import ROW, linked_rows, with_row_key
 from lawfinder.llm.packing import pack
 from lawfinder.llm.secrets import redacted
 from lawfinder.llm.toxicity import THRESHOLD, with_toxicity
@@ -34,10 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near duplicates."""
-    # Dropped ids grow with the documents: they meet in a shuffle, at any size.
-    dropped = near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct().hint("merge")
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document, that of smallest id, of each group of near duplicates, and every row without words."""
+    # Dropped rows grow with the documents: they meet in a shuffle, at any size.
+    dropped = linked_rows(docs).where("not kept").select(ROW).distinct().hint("merge")
+    alone = F.when(F.col("text").rlike(WORD), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    keyed = with_row_key(docs).withColumn("alone", alone)
+    return keyed.join(dropped, ROW, "left_anti").dropDuplicates([*ROW, "alone"]).select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ target probability. Candidates are then compared exactly on their sets.
 Defined cases: a null text or one without words has no shingles and links
 with nothing; a text of fewer than five words has one shingle of all its
 words; documents of equal sets form one copy class that is compared once and
-counted fully; rows that repeat a doc_id count as copies; further columns are
-ignored; an empty table gives no rows.
+counted fully; rows are told apart by doc_id and text, so that rows of one or
+of no doc_id with different texts are judged each by its text; rows that
+repeat doc_id and text count as copies; a class without any doc_id has a null
+id; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,8 +68,20 @@ def labels(shingles: np.ndarray, depth: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: What tells rows apart: the doc_id, 0 where there is none, and 128 bits of the text.
+ROW = ["no_id", "own_id", "t1", "t2"]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``ROW``, none of them null; ordered by doc_id, rows without one last."""
+    return docs.withColumns({
+        "no_id": F.col("doc_id").isNull(), "own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
+        "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), F.col("text")),
+    })
+
+
 def sketches(docs: DataFrame, k: int, depth: int) -> DataFrame:
-    """doc_id, the 128-bit identity of its shingle set (null without words), and its labels."""
+    """doc_id, row key, the 128-bit identity of its shingle set (null without words), and its labels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -82,9 +96,10 @@ def sketches(docs: DataFrame, k: int, depth: int) -> DataFrame:
                     high.append(None)
                     low.append(None)
                     keys.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "high": pd.array(high, dtype="Int64"), "low": pd.array(low, dtype="Int64"), "keys": keys})
+            yield pd.DataFrame({**{c: batch[c] for c in ROW}, "high": pd.array(high, dtype="Int64"), "low": pd.array(low, dtype="Int64"), "keys": keys})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema="doc_id long, high long, low long, keys array<long>")
+    found = with_row_key(docs).select(*ROW, "text").mapInPandas(run, schema="no_id boolean, own_id long, t1 long, t2 long, high long, low long, keys array<long>")
+    return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("own_id")))
 
 
 def compared(texts: list[str], weights: np.ndarray, sides: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -148,20 +163,21 @@ def _verify(rows: DataFrame, k: int, threshold: float) -> DataFrame:
     return rows.select(*cols).mapInPandas(run, schema="rep long, linked long, hub long")
 
 
-def near_duplicates(
+def linked_rows(
     docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES,
     target_recall: float = TARGET_RECALL, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: doc_id, copy_of, class_id and n_links.
+    """The columns of :func:`near_duplicates` and ``ROW`` for each row, and whether it stays.
 
-    ``copy_of`` is the smallest doc_id with the same shingle set, ``class_id``
-    the smallest doc_id reachable over links, ``n_links`` the number of other
-    documents whose Jaccard similarity is at least ``threshold``.
+    Of the rows linked with one another those of the smallest row key stay,
+    and all rows without words.
     """
     depth = shared_prefix(threshold, trees, target_recall)
     sketch = cut(sketches(docs, k, depth))
     known = sketch.where(F.col("low").isNotNull())
-    classes = cut(known.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
+    least = known.groupBy("high", "low").agg(F.min(F.struct(*ROW)).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    # Classes are numbered as they are written, so that their numbers stay.
+    classes = cut(least.withColumn("rep", F.monotonically_increasing_id()))
 
     leaves = classes.select("rep", F.posexplode("keys").alias("tree", "prefix"))
     tries = leaves.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
@@ -170,8 +186,10 @@ def near_duplicates(
 
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     placed = numbered(groups, ["grp"], [F.col("rep")], "at").withColumn("part", F.floor(F.col("at") / block).cast("int"))
-    member = cut(placed.join(cut(sizes), "grp").join(classes.select("rep", "copies"), "rep"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(member, "rep")
+    member = cut(placed.join(cut(sizes), "grp").join(classes.select("rep", "row", "copies"), "rep"))
+    # A class has one text: rows that repeat its key are one before they meet it.
+    shown = with_row_key(docs).select(*ROW, "text").dropDuplicates(ROW)
+    texts = shown.join(member.select("row.*", "grp", "part", "parts", "rep", "copies"), ROW)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = texts.withColumn("other", other).select(
         "grp", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "rep", "copies", "part", "text"
@@ -180,18 +198,38 @@ def near_duplicates(
     blocks = spread.repartition(*by).sortWithinPartitions(*by)
     links = cut(_verify(blocks, k, threshold))
 
-    joined = components(links, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    joined = cut(components(links, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("hub")))
+    stays = joined.join(classes.select("rep", "row"), "rep").groupBy("hub").agg(F.min("row").alias("stays"))
+    linked = joined.join(cut(stays), "hub").select("rep", "stays")
     counts = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     facts = cut(
-        classes.select("high", "low", "rep", "copies").join(joined, "rep", "left").join(counts, "rep", "left").select(
-            "high", "low", F.col("rep").alias("copy_of"), F.coalesce("class", "rep").alias("class_id"),
+        classes.select("high", "low", "rep", "row", "copies").join(linked, "rep", "left").join(counts, "rep", "left").select(
+            "high", "low", "row", F.coalesce("stays", "row").alias("stays"),
             (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         )
     )
-    found = known.select("doc_id", "high", "low").join(facts, ["high", "low"]).select("doc_id", "copy_of", "class_id", "n_links")
-    bare = sketch.where(F.col("low").isNull()).select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    own = lambda r: F.when(~F.col(r)["no_id"], F.col(r)["own_id"])
+    found = known.drop("keys").join(facts, ["high", "low"]).select(
+        "doc_id", own("row").alias("copy_of"), own("stays").alias("class_id"), "n_links", *ROW, (F.struct(*ROW) == F.col("stays")).alias("kept")
+    )
+    bare = sketch.where(F.col("low").isNull()).select(
+        "doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *ROW, F.lit(True).alias("kept")
+    )
     return found.unionByName(bare)
 
 
+def near_duplicates(
+    docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES,
+    target_recall: float = TARGET_RECALL, block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: doc_id, copy_of, class_id and n_links.
+
+    ``copy_of`` is the smallest doc_id with the same shingle set, ``class_id``
+    the smallest doc_id reachable over links, ``n_links`` the number of other
+    documents whose Jaccard similarity is at least ``threshold``.
+    """
+    return linked_rows(docs, k, threshold, trees, target_recall, block).select("doc_id", "copy_of", "class_id", "n_links")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -64,3 +64,15 @@ def test_run_equals_the_stages(spark, stages):
     once = pipeline.run(spark, path).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in once} == {r["doc_id"] for r in found["packing"]}
     assert key(found["packing"])
+
+
+def test_ngram_join_with_null_and_repeated_ids(spark):
+    rng = random.Random(17)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    one, two, three, four, five, six = (text() for _ in range(6))
+    near = one + " changed"
+    ids = [(None, one), (None, two), (1, three), (1, four), (2, four + " more"), (3, near), (4, five), (4, five), (None, six), (None, six)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in ids] + [(None, None, "en", "s", None), (None, None, "fr", "t", None), (5, "", "en", "s", 0), (5, "", "en", "s", 0)]
+    kept = pipeline.ngram_join(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    want = [(None, two), (1, three), (1, four), (3, near), (4, five), (None, six), (None, None), (None, None), (5, ""), (5, "")]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in kept)
