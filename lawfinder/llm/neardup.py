@@ -1,10 +1,10 @@
-"""Join of documents whose word n-grams are alike, by a MinHash LSH forest.
+"""Join of documents whose word n-grams are alike, by MinHash in fixed bands.
 
 Each document's set of 5-word shingles gets one label per tree, a sequence of
-minima of independent hash functions. In the forest's prefix tries, documents
-that share a prefix of a label are candidates. Prefixes start long and are
-shortened until every pair at the threshold shares one in some tree with the
-target probability. Candidates are then compared exactly on their sets.
+minima of independent hash functions. Documents with equal labels in some tree
+are candidates. Labels have one length, the longest at which every pair at the
+threshold shares one with the target probability; they stand in place of an LSH
+forest's prefixes. Candidates are then compared exactly on their sets.
 
 Defined cases: a null text or one without words has no shingles and links
 with nothing; a text of fewer than five words has one shingle of all its
