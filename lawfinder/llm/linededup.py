@@ -3,24 +3,26 @@
 A gram is the shortest run of lines, from each line on, with ``GRAM`` words
 or more. Among the grams that start within a window of ``REACH - GRAM`` words
 the one of least hash is a fingerprint, so that any two equal runs of lines
-with ``REACH`` words share one at the same place. Each fingerprint is joined
-to its first occurrence, the match is extended line by line both ways, and
-the later of the two runs is deleted. Documents are in order of doc_id.
-
-A first occurrence may hold less of a run than a later one does. So besides,
-the shortest runs of ``REACH`` words or more from each line on, and up to
-each line, are looked up among all such runs, and go where they also stand
-earlier, in whatever document that is. Together they cover every line of a
-repeat of ``REACH`` words, and no other: its first lines lie in the run from
-its start on, each later line ends a run that lies inside.
+with ``REACH`` words share one at the same place.
+
+Fingerprints of equal hash are matched both ways. What stands with a
+fingerprint is written as keys: one for it and each next line behind it, and
+one for each next line before it. A key's first occurrence is its source, and
+any other one repeats it, whatever document the source is in; so a match goes
+on as far as any earlier occurrence does, not only as far as the first. Lines
+up to ``REACH`` words beyond the fingerprint's line are looked at; within a
+longer repeat the next fingerprint stands among them and goes on. So each
+repeat of ``REACH`` words goes whole; of shorter ones (``GRAM`` words or more)
+those go whose fingerprints meet. Documents are in order of doc_id.
 
 Everything is DataFrame expressions: there is no Python on the rows.
 
 Defined cases: lines without words are no units, and go with a run that
 encloses them; a null or empty text has no lines with words and stays as it
 is; a run may repeat inside its own document, of which the first stays; rows
-that repeat doc_id and text are one document and change alike; an empty table
-gives no rows; further columns pass through unchanged.
+that repeat doc_id and text are one document and change alike; rows without
+doc_id take no part and stay as they are; an empty table gives no rows; further columns pass through unchanged, but for columns named as the
+two added ones, which those replace.
 """
 
 from __future__ import annotations
@@ -34,79 +36,67 @@ from .common import WORD, bound, cut, table
 #: Words of the shortest repeat that counts, and of the shortest that is always found.
 GRAM, REACH = 10, 50
 
-_NODE = ["doc_id", "text_hash"]
+_HASH = "__dedup_text_hash"
+_NODE = ["doc_id", _HASH]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64("text"))
+    return docs.withColumn(_HASH, F.xxhash64("text"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """The lines with words of each document: pos, hash h, words w, and words before it s."""
     lines = _keyed(docs).select(*_NODE, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    units = lines.select(*_NODE, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
+    units = lines.select(*_NODE, "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0 and doc_id is not null")
     dealt = units.repartition(*_NODE).dropDuplicates([*_NODE, "pos"])
     before = Window.partitionBy(*_NODE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return dealt.withColumn("s", F.sum("w").over(before) - F.col("w"))
 
 
 def fingerprints(at: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
-    """doc_id, text_hash, pos and hash of each fingerprint of the placed lines, with the lines before and after it."""
+    """doc_id, text hash, pos and hash g of each fingerprint of the placed lines, how many lines it has, and the lines after and before."""
     inside = Window.partitionBy(*_NODE)
     span = lambda a, b: inside.orderBy("s").rangeBetween(a, b)
     line = F.struct("h", "pos")
     grams = at.select(
         *_NODE, "pos", "s",
         F.when(F.sum("w").over(span(0, gram - 1)) >= gram, F.xxhash64(F.collect_list("h").over(span(0, gram - 1)))).alias("g"),
-        F.collect_list(line).over(span(0, reach)).alias("after"),
-        F.collect_list(line).over(span(-reach, -1)).alias("before"),
+        F.count("w").over(span(0, gram - 1)).cast("int").alias("lines"),
+        line.alias("line"), F.collect_list(line).over(span(0, reach)).alias("here"), F.collect_list(line).over(span(-reach, -1)).alias("before"),
     )
     low = F.min(F.when(F.col("g").isNotNull(), F.struct("g", "pos"))).over(span(0, reach - gram))
-    picked = grams.withColumn("low", low)
+    # What the next line has before it in reach starts where this line, however long, ends.
+    behind = F.coalesce(F.lead("here").over(inside.orderBy("s")), F.array().cast("array<struct<h:bigint,pos:int>>"))
+    picked = grams.select(*_NODE, "pos", "g", "lines", "before", F.concat(F.array("line"), behind).alias("after"), low.alias("low"))
     wins = picked.where("low is not null").select(*_NODE, F.col("low.pos").alias("pos")).distinct()
-    return grams.where("g is not null").join(wins, [*_NODE, "pos"]).select(*_NODE, "pos", "g", "before", "after")
+    return picked.drop("low").where("g is not null").join(wins, [*_NODE, "pos"])
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays of lines have equal hashes."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
-    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct(
-        F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & x).alias("on")), lambda s: s["n"])
+def contexts(found: DataFrame) -> DataFrame:
+    """One row per fingerprint and line it may reach: its place, the key of all between them, that line (edge), and the side."""
+    back = F.reverse("before")
+    key = lambda side, lines, k: F.xxhash64("g", F.lit(side), F.transform(F.slice(lines, F.lit(1), k), lambda x: x["h"]))
+    row = lambda side, lines, k: F.struct(key(side, lines, k).alias("key"), F.element_at(lines, k)["pos"].alias("edge"), F.lit(side).alias("side"))
+    ahead = F.transform(F.sequence("lines", F.size("after")), lambda k: row(1, F.col("after"), k))
+    behind = F.when(F.size("before") > 0, F.transform(F.sequence(F.lit(1), F.size("before")), lambda k: row(0, back, k)))
+    every = F.concat(ahead, F.coalesce(behind, F.array().cast("array<struct<key:bigint,edge:int,side:int>>")))
+    return found.select(*_NODE, "pos", F.inline(every))
 
 
 def repeated_runs(at: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
-    """The later runs: doc_id, text_hash, first and last line, and the doc_id of the first occurrence."""
+    """The later runs: doc_id, text hash, first and last line, and the doc_ids that hold earlier occurrences."""
     found = cut(fingerprints(at, gram, reach))
-    place = F.struct("doc_id", "text_hash", "pos")
-    firsts = found.groupBy("g").agg(F.min(F.struct(*_NODE, "pos", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = found.join(cut(firsts.select("g", "first")), "g").where(place != F.struct("first.doc_id", "first.text_hash", "first.pos"))
-    back = _common(F.reverse("before"), F.reverse("first.before"))
-    ahead = _common(F.col("after"), F.col("first.after"))
-    sized = pairs.select(*_NODE, "pos", "before", "after", F.col("first.doc_id").alias("source_id"), back.alias("back"), ahead.alias("ahead"))
-    start = F.when(F.col("back") > 0, F.element_at("before", -F.greatest(F.col("back"), F.lit(1)))["pos"]).otherwise(F.col("pos"))
-    end = F.element_at("after", F.greatest(F.col("ahead"), F.lit(1)))["pos"]
-    return sized.where("ahead > 0").select(*_NODE, start.alias("first_line"), end.alias("last_line"), "source_id")
-
-
-def long_runs(at: DataFrame, reach: int = REACH) -> DataFrame:
-    """Each shortest run of ``reach`` words or more that also stands earlier, in the columns of :func:`repeated_runs`."""
-    inside = Window.partitionBy(*_NODE)
-    ahead = inside.orderBy("s").rangeBetween(0, reach - 1)
-    back = inside.orderBy("e").rangeBetween(1 - reach, 0)
-
-    def run(over: Window, needed: Column) -> Column:
-        long = (F.sum("w").over(over) >= reach) & needed
-        return F.struct(F.first("pos").over(over).alias("first_line"), F.last("pos").over(over).alias("last_line"), F.when(long, F.xxhash64(F.collect_list("h").over(over))).alias("g"))
-
-    # Where the lines before it have fewer words, the run up to a line is also the run from its first line on.
-    ends = run(back, F.col("s") - F.first("s").over(back) >= reach)
-    both = at.withColumn("e", F.col("s") + F.col("w")).select(*_NODE, F.array(run(ahead, F.lit(True)), ends).alias("runs"))
-    runs = both.select(*_NODE, F.inline("runs")).where("g is not null")
-    place = F.struct(*_NODE, "first_line")
-    found = cut(runs)
-    firsts = found.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(cut(firsts.select("g", "first")), "g").where(place != F.col("first"))
-    return later.select(*_NODE, "first_line", "last_line", F.col("first.doc_id").alias("source_id"))
+    several = cut(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
+    around = cut(contexts(found.join(several, "g", "left_semi")))
+    place = F.struct(*_NODE, "pos")
+    firsts = around.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = around.join(cut(firsts.select("key", "first")), "key").where(place != F.col("first"))
+    ahead, back = F.when(F.col("side") == 1, F.col("edge")), F.when(F.col("side") == 0, F.col("edge"))
+    source = F.col("first.doc_id")
+    return later.groupBy(*_NODE, "pos").agg(
+        F.coalesce(F.min(back), F.col("pos")).alias("first_line"), F.max(ahead).alias("last_line"),
+        F.array_compact(F.array(F.max_by(source, ahead), F.min_by(source, back))).alias("sources"),
+    ).where("last_line is not null").drop("pos")
 
 
 def deduplicated(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
@@ -115,18 +105,18 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataF
     Adds ``deleted_lines`` (positions) and ``source_ids`` (documents that hold
     the first occurrences), both sorted and empty where nothing repeats.
     """
-    at = cut(_placed(docs))
-    runs = cut(repeated_runs(at, gram, reach).unionByName(long_runs(at, reach)))
+    docs = docs.drop("deleted_lines", "source_ids")
+    runs = cut(repeated_runs(cut(_placed(docs)), gram, reach))
     # Runs overlap: each adds the lines beyond those before it.
     before = Window.partitionBy(*_NODE).orderBy("first_line", "last_line").rowsBetween(Window.unboundedPreceding, -1)
     start = F.greatest(F.col("first_line"), F.max("last_line").over(before) + 1)
     fresh = runs.withColumn("start", start).withColumn("fresh", F.when(F.col("start") <= F.col("last_line"), F.sequence("start", "last_line")))
     gone = fresh.groupBy(*_NODE).agg(
         F.array_sort(F.flatten(F.collect_list("fresh"))).alias("deleted_lines"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_ids"),
     )
     # What is deleted grows with the documents: it meets them in a shuffle, at any size.
-    joined = _keyed(docs).join(cut(gone).hint("merge"), _NODE, "left").drop("text_hash")
+    joined = _keyed(docs).join(cut(gone).hint("merge"), _NODE, "left").drop(_HASH)
     lines = F.split("text", "\n")
     rest = bound(
         F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted_lines")).alias("kept")),

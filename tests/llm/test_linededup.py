@@ -95,3 +95,13 @@ def test_short_lines_after_a_long_one(spark):
     found = {r["doc_id"]: set(r["deleted_lines"]) for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     must, own = covered(rows, REACH), {i: {p for p, _ in units(t)} for i, t, *_ in rows}
     assert all(found[i] & own[i] == must[i] for i in must) and sum(map(len, must.values())) == 20 * (2 + 5 + 3)
+
+
+def test_column_clashes_and_missing_ids(spark):
+    text = "\n".join(" ".join(f"w{i}_{k}" for k in range(20)) for i in range(4))
+    rows = [(None, text, "a", [9], [1]), (1, text, "d", None, None), (2, text, "b", None, None), (None, None, "c", None, None)]
+    schema = "doc_id long, text string, text_hash string, deleted_lines array<int>, source_ids array<long>"
+    found = {r["text_hash"]: r for r in deduplicated(spark.createDataFrame(rows, schema)).collect()}
+    assert found["a"]["text"] == text and found["a"]["deleted_lines"] == []
+    assert found["b"]["text"] == "" and found["b"]["deleted_lines"] == [0, 1, 2, 3]
+    assert found["c"]["text"] is None and found["d"]["text"] == text and len(found) == 4
