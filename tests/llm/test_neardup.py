@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lawfinder.llm.neardup import near_duplicates, shared_prefix
+from lawfinder.llm.neardup import DEPTHS, SURE, TREES, labels, met, near_duplicates, shared_nodes, shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, n_links long"
 
@@ -59,6 +59,42 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_prefix_shortens_with_the_target():
-    depths = [shared_prefix(0.8, 32, t) for t in (0.5, 0.9, 0.999, 0.99999)]
-    assert depths == sorted(depths, reverse=True) and 1 - (1 - 0.8 ** depths[2]) ** 32 >= 0.999
+def test_rows_of_one_id_and_boilerplate(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"b{rng.randrange(5000)}" for _ in range(n)]
+    a, b = words(60), words(60)
+    rows = [(1, " ".join(a), "en", 0), (1, " ".join(b), "en", 0), (2, " ".join([*a, "x"]), "en", 0), (3, " ".join([*b, "y"]), "en", 0)]
+    found = [tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "class_id", "n_links").collect()]
+    assert sorted(found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    # texts that share two thirds are chained by short prefixes, but are not alike
+    shared = words(60)
+    rows = [(i, " ".join(shared + words(30)), "en", 0) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end", "en", 0) for i in range(40)]
+    found = near_duplicates(spark.createDataFrame(rows, SCHEMA), block=16).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == brute(rows)
+
+
+def test_pairs_near_the_threshold_are_met_by_shorter_prefixes(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(300):
+        words = [f"n{rng.randrange(9000)}" for _ in range(100)]
+        other = [*words[:47], "changed", *words[48:]] if i % 2 else [*words[:20], "one", *words[21:70], "two", *words[71:]]
+        rows += [(2 * i, " ".join(words), "en", 0), (2 * i + 1, " ".join(other), "en", 0)]
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    near = {i for i in range(0, 600, 2) if len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1]))}
+    deep = {i for i in near if shared_nodes([labels(sets[i]), labels(sets[i + 1])], DEPTHS[0], TREES)[0, 1]}
+    found = {r["doc_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).where("n_links = 1 and doc_id % 2 = 0").collect()}
+    assert found == near and len(near) == 300 and len(deep) < 300
+
+
+def test_probability_of_meeting():
+    chances = [met(0.8, d, TREES) for d in DEPTHS]
+    assert chances == sorted(chances) and chances[1] >= SURE
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(200):
+        own = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        other = np.concatenate([own[:60], rng.integers(0, 1 << 63, 30, dtype=np.uint64)])  # Jaccard 60 / 120
+        hits += bool(shared_nodes([labels(np.unique(own)), labels(np.unique(other))], 4, TREES)[0, 1])
+    assert abs(hits / 200 - met(0.5, 4, TREES)) < 0.12
