@@ -4,13 +4,22 @@ A rotation of the principal axes is learned on a bounded sample so that the
 signs of the rotated coordinates are balanced and close to the coordinates
 themselves. Each vector's sign bits are split into disjoint substrings, one
 per table; vectors that agree on a substring meet in that table's bucket and
-are compared there by their exact cosine. Table count and substring length
-follow from the threshold and the number of vectors.
-
-Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components link with nothing, as do those with a
-null label; equal vectors of one label are one class, compared once and
-counted fully; an empty table gives no rows; further columns are ignored.
+are compared there by their exact cosine.
+
+How often vectors at the threshold agree depends on the data (a common part
+of all vectors, axes of unlike spread). So it is measured, with the rotations
+learned: on partners made for sample vectors at exactly the threshold, in
+directions of all kinds and in those in which the data differ. Tables are
+added, and substrings shortened, until the share that meets is the target.
+Vectors of each length have an index of their own; where no label has more
+than ``BUCKET`` of a length, all its vectors share a bucket.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite
+components link with nothing, as do those with a null label; vectors of
+different lengths do not link; equal vectors of one label are one class,
+compared once and counted fully; rows that share a vec_id are judged each by
+its own vector; rows without one are linked and counted like others; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,18 +35,23 @@ from pyspark.sql import functions as F
 from .common import components, cut, numbered, table
 
 THRESHOLD = 0.93
-#: Vectors on which rotations are fitted, at most; every vector is indexed.
-SAMPLE = 20_000
-#: Mean vectors of a label in a bucket, which sets the substring length.
+#: Vectors on which rotations are fitted and agreement is measured, at most, and their components, at most; every vector is indexed.
+SAMPLE, COMPONENTS = 20_000, 8_000_000
+#: Mean vectors of a label in a bucket, which sets the first substring length tried.
 BUCKET = 64
 TARGET_RECALL = 0.97
+#: Tables beyond which substrings are shortened instead.
+TABLES = 64
+#: Partners at the threshold on which agreement is measured.
+MEASURED = 2_000
 #: Vectors of a bucket that are compared with as many others in one step.
 BLOCK = 512
 
 
 def learned_rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Mean and rotation of iterative quantisation: alternate signs and the best rotation onto them."""
-    mean = sample.mean(axis=0)
+    dim = sample.shape[1]
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     projected = centred @ axes
@@ -48,16 +62,42 @@ def learned_rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> tuple[n
     return mean, axes @ turn
 
 
-def table_plan(vectors: int, threshold: float, target: float, bucket: int = BUCKET) -> tuple[int, int]:
-    """Bits of a substring, and tables, for ``vectors`` of a label.
-
-    Sign bits of vectors at an angle differ with probability angle / pi, so
-    tables are added until a pair at the threshold agrees on some substring
-    with the target probability.
-    """
-    bits = min(30, max(6, math.ceil(math.log2(max(1, vectors / bucket)))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(4, math.ceil(math.log(1 - target) / math.log(1 - same)))
+def partners(unit: np.ndarray, threshold: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with partners at exactly the threshold: half in any direction, half in that of another vector of the sample."""
+    rng = np.random.default_rng(seed)
+    one = unit[rng.integers(0, len(unit), min(MEASURED, 4 * len(unit)))]
+    toward = np.where(np.arange(len(one))[:, None] % 2, rng.normal(size=one.shape), unit[rng.integers(0, len(unit), len(one))] - one)
+    across = toward - (toward * one).sum(axis=1, keepdims=True) * one
+    size = np.linalg.norm(across, axis=1, keepdims=True)
+    good = size[:, 0] > 1e-9
+    one, across = one[good], across[good] / size[good]
+    return one, threshold * one + math.sqrt(1 - threshold * threshold) * across
+
+
+class Index:
+    """Rotations, substring length and tables for the vectors of one length, planned on a sample of unit vectors."""
+
+    def __init__(self, sample: np.ndarray, vectors: int, threshold: float, target: float, bucket: int = BUCKET):
+        self.dim = sample.shape[1]
+        self.bits = 0 if vectors <= bucket else min(30, max(6, math.ceil(math.log2(vectors / bucket))))
+        self.tables, self.recall = 1, 1.0
+        self.rotations: list[tuple[np.ndarray, np.ndarray]] = []
+        one, two = partners(sample, threshold) if len(sample) else (sample, sample)
+        while self.bits and self.dim > 1:
+            self.tables, self.recall = 0, 0.0
+            while self.tables < TABLES and self.recall < target:
+                self.tables += 4
+                while len(self.rotations) * self.dim < self.bits * self.tables:
+                    self.rotations.append(learned_rotation(sample, len(self.rotations)))
+                agree = substrings(one, self.rotations, self.bits, self.tables) == substrings(two, self.rotations, self.bits, self.tables)
+                self.recall = float(agree.any(axis=1).mean()) if len(one) else 1.0
+            if self.recall >= target:
+                return
+            self.bits -= 1
+        self.bits, self.tables, self.recall, self.rotations = 0, 1, 1.0, []
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        return substrings(unit, self.rotations, self.bits, self.tables) if self.bits else np.zeros((len(unit), 1), dtype=np.int64)
 
 
 def substrings(unit: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
@@ -101,46 +141,50 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     ``rows`` has vec_id, embedding and label. Only vectors of equal labels
     are compared.
     """
-    raw = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    raw = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     marked = raw.withColumn("ok", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
     keyed = marked.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
     usable = keyed.where("ok")
-    classes = cut(usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-
-    shape = classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    alike = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    # Classes are numbered as they are written, so that their numbers stay.
+    classes = cut(alike.withColumn("dim", F.size("v")).withColumn("rep", F.monotonically_increasing_id()))
     alone = keyed.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if shape is None:
+
+    most = {r["dim"]: r["n"] for r in classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()}
+    if not most:
         return alone
-    dim = shape["d"]
-    total = classes.count()
-    share = min(1.0, 1.2 * sample / max(1, total))
-    drawn = classes.where((F.size("v") == dim) & (F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).limit(sample)
-    fit = np.array([r["v"] for r in drawn.select("v").collect()], dtype=np.float64).reshape(-1, dim)
-    fit /= np.linalg.norm(fit, axis=1, keepdims=True)
-    bits, tables = table_plan(most, threshold, target_recall)
-    rotations = [learned_rotation(fit, seed) for seed in range(-(-bits * tables // dim))]
+    # The rows of least hash: the same ones whatever the partitions.
+    drawn = classes.where(F.col("dim").isin([d for d, n in most.items() if n > BUCKET])).orderBy(F.xxhash64("h2", "h1"), "rep").limit(min(sample, max(1, COMPONENTS // max(most))))
+    by_dim: dict[int, list[np.ndarray]] = {}
+    for batch in drawn.select("v").toArrow().to_batches():
+        for v in batch.column(0):
+            by_dim.setdefault(len(v), []).append(v.values.to_numpy())
+    indexes = {}
+    for dim, n in most.items():
+        unit = np.array(by_dim.get(dim, [])).reshape(-1, dim)
+        indexes[dim] = Index(unit / np.linalg.norm(unit, axis=1, keepdims=True), n, threshold, target_recall)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            unit = np.array(batch["v"].to_list(), dtype=np.float64).reshape(-1, dim)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            batch["keys"] = list(substrings(unit, rotations, bits, tables))
-            yield batch
-
-    codes = cut(classes.where(F.size("v") == dim).select("label", "rep", "copies", "v").mapInPandas(coded, schema="label long, rep long, copies long, v array<double>, keys array<long>"))
-
-    met = codes.select("label", "rep", F.posexplode("keys").alias("tab", "sub"))
-    busy = met.groupBy("label", "tab", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(busy.select("label", "tab", "sub", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")))
-    placed = numbered(met, ["label", "tab", "sub"], [F.col("rep")], "at", buckets=32).withColumn("part", F.floor(F.col("at") / block).cast("int"))
-    spots = cut(placed).join(sized, ["label", "tab", "sub"]).drop("at")
-    by = ["label", "tab", "sub", "part_a", "part_b"]
+            for dim, part in batch.groupby("dim"):
+                unit = np.array(part["v"].to_list(), dtype=np.float64).reshape(-1, dim)
+                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                yield part.assign(keys=list(indexes[dim].keys(unit)))
+
+    codes = cut(classes.select("label", "dim", "rep", "copies", "v").mapInPandas(coded, schema="label string, dim int, rep long, copies long, v array<double>, keys array<long>"))
+
+    spot = ["label", "dim", "tab", "sub"]
+    met = codes.select("label", "dim", "rep", F.posexplode("keys").alias("tab", "sub"))
+    busy = met.groupBy(*spot).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut(busy.select(*spot, F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")))
+    placed = numbered(met, spot, [F.col("rep")], "at", buckets=32).withColumn("part", F.floor(F.col("at") / block).cast("int"))
+    spots = cut(placed).join(sized, spot).drop("at")
+    by = [*spot, "part_a", "part_b"]
     blocks = (
         spots.join(codes.select("rep", "copies", "v", "keys"), "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("label", "tab", "sub", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "rep", "copies", "v", "keys")
+        .select(*spot, F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "rep", "copies", "v", "keys")
         .repartition(*by).sortWithinPartitions(*by)
     )
 
@@ -165,13 +209,15 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SA
             yield done(held)
 
     links = cut(blocks.mapInPandas(run, schema="rep long, linked long, hub long"))
-    joined = components(links, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    joined = cut(components(links, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("team")))
+    least = joined.join(classes.select("rep", "low"), "rep").groupBy("team").agg(F.min("low").alias("least"))
+    named = joined.join(cut(least), "team").select("rep", "least")
     counts = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     facts = cut(
-        classes.select("label", "h1", "h2", "rep", "copies").join(joined, "rep", "left").join(counts, "rep", "left")
-        .select("label", "h1", "h2", F.coalesce("class", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        classes.select("label", "h1", "h2", "rep", "low", "copies").join(named, "rep", "left").join(counts, "rep", "left")
+        .select("label", "h1", "h2", F.coalesce("least", "low").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
-    found = usable.join(facts, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    found = usable.join(facts, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return found.unionByName(alone)
 
 

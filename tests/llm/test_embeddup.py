@@ -1,6 +1,6 @@
 import numpy as np
 
-from lawfinder.llm.embeddup import near_vectors, table_plan
+from lawfinder.llm.embeddup import Index, near_vectors, partners
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string"
 
@@ -53,7 +53,44 @@ def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_table_plan_reaches_target():
-    for n in (100, 10_000, 10_000_000):
-        bits, tables = table_plan(n, 0.93, 0.97)
-        assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.97
+def test_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=12)], 1, "x") for i in range(300)]
+    a, b, c = ([float(x) for x in rng.normal(size=n)] for n in (8, 8, 12))
+    rows += [(400, a, 1, "x"), (401, [x + 0.01 for x in a], 1, "x"), (402, a, 2, "x"), (403, [*a, 0.0], 1, "x")]
+    rows += [(500, b, 1, "x"), (500, c, 1, "x"), (501, [x * 2 for x in b], 1, "x"), (502, [x + 0.01 for x in c], 1, "x"), (None, c, 1, "x"), (503, [3.0], 1, "x"), (504, [5.0], 1, "x"), (505, [-5.0], 1, "x")]
+    found = {}
+    for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+    assert found[400] == found[401] == [(1, 400)] and found[402] == [(0, 402)] and found[403] == [(0, 403)]
+    assert sorted(found[500]) == [(1, 500), (2, 500)] and found[501] == [(1, 500)] and found[502] == [(2, 500)] and found[None] == [(2, 500)]
+    assert found[503] == found[504] == [(1, 503)] and found[505] == [(0, 505)]
+
+
+def test_recall_where_vectors_share_a_part(spark):
+    """Pairs around the threshold beside a mean of most of the length: planted partners, counted by brute force."""
+    rng = np.random.default_rng(7)
+    common = rng.normal(size=32)
+    common /= np.linalg.norm(common)
+    rows = []
+    for share in (0.0, 0.5, 0.8):
+        own = rng.normal(size=(700, 32))
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
+        unit = np.sqrt(1 - share**2) * own + share * common
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        _, other = partners(unit, 0.932)
+        rows = [(i, [float(x) for x in v], 1, "x") for i, v in enumerate(np.concatenate([unit, other[:700]]))]
+        want = brute(rows)
+        found = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(found[i] <= want[i][0] for i in want)
+        assert sum(found.values()) >= 0.9 * sum(n for n, _ in want.values()), share
+
+
+def test_plan_reaches_target():
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(3000, 24)) * np.linspace(0.2, 3, 24) + 2.0
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for n in (50, 3000, 1_000_000):
+        index = Index(unit, n, 0.93, 0.97)
+        one, two = partners(unit, 0.93, seed=11)
+        assert (index.keys(one) == index.keys(two)).any(axis=1).mean() >= 0.94
