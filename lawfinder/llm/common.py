@@ -21,18 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It comes from ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this application is used.
+    It comes from ``spark.checkpoint.dir``. Only where that is unset and all
+    tasks run in this process, as in local tests, a temporary folder of this
+    application is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file:" + tempfile.mkdtemp(prefix="spark-lawfinder-")
     return _OWN_ROOT[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one."""
+    return f"{scratch_root(spark)}/lawfinder/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -40,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     tasks that read the files again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lawfinder/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

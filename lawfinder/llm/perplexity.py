@@ -1,167 +1,253 @@
 """Quality rules: base rules and bands of n-gram perplexity.
 
-A modified Kneser-Ney model of folded characters is counted by Spark over all
-documents, one model per language, and kept as sorted arrays of n-gram keys
-with their log probabilities. A document whose perplexity lies outside its
-language's band is rejected, as is one that fails a base rule. A band is cut
-from the documents labelled clean, so that it rejects ``FALSE_REJECTION`` of
-them; all labelled rows are used alike. A language with too few of them gets
-a fence around the quartiles of its documents that pass the base rules.
-
-Characters fold to 40 symbols (letters without case and accents, digits as
-one, white space, kinds of marks), so an order-4 model has at most 40**4 =
-2.56 million entries; that bounds what is sent to tasks. Languages beyond the
-``MOST_MODELS`` with most documents share one model.
+Modified Kneser-Ney models of characters, one per language and half of the
+documents, judge the documents of the other half, so none (and no exact copy)
+judges itself. Spark counts the n-grams, continuations, contexts and count
+classes and joins them to probabilities; they are written to the shared folder
+as sorted arrays of 64-bit hashes, cut into segments of bounded size by their
+first bits. Tasks read the segments of the languages they meet and keep as
+many as fit in ``CACHE`` bytes, so models may have any size and number; they
+grow with the corpus and never pass the driver. Characters are those of the
+text in lower case, with digits as 0 and other white space than line ends as
+spaces; scripts are left as they are.
+
+A document whose perplexity lies outside its language's band is rejected, as
+is one that fails a base rule. A band is cut from the documents labelled
+clean, so that it rejects ``FALSE_REJECTION`` of them; all labelled rows are
+used alike. A language with too few of them gets a fence around the quartiles
+of its documents that pass the base rules.
 
 Defined cases: a null text counts as empty; a text without words has no
 perplexity and fails the base rules; a null language is a language of its
-own; repeated rows are counted and judged each; labels of one id that differ
-do not call it clean; an empty table gives no rows; further columns are
-ignored.
+own; a document whose language has none in the other half has no perplexity
+and is judged by the base rules; repeated rows are counted and judged each;
+labels of one id that differ do not call it clean; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, scratch_folder, table
 from .textstats import mixed, word_bounds, word_hashes
 
-SYMBOLS = 40
-ORDER = 4
-MOST_MODELS = 32
+ORDER = 5
 #: The share of clean documents that a band may reject, half of it on either side.
 FALSE_REJECTION = 0.01
 #: Documents labelled clean from which a language's band is cut, at least.
 FEWEST_CLEAN = 100
 #: With fewer, a band reaches this many interquartile ranges of log perplexity beyond the quartiles.
 BAND = 3.0
+#: Log perplexities are told apart to this step where bands are cut.
+STEP = 1e-4
 FEWEST_WORDS = 50
-POOLED_NAME = "*"
-
-
-def _fold_table() -> np.ndarray:
-    """The symbol of each code point below U+0250; those above fold by their number onto the letters."""
-    import unicodedata
-
-    fold = np.zeros(0x250, dtype=np.uint8)
-    marks = {".": 29, ",": 30, "!": 31, "?": 32, "'": 33, '"': 34, "-": 35, ":": 36, ";": 36, "|": 37}
-    for c in range(0x250):
-        char = chr(c)
-        base = unicodedata.normalize("NFD", char.lower())[:1]
-        if char.isalpha():
-            fold[c] = ord(base) - ord("a") if "a" <= base <= "z" else c % 26
-        elif char.isdigit():
-            fold[c] = 26
-        elif char == "\n":
-            fold[c] = 28
-        elif char.isspace():
-            fold[c] = 27
-        else:
-            fold[c] = marks.get(char, 38 if char in "#*$%&<>" else 39)
-    return fold
-
-
-_FOLD = _fold_table()
-
-
-def symbols(text: str) -> np.ndarray:
-    """Folded symbols of a text between two spaces, which mark its ends."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    out = np.full(len(codes) + 2, 27, dtype=np.uint32)
-    out[1:-1] = np.where(codes < 0x250, _FOLD[np.minimum(codes, 0x24F)], codes % 26)
-    return out
+#: Entries of a model's segment, about; bytes of segments that a Python worker keeps; characters scored or counted together.
+SEGMENT, CACHE, TOGETHER = 1_000_000, 256 << 20, 4 << 20
+
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_GRAM, _CONTEXT, _SIZE = 0, 16, 32
+_PLAIN = np.arange(128, dtype=np.uint32)
+_PLAIN[ord("0") : ord("9") + 1] = ord("0")
+_PLAIN[[9, 11, 12, 13]] = 32
+
+
+def padded(text: str, order: int, most: int) -> list[str]:
+    """A text in lower case between two spaces; a very long one in pieces that hold each run of ``order`` symbols once."""
+    full = f" {text.lower()} ".replace("\0", " ")
+    if len(full) <= most:
+        return [full]
+    return [full[i : i + most + order - 1] for i in range(0, len(full) - order + 1, most)]
+
+
+def symbols(pieces: list[str]) -> np.ndarray:
+    """Code points of pieces of text, with a 0 after each."""
+    codes = np.frombuffer("\0".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(codes < 128, _PLAIN[np.minimum(codes, 127)], codes)
 
 
-def ngram_keys(s: np.ndarray, order: int) -> np.ndarray:
-    """Keys of all n-grams: their symbols as digits, first symbol highest."""
-    n = len(s) - order + 1
-    key = s[: max(0, n)].copy()
-    for i in range(1, order):
-        key = key * np.uint32(SYMBOLS) + s[i : i + n]
-    return key
+def windows(codes: np.ndarray, order: int) -> np.ndarray:
+    """Starts of the runs of ``order`` symbols that lie inside one text."""
+    n = max(0, len(codes) - order + 1)
+    inside = np.ones(n, dtype=bool)
+    for i in range(order):
+        inside &= codes[i : i + n] != 0
+    return np.flatnonzero(inside)
+
+
+def keys(codes: np.ndarray, at: np.ndarray, length: int, tag: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` symbols at given places."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for i in range(length):
+        out = out * _ROLL + codes[at + i].astype(np.uint64)
+    return mixed(out + np.uint64(tag + length) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
 
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(model, key, n): how often each n-gram occurs in the documents of a model."""
-    slots = SYMBOLS**order
+    """(model, g, n): how often each n-gram occurs in the documents of a model; counted within tasks first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[str]] = {}
+
+        def counts() -> Iterator[pd.DataFrame]:
+            for model, texts in held.items():
+                codes = symbols(texts)
+                at = windows(codes, order)
+                _, first, n = np.unique(keys(codes, at, order, 0), return_index=True, return_counts=True)
+                grams = np.ascontiguousarray(codes[at[first][:, None] + np.arange(order)].astype("<u4")).view(f"<U{order}").ravel()
+                yield pd.DataFrame({"model": model, "g": grams.astype(object), "n": n})
+            held.clear()
+
+        size = 0
         for batch in batches:
-            for model, part in batch.groupby("model"):
-                sums = np.zeros(slots, dtype=np.int64)
-                held: list[np.ndarray] = []
-                size = 0
-                for text in part["text"]:
-                    held.append(ngram_keys(symbols(text or ""), order))
-                    size += len(held[-1])
-                    if size > 1 << 22:
-                        sums += np.bincount(np.concatenate(held), minlength=slots)
-                        held, size = [], 0
-                if held:
-                    sums += np.bincount(np.concatenate(held), minlength=slots)
-                key = np.flatnonzero(sums)
-                yield pd.DataFrame({"model": model, "key": key.astype(np.int64), "n": sums[key]})
-
-    parts = docs.select("model", "text").mapInPandas(run, schema="model string, key long, n long")
-    return parts.groupBy("model", "key").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Chen and Goodman's discounts for counts 0 (none), 1, 2 and 3 or more."""
-    n = [max(1, int((counts == k).sum())) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0] + [min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)])
-
-
-def smoothed(keys: np.ndarray, counts: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Modified Kneser-Ney: for each order sorted keys, log probabilities, and sorted contexts with log backoff weights."""
-    tables = {order: (keys, counts)}
+            for model, text in zip(batch["model"], batch["text"], strict=True):
+                for piece in padded(text or "", order, TOGETHER):
+                    held.setdefault(model, []).append(piece)
+                    size += len(piece)
+                    if size >= TOGETHER:
+                        yield from counts()
+                        size = 0
+        yield from counts()
+
+    parts = docs.select("model", "text").mapInPandas(run, schema="model string, g string, n long")
+    return parts.groupBy("model", "g").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """Interpolated modified Kneser-Ney from the counts of the longest n-grams.
+
+    Returns (model, tag, g, value): the log probability of each n-gram's last
+    symbol (tag 0), the log weight with which each context backs off (16), and
+    the log probability of symbols that a model has not seen (32).
+    """
+    levels = {order: cut(counts)}
     for k in range(order - 1, 0, -1):
-        upper = tables[k + 1][0]
-        tables[k] = np.unique(upper % SYMBOLS**k, return_counts=True)
-    model = {}
-    lower_keys, lower = np.zeros(1, dtype=np.int64), np.full(1, 1.0 / SYMBOLS)
+        above = levels[k + 1]
+        levels[k] = cut(above.groupBy("model", F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+    fresh = levels[1].groupBy("model").agg((F.count(F.lit(1)) + 1).alias("symbols"))
+    out = fresh.select("model", F.lit(_SIZE).alias("tag"), F.lit("").alias("g"), (-F.log("symbols")).alias("value"))
+    lower = fresh.select("model", F.lit("").alias("rest"), (1 / F.col("symbols")).alias("below"))
     for k in range(1, order + 1):
-        key, n = tables[k]
-        cut_by = discounts(n)[np.minimum(n, 3)]
-        context, at = np.unique(key // SYMBOLS, return_inverse=True)
-        total = np.bincount(at, n)
-        backoff = np.bincount(at, cut_by) / total
-        below = lower[np.searchsorted(lower_keys, key % SYMBOLS ** (k - 1))] if k > 1 else lower[0]
-        prob = (n - cut_by) / total[at] + backoff[at] * below
-        model[k] = (key, np.log(prob), context, np.log(backoff))
-        lower_keys, lower = key, prob
-    return model
-
-
-def log_probabilities(model: dict, keys: np.ndarray, order: int) -> np.ndarray:
-    """Natural log probability of each n-gram's last symbol, with backoff for unseen ones."""
-    out = np.zeros(len(keys))
-    todo, key = np.arange(len(keys)), keys.astype(np.int64)
-    for k in range(order, 0, -1):
-        known, logs, context, weights = model[k]
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = known[at] == key
-        out[todo[hit]] += logs[at[hit]]
-        todo, key = todo[~hit], key[~hit]
-        if not len(todo):
-            return out
-        own = key // SYMBOLS
-        at = np.minimum(np.searchsorted(context, own), len(context) - 1)
-        seen = context[at] == own
-        out[todo[seen]] += weights[at[seen]]
-        key = key % SYMBOLS ** (k - 1)
-    out[todo] -= math.log(SYMBOLS)
+        # Chen and Goodman's discounts for counts 1, 2 and 3 or more
+        m = [F.greatest(F.sum(F.when(F.col("n") == i, 1).otherwise(0)), F.lit(1)).cast("double") for i in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1])
+        off = [F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * m[i] / m[i - 1])) for i in (1, 2, 3)]
+        discounts = levels[k].groupBy("model").agg(F.array(*off).alias("off"))
+        own = levels[k].join(discounts, "model").select("model", "g", "n", F.element_at("off", F.least(F.col("n"), F.lit(3)).cast("int")).alias("off"), F.substring("g", 1, k - 1).alias("context"), F.substring("g", 2, k - 1).alias("rest"))
+        contexts = cut(own.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("weight")))
+        below = lower.select("model", "rest", "below")
+        level = own.join(contexts, ["model", "context"]).join(below, ["model", "rest"])
+        level = cut(level.select("model", "g", ((F.col("n") - F.col("off")) / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
+        out = out.unionByName(level.select("model", F.lit(_GRAM).alias("tag"), "g", F.log("p").alias("value")))
+        out = out.unionByName(contexts.select("model", F.lit(_CONTEXT).alias("tag"), F.col("context").alias("g"), F.log("weight").alias("value")))
+        lower = level.select("model", F.col("g").alias("rest"), F.col("p").alias("below"))
     return out
 
 
+def _file_name(model: Column) -> Column:
+    return F.hex(F.encode(model, "UTF-8"))
+
+
+def stored(entries: DataFrame) -> tuple[str, int]:
+    """Write a model's entries as sorted arrays of hashes; returns the folder and how many first bits tell segments apart."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (tag, length), part in batch.groupby(["tag", "length"]):
+                codes = np.frombuffer("".join(part["g"]).encode("utf-32-le"), dtype="<u4")
+                at = np.arange(len(part)) * length
+                yield pd.DataFrame({"model": part["model"].to_numpy(), "key": keys(codes, at, int(length), int(tag)), "value": part["value"].to_numpy()})
+
+    rows = cut(entries.withColumn("length", F.length("g")).mapInPandas(hashed, schema="model string, key long, value float"))
+    most = rows.groupBy("model").count().agg(F.max("count")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, most) / SEGMENT)))
+    by = ["file", "segment"]
+    segment = F.shiftright("key", 64 - bits).cast("int") if bits else F.lit(0)
+    placed = rows.select(_file_name(F.col("model")).alias("file"), segment.alias("segment"), "key", "value").repartition(*by).sortWithinPartitions(*by, "key")
+    path = scratch_folder(entries.sparkSession)
+    placed.write.partitionBy(*by).parquet(path)
+    return path, bits
+
+
+class Models:
+    """Segments of stored models, read when they are first needed; the ones used last stay in memory."""
+
+    def __init__(self, path: str, bits: int):
+        from pyarrow import fs
+
+        local = not path.split(":", 1)[0].isalnum() or path.startswith("file:")
+        self.files, self.root = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+        self.bits, self.held, self.size = bits, OrderedDict(), 0
+
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def shared(path: str, bits: int) -> Models:
+        return Models(path, bits)
+
+    def segment(self, model: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (model, number)
+        if at in self.held:
+            self.held.move_to_end(at)
+            return self.held[at]
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        folder = f"{self.root}/file={model.encode().hex().upper()}/segment={number}"
+        found = [f.path for f in self.files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+        parts = [pq.ParquetFile(self.files.open_input_file(f)).read(["key", "value"]) for f in found]
+        key = np.concatenate([p["key"].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
+        value = np.concatenate([p["value"].to_numpy() for p in parts]) if parts else np.zeros(0, np.float32)
+        if len(parts) > 1:
+            by = np.argsort(key)
+            key, value = key[by], value[by]
+        self.held[at] = key, value
+        self.size += key.nbytes + value.nbytes
+        while self.size > CACHE and len(self.held) > 1:
+            old = self.held.popitem(last=False)[1]
+            self.size -= old[0].nbytes + old[1].nbytes
+        return key, value
+
+    def find(self, model: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 where it has none, and whether it has."""
+        numbers = key >> (64 - self.bits) if self.bits else np.zeros(len(key), np.int64)
+        value, hit = np.zeros(len(key)), np.zeros(len(key), dtype=bool)
+        for number in np.unique(numbers).tolist():
+            own = np.flatnonzero(numbers == number) if self.bits else slice(None)
+            known, values = self.segment(model, number)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key[own]), len(known) - 1)
+                hit[own] = known[at] == key[own]
+                value[own] = np.where(hit[own], values[at], 0)
+        return value, hit
+
+    def log_probabilities(self, model: str, codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray | None:
+        """Natural log probability of the last symbol of each run of ``order`` symbols; none where there is no such model."""
+        fresh, known = self.find(model, keys(codes, np.zeros(1, np.int64), 0, _SIZE))
+        if not known[0]:
+            return None
+        out = np.zeros(len(at))
+        todo = np.arange(len(at))
+        for k in range(order, 0, -1):
+            start = at[todo] + order - k
+            value, hit = self.find(model, keys(codes, start, k, _GRAM))
+            out[todo] += value
+            todo, start = todo[~hit], start[~hit]
+            if not len(todo):
+                return out
+            out[todo] += self.find(model, keys(codes, start, k - 1, _CONTEXT))[0]
+        out[todo] += fresh[0]
+        return out
+
+
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of one text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -183,66 +269,74 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, marks, len(lines) - len(set(lines)), repeated
 
 
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles of a column in each group, to ``STEP``, and the group's rows n; the same however rows are dealt."""
+    bins = rows.groupBy(by, F.floor(F.col(value) / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    # a group has no more bins than its values have steps, whatever its rows
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("bin"))
+    run = bins.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    return run.groupBy(by).agg(F.max("n").alias("n"), *[(F.min(F.when(F.col("upto") >= share * F.col("n"), F.col("bin"))) * STEP + STEP / 2).alias(name) for name, share in shares.items()])
+
+
 def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: DataFrame | None = None, false_rejection: float = FALSE_REJECTION) -> DataFrame:
-    """One row per document: base counts, perplexity, band and verdicts.
+    """One row per document: base counts, log perplexity, band and verdicts.
 
     ``labels`` has doc_id and quality, 1 for clean documents.
     """
-    spark = docs.sparkSession
-    common = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_MODELS).collect()]
-    named = F.coalesce(F.col("lang"), F.lit(""))
-    own = F.when(named.isin([x or "" for x in common]), named).otherwise(POOLED_NAME) if common else named
-    texts = docs.select("doc_id", own.alias("model"), "text")
-
-    def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.asarray(x) for x in rows["keys"]])
-        counts = np.concatenate([np.asarray(x) for x in rows["counts"]])
-        by = np.argsort(keys)
-        out = []
-        for k, arrays in smoothed(keys[by], counts[by], order).items():
-            out.append((key[0], k, *(a.astype(t).tobytes() for a, t in zip(arrays, ("<i4", "<f4", "<i4", "<f4"), strict=True))))
-        return pd.DataFrame(out, columns=["model", "k", "keys", "logs", "contexts", "weights"])
-
-    runs = counted(texts, order).groupBy("model", F.floor(F.col("key") / SYMBOLS**2).alias("run")).agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("r"))
-    arrays = runs.select("model", F.col("r.key").alias("keys"), F.col("r.n").alias("counts"))
-    models: dict[str, dict] = {}
-    for r in arrays.groupBy("model").applyInPandas(fitted, schema="model string, k int, keys binary, logs binary, contexts binary, weights binary").collect():
-        models.setdefault(r["model"], {})[r["k"]] = tuple(np.frombuffer(r[c], t) for c, t in (("keys", "<i4"), ("logs", "<f4"), ("contexts", "<i4"), ("weights", "<f4")))
-    sent = spark.sparkContext.broadcast(models)
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    model = lambda h: F.concat(h.cast("string"), F.lit(":"), F.col("lang"))
+    texts = docs.select("doc_id", lang.alias("lang"), half.alias("half"), "text")
+    path, bits = stored(kneser_ney(counted(texts.select(model(F.col("half")).alias("model"), "text"), order), order))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
+        models = Models.shared(path, bits)
+
+        def scored(held: list[tuple]) -> pd.DataFrame:
+            rows = pd.DataFrame([(r[0], r[1], *base_counts(r[3])) for r in held], columns=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            sums, runs = np.zeros(len(held)), np.zeros(len(held))
+            for name in {r[2] for r in held}:
+                pieces, owner = [], []
+                for i, r in enumerate(held):
+                    if r[2] == name and rows["n_words"][i]:
+                        own = padded(r[3], order, TOGETHER)
+                        pieces += own
+                        owner += [i] * len(own)
+                if not pieces:
+                    continue
+                codes = symbols(pieces)
+                at = windows(codes, order)
+                logs = models.log_probabilities(name, codes, at, order)
+                if logs is not None:
+                    whose = np.repeat(owner, np.diff(np.flatnonzero(np.concatenate([[True], codes == 0]))))[at]
+                    sums += np.bincount(whose, logs, len(held))
+                    runs += np.bincount(whose, minlength=len(held))
+            return rows.assign(log_ppl=pd.arrays.FloatingArray(-sums / np.maximum(runs, 1), runs == 0))
+
+        held, size = [], 0
         for batch in batches:
-            rows = []
-            for doc_id, model, text in zip(batch["doc_id"], batch["model"], batch["text"], strict=True):
-                text = text or ""
-                base = base_counts(text)
-                log_ppl = None
-                if base[0]:
-                    keys = ngram_keys(symbols(text), order)
-                    if len(keys):
-                        log_ppl = -float(log_probabilities(known[model], keys, order).mean())
-                rows.append((doc_id, model, *base, log_ppl))
-            yield pd.DataFrame(rows, columns=["doc_id", "model", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]).astype({"log_ppl": "float64"})
-
-    scored = cut(texts.mapInPandas(run, schema="doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double").withColumn("log_ppl", F.nanvl("log_ppl", F.lit(None).cast("double"))))
+            for doc_id, own, name, text in zip(batch["doc_id"], batch["lang"], batch["judge"], batch["text"], strict=True):
+                held.append((doc_id, own, name, text or ""))
+                size += len(text or "")
+                if size >= TOGETHER or len(held) >= 4096:
+                    yield scored(held)
+                    held, size = [], 0
+        if held:
+            yield scored(held)
+
+    seen = texts.select("doc_id", "lang", model(1 - F.col("half")).alias("judge"), "text")
+    scored = cut(seen.mapInPandas(run, schema="doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marked = scored.withColumn("base_failed", failed)
-    sound = marked.where(~F.col("base_failed")).select("doc_id", "model", "log_ppl")
-    quarter = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    reach = (F.col("q")[1] - F.col("q")[0]) * band
-    bands = sound.groupBy("model").agg(quarter.alias("q")).select("model", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    sound = marked.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("doc_id", "lang", "log_ppl")
+    reach = (F.col("q3") - F.col("q1")) * band
+    bands = quantiles(sound, "lang", "log_ppl", {"q1": 0.25, "q3": 0.75}).select("lang", (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
     if labels is not None:
         clean = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1")
-        sides = F.percentile_approx("log_ppl", F.array(F.lit(false_rejection / 2), F.lit(1 - false_rejection / 2)), 10000)
-        fitted_on = sound.where("log_ppl is not null").join(clean.select("doc_id"), "doc_id", "left_semi")
-        own_bands = fitted_on.groupBy("model").agg(sides.alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST_CLEAN)
-        bands = bands.join(F.broadcast(own_bands), "model", "left").select(
-            "model", F.coalesce(F.col("s")[0], F.col("lower")).alias("lower"), F.coalesce(F.col("s")[1], F.col("upper")).alias("upper")
-        )
-    limits = F.broadcast(bands)  # at most MOST_MODELS + 1 rows
+        own = quantiles(sound.join(clean.select("doc_id"), "doc_id", "left_semi"), "lang", "log_ppl", {"s1": false_rejection / 2, "s2": 1 - false_rejection / 2})
+        bands = bands.join(own.where(F.col("n") >= FEWEST_CLEAN), "lang", "left").select("lang", F.coalesce("s1", "lower").alias("lower"), F.coalesce("s2", "upper").alias("upper"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return marked.join(limits, "model", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return marked.join(cut(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

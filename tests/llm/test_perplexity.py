@@ -3,9 +3,8 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
-
-from lawfinder.llm.perplexity import ORDER, SYMBOLS, judged, log_probabilities, ngram_keys, smoothed, symbols
+import lawfinder.llm.perplexity as perplexity
+from lawfinder.llm.perplexity import ORDER, judged, quantiles
 
 
 def brute_base(text):
@@ -45,13 +44,77 @@ def test_band_rejects_strange_text(spark):
     assert not odd["base_failed"] and not odd["kept"] and odd["log_ppl"] > odd["upper"]
 
 
-def test_model_is_a_distribution():
-    s = np.concatenate([symbols(t) for _, t, _ in texts()[:50]])
-    keys, counts = np.unique(ngram_keys(s, ORDER), return_counts=True)
-    model = smoothed(keys.astype(np.int64), counts, ORDER)
-    for context in (int(keys[3]) // SYMBOLS, 39 * SYMBOLS**2 + 39 * SYMBOLS + 39):
-        every = context * SYMBOLS + np.arange(SYMBOLS)
-        assert math.isclose(np.exp(log_probabilities(model, every, ORDER)).sum(), 1, rel_tol=1e-6)
+def folded(text):
+    return " " + re.sub("[0-9]", "0", re.sub("[\t\x0b-\r]", " ", (text or "").lower())) + " "
+
+
+class BruteModel:
+    """Interpolated modified Kneser-Ney with dictionaries."""
+
+    def __init__(self, texts, order):
+        self.counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.off, self.context = {}, {}
+        for k, counts in self.counts.items():
+            m = [max(1, sum(n == i for n in counts.values())) for i in range(1, 5)]
+            y = m[0] / (m[0] + 2 * m[1])
+            self.off[k] = [0] + [min(i, max(0.05, i - (i + 1) * y * m[i] / m[i - 1])) for i in (1, 2, 3)]
+            for g, n in counts.items():
+                total, cut = self.context.get(g[:-1], (0, 0)) if len(g) == k else (0, 0)
+                self.context[g[:-1]] = total + n, cut + self.off[k][min(n, 3)]
+
+    def p(self, g):
+        if not g:
+            return 1 / (len(self.counts[1]) + 1)
+        if g[:-1] not in self.context:
+            return self.p(g[1:])
+        total, cut = self.context[g[:-1]]
+        n = self.counts[len(g)][g]
+        return (n - self.off[len(g)][min(n, 3)]) / total + cut / total * self.p(g[1:])
+
+
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "SEGMENT", 500)
+    rows = [*texts()[:60], (2000, "ein ganz anderes ß Wort " * 12 + "漢字 12,5\ttab", "de"), (2001, "noch ein Satz mit 漢字 und 34 Zahlen", "de"), (2002, "allein", "it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    halves = {r["doc_id"]: r["h"] for r in frame.selectExpr("doc_id", "pmod(xxhash64(text), 2) as h").collect()}
+    found = {r["doc_id"]: r["log_ppl"] for r in judged(frame).collect()}
+    models = {}
+    for i, t, lang in rows:
+        models.setdefault((lang, halves[i]), []).append(folded(t))
+    models = {k: BruteModel(v, ORDER) for k, v in models.items()}
+    seen = 0
+    for i, t, lang in rows:
+        model, s = models.get((lang, 1 - halves[i])), folded(t)
+        if model is None:
+            assert found[i] is None
+            continue
+        logs = [math.log(model.p(s[k : k + ORDER])) for k in range(len(s) - ORDER + 1)]
+        assert math.isclose(found[i], -sum(logs) / len(logs), rel_tol=1e-5), i
+        seen += 1
+    assert seen >= 60 and found[2002] is None
+    one = next(iter(models.values()))
+    for context in ("ver ", "qqqq", " the"):
+        assert math.isclose(sum(one.p(context + c) for c in one.counts[1]) + one.p(context + "\1"), 1, rel_tol=1e-9)
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    rows = [*texts()[:40], (3000, " ".join(t for _, t, _ in texts()[40:60]), "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: r["log_ppl"] for r in judged(frame).collect()}
+    monkeypatch.setattr(perplexity, "TOGETHER", 700)
+    pieces = {r["doc_id"]: r["log_ppl"] for r in judged(frame).collect()}
+    assert all((a is None) == (pieces[i] is None) and (a is None or math.isclose(a, pieces[i], rel_tol=1e-9)) for i, a in whole.items())
+
+
+def test_quantiles_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(2, 0.3) for _ in range(3000)]
+    for parts in (1, 7):
+        frame = spark.createDataFrame([("a", v) for v in values], "lang string, x double").repartition(parts)
+        r = quantiles(frame, "lang", "x", {"low": 0.005, "high": 0.995}).first()
+        assert abs(r["low"] - sorted(values)[14]) < 2e-4 and abs(r["high"] - sorted(values)[2984]) < 2e-4 and r["n"] == 3000
 
 
 def test_empty_table(spark):
