@@ -8,8 +8,8 @@ as sorted arrays of 64-bit hashes, cut into segments of bounded size by their
 first bits. Tasks read the segments of the languages they meet and keep as
 many as fit in ``CACHE`` bytes, so models may have any size and number; they
 grow with the corpus and never pass the driver. Characters are those of the
-text in lower case, with digits as 0 and other white space than line ends as
-spaces; scripts are left as they are.
+text in lower case, with digits as 0, other white space than line ends as
+spaces, symbols as # and brackets and signs as /; scripts are left as they are.
 
 A document whose perplexity lies outside its language's band is rejected, as
 is one that fails a base rule. A band is cut from the documents labelled
@@ -59,6 +59,8 @@ _GRAM, _CONTEXT, _SIZE = 0, 16, 32
 _PLAIN = np.arange(128, dtype=np.uint32)
 _PLAIN[ord("0") : ord("9") + 1] = ord("0")
 _PLAIN[[9, 11, 12, 13]] = 32
+_PLAIN[[ord(c) for c in "#*$%&<>"]] = ord("#")
+_PLAIN[[ord(c) for c in "()+/=@[\\]^_`{}~"]] = ord("/")
 
 
 def padded(text: str, order: int, most: int) -> list[str]:
@@ -89,7 +91,7 @@ def keys(codes: np.ndarray, at: np.ndarray, length: int, tag: int) -> np.ndarray
     out = np.zeros(len(at), dtype=np.uint64)
     for i in range(length):
         out = out * _ROLL + codes[at + i].astype(np.uint64)
-    return mixed(out + np.uint64(tag + length) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+    return mixed(out + np.uint64((tag + length) * 0xD1B54A32D192ED03 % (1 << 64))).view(np.int64)
 
 
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:

@@ -45,7 +45,8 @@ def test_band_rejects_strange_text(spark):
 
 
 def folded(text):
-    return " " + re.sub("[0-9]", "0", re.sub("[\t\x0b-\r]", " ", (text or "").lower())) + " "
+    text = re.sub("[0-9]", "0", re.sub("[\t\x0b-\r]", " ", (text or "").lower()))
+    return " " + re.sub(r"[()+/=@\[\\\]^_`{}~]", "/", re.sub("[#*$%&<>]", "#", text)) + " "
 
 
 class BruteModel:
