@@ -12,7 +12,8 @@ Votes of a document are a short list of voter numbers, so all fitting runs on
 the counts of distinct vote patterns.
 
 Defined cases: a null or empty text has no words and gets a score like any
-other; rows of labels with a null label are not used; without labelled rows
+other; rows of labels with a null label, and labels of one id that differ, are
+not used; without labelled rows
 of both classes only seed words and patterns vote; repeated rows are scored
 each; an empty table gives no rows; further columns pass through unchanged.
 """
@@ -159,30 +160,35 @@ def _expected(patterns: DataFrame, model: LabelModel, voters: int) -> np.ndarray
 
 
 def _correlations(patterns: DataFrame, model: LabelModel, voters: int) -> np.ndarray:
-    """Correlation of each two voters within a class, averaged over the classes."""
+    """Correlation of each two voters within a class, averaged over the classes by their mass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = np.zeros((voters, voters))
+        both = np.zeros((2, voters, voters))
         for batch in batches:
             votes = [np.asarray(v) for v in batch["votes"]]
             q = model.posterior(votes, batch["label"].to_numpy(dtype=float, na_value=np.nan))
-            for v, mass in zip(votes, batch["n"].to_numpy(dtype=float) * q, strict=True):
-                both[np.ix_(v, v)] += mass
-        one, two = np.nonzero(both)
-        yield pd.DataFrame({"one": one, "two": two, "s": both[one, two]})
-
-    both = np.zeros((voters, voters))
-    for r in patterns.mapInPandas(run, schema="one int, two int, s double").groupBy("one", "two").agg(F.sum("s").alias("s")).collect():
-        both[r["one"], r["two"]] = r["s"]
-    mass = _expected(patterns, model, voters)[1, voters]
-    share = both / max(mass, 1e-9)
-    single = np.diag(share)
-    spread = np.sqrt(np.maximum(single * (1 - single), 1e-12))
-    return (share - np.outer(single, single)) / np.outer(spread, spread)
+            for v, n, p in zip(votes, batch["n"].to_numpy(dtype=float), q, strict=True):
+                grid = np.ix_(v, v)
+                both[0][grid] += n * (1 - p)
+                both[1][grid] += n * p
+        cls, one, two = np.nonzero(both)
+        yield pd.DataFrame({"cls": cls, "one": one, "two": two, "s": both[cls, one, two]})
+
+    both = np.zeros((2, voters, voters))
+    for r in patterns.mapInPandas(run, schema="cls int, one int, two int, s double").groupBy("cls", "one", "two").agg(F.sum("s").alias("s")).collect():
+        both[r["cls"], r["one"], r["two"]] = r["s"]
+    mass = _expected(patterns, model, voters)[:, voters]
+    out = np.zeros((voters, voters))
+    for k in (0, 1):
+        share = both[k] / max(mass[k], 1e-9)
+        single = np.diag(share)
+        spread = np.sqrt(np.maximum(single * (1 - single), 1e-12))
+        out += mass[k] / max(mass.sum(), 1e-9) * (share - np.outer(single, single)) / np.outer(spread, spread)
+    return out
 
 
 def fitted_label_model(patterns: DataFrame, voters: int, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation on vote patterns (votes, label or null, n)."""
+    """Expectation maximisation on vote patterns (votes, label or null, n); from half of the rounds on, correlations are estimated with the rates."""
     shares = patterns.where("label is not null").agg(F.sum(F.col("label") * F.col("n")).alias("yes"), F.sum("n").alias("all")).first()
     model = LabelModel(voters, shares["yes"] / shares["all"] if shares["all"] else 0.05)
     for number in range(rounds):
@@ -190,7 +196,7 @@ def fitted_label_model(patterns: DataFrame, voters: int, rounds: int = ROUNDS) -
         total = sums[:, voters]
         model.rate = (sums[:, :voters] + [[0.05], [0.05]]) / (total[:, None] + 1.0)
         model.prior = float(np.clip(total[1] / max(total.sum(), 1e-9), 0.005, 0.5))
-        if number == rounds // 2:
+        if number >= rounds // 2:
             alike = _correlations(patterns, model, voters)
             alike[alike < ALIKE] = 0
             np.fill_diagonal(alike, 1)
@@ -223,10 +229,11 @@ class Scorer:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, Scorer | None]:
     """Votes of all documents, and the classifier trained on them; none for an empty table."""
-    known = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column), F.col("label").cast("int").alias("label")).dropDuplicates([id_column])
+    sure = labels.where(F.col("label").isin(0, 1)).groupBy(id_column).agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most")).where("label = most")
+    known = sure.select(id_column, "label")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(LABELLED / max(1, sizes.get(1, 0)))).otherwise(F.lit(LABELLED / max(1, sizes.get(0, 0))))
-    drawn = known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * LABELLED)
+    drawn = known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64(id_column), id_column).limit(3 * LABELLED)
     # About 2 * LABELLED ids, and by the limit never over 3 * LABELLED, so they go to the texts.
     lexicon = learned_lexicon(docs.select(id_column, "text").join(F.broadcast(drawn), id_column))
 
