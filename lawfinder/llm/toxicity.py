@@ -13,9 +13,8 @@ the counts of distinct vote patterns.
 
 Defined cases: a null or empty text has no words and gets a score like any
 other; rows of labels with a null label, and labels of one id that differ, are
-not used; without labelled rows
-of both classes only seed words and patterns vote; repeated rows are scored
-each; an empty table gives no rows; further columns pass through unchanged.
+not used; without labelled rows of both classes only seed words and patterns
+vote; repeated rows are scored each; an empty table gives no rows; further columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -171,12 +170,15 @@ def _correlations(patterns: DataFrame, model: LabelModel, voters: int) -> np.nda
                 grid = np.ix_(v, v)
                 both[0][grid] += n * (1 - p)
                 both[1][grid] += n * p
-        cls, one, two = np.nonzero(both)
-        yield pd.DataFrame({"cls": cls, "one": one, "two": two, "s": both[cls, one, two]})
+        yield pd.DataFrame({"cls": np.repeat([0, 1], voters), "one": np.tile(np.arange(voters), 2), "s": list(both.reshape(-1, voters))})
 
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[:1].assign(s=[np.sum(rows["s"].to_list(), axis=0)])
+
+    shape = "cls int, one int, s array<double>"
     both = np.zeros((2, voters, voters))
-    for r in patterns.mapInPandas(run, schema="cls int, one int, two int, s double").groupBy("cls", "one", "two").agg(F.sum("s").alias("s")).collect():
-        both[r["cls"], r["one"], r["two"]] = r["s"]
+    for r in patterns.mapInPandas(run, schema=shape).groupBy("cls", "one").applyInPandas(added, schema=shape).collect():
+        both[r["cls"], r["one"]] = r["s"]
     mass = _expected(patterns, model, voters)[:, voters]
     out = np.zeros((voters, voters))
     for k in (0, 1):
