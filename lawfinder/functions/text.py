@@ -18,7 +18,7 @@ GREEK = (
 # Replacements of the normal form, in the order in which they apply.
 NORMAL_RULES = (
     (r"\\var(epsilon|phi)", "$1"), (rf"\\({'|'.join(GREEK)})", "$1"),
-    (r"\\left|\\right", ""), (r"\\,", " "), (r"\\!", ""), (r"\;", " "), (r"\\cdot|\\times", "*"),
+    (r"\\left|\\right", ""), (r"\\,", " "), (r"\\!", ""), (r"\\;", " "), (r"\\cdot|\\times", "*"),
     (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\\(sqrt|exp)", "$1"), (r"\\ln", "log"), (r"\\log", "log10"),
     (r"\\(sin|cos|tan)", "$1"), (r"\$", ""), (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"),
     (r"\^\{", "^("), (r"_\{", "_("), (r"\}", ")"), (r"([A-Za-z]+)_\(([^()]+)\)", "$1_$2"), (r"\*\*", "^"),

@@ -82,36 +82,45 @@ def pareto_front(models: DataFrame, by: list[str] | None = None, tie: str = "fea
     return front.withColumn("score", F.coalesce(gain, F.lit(0.0)))
 
 
-def moments(wide: DataFrame, target: str, names: list[str]) -> np.ndarray:
-    """Sums of products of (1, features, target), added within tasks and then by Spark; size depends on columns alone."""
-    size = len(names) + 2
+def centred_moments(wide: DataFrame, target: str, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, population deviations and correlations of the features and the target; their size depends on the columns alone.
+
+    A first pass finds means and deviations, a second the products of the
+    scaled values, so that columns far from zero lose nothing.
+    """
+    cols = [F.col(f"`{n}`").cast("double") for n in [*names, target]]
+    first = wide.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    size = len(cols)
+    mean = np.array([first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(size)])
+    deviation = np.array([first[f"d{i}"] if first[f"d{i}"] is not None else 0.0 for i in range(size)])
+    scale = np.where(deviation >= FLAT, deviation, 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+        total = np.zeros((size + 1, size + 1))
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
+            x = np.column_stack([np.ones(len(batch)), (batch.to_numpy(dtype=float) - mean) / scale])
             total += x.T @ x
-        yield pd.DataFrame({"at": np.arange(size * size), "s": total.ravel()})
+        yield pd.DataFrame({"at": np.arange(total.size), "s": total.ravel()})
 
-    found = np.zeros(size * size)
-    cols = wide.select(*[F.col(f"`{n}`").cast("double") for n in [*names, target]])
-    for r in cols.mapInPandas(run, schema="at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+    found = np.zeros((size + 1) ** 2)
+    for r in wide.select(*cols).mapInPandas(run, schema="at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         found[r["at"]] = r["s"]
-    return found.reshape(size, size)
+    found = found.reshape(size + 1, size + 1)
+    n = max(found[0, 0], 1.0)
+    off = found[0, 1:] / n
+    return mean, deviation, found[1:, 1:] / n - np.outer(off, off)
 
 
 def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list[Feature], most_terms: int = 4, beam: int = 8, max_size: int = 30) -> DataFrame:
     """Grow linear combinations of features term by term, keeping the best few of each length.
 
-    The data are read once, for the moments; every candidate is solved from
-    those. Returns complexity, loss, r2, terms, features, coefficients, intercept and equation.
+    The data are read twice, for the moments; every candidate is solved from
+    those, in scaled columns. The beam makes it a heuristic. Returns complexity, loss, r2, terms, features, coefficients, intercept and equation.
     """
     names = [f.name for f in plan]
-    m = moments(wide, target, names)
-    n = m[0, 0]
-    mean = m[0, 1:] / n
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
-    usable = [i for i in range(len(names)) if cov[i, i] > FLAT**2]
+    mean, deviation, cov = centred_moments(wide, target, names)
+    spread = deviation[-1] ** 2
+    usable = [i for i in range(len(names)) if deviation[i] >= FLAT]
     kept: list[tuple[int, ...]] = [()]
     rows = []
     for _ in range(most_terms):
@@ -123,15 +132,15 @@ def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list
                 if i in have or chosen in found or size > max_size:
                     continue
                 c = cov[np.ix_(chosen, chosen)]
-                scale = np.sqrt(np.diag(c))
-                if np.linalg.cond(c / np.outer(scale, scale)) > 1e10:
+                if np.linalg.cond(c) > 1e10:
                     continue
-                coef = np.linalg.solve(c, cov[list(chosen), -1])
-                found[chosen] = (max(0.0, float(cov[-1, -1] - coef @ cov[list(chosen), -1])), size, coef)
+                slope = np.linalg.solve(c, cov[list(chosen), -1])
+                loss = max(0.0, float(cov[-1, -1] - slope @ cov[list(chosen), -1])) * float(spread if deviation[-1] >= FLAT else 1.0)
+                found[chosen] = (loss, size, slope * (deviation[-1] if deviation[-1] >= FLAT else 1.0) / deviation[list(chosen)])
         kept = sorted(found, key=lambda k: (found[k][0], found[k][1], k))[:beam]
         for k in kept:
             loss, size, coef = found[k]
             constant = mean[-1] - coef @ mean[list(k)]
             text = " + ".join([f"{a:.6g}*({plan[i].formula})" for a, i in zip(coef, k, strict=True)] + [f"{constant:.6g}"])
-            rows.append((size, loss, float(1 - loss / cov[-1, -1]) if cov[-1, -1] > 0 else 1.0, len(k), [names[i] for i in k], [float(a) for a in coef], float(constant), text))
+            rows.append((size, loss, float(1 - loss / spread) if deviation[-1] >= FLAT else 1.0, len(k), [names[i] for i in k], [float(a) for a in coef], float(constant), text))
     return spark.createDataFrame(rows, "complexity int, loss double, r2 double, terms int, features array<string>, coefficients array<double>, intercept double, equation string")

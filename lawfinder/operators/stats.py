@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.transforms import TRANSFORMS, finite, transform
-from ..sources.dataset import features_of, long_form
+from ..sources.dataset import long_form
 
 FLAT = 1e-10
 
@@ -69,44 +71,52 @@ def metrics(df: DataFrame, truth: Column, guess: Column, by: list[str]) -> DataF
     return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (1 - off / F.when(total > 0, total)).alias("r2"), F.sqrt(off / F.count(F.lit(1))).alias("rmse"))
 
 
-def permutation_importance(df: DataFrame, target: str, order: list[str], predict, shifts: tuple[int, ...] = (1,)) -> DataFrame:
-    """Drop of R² when one feature's values are moved along by ``shifts`` rows in ``order``.
+def shuffled(df: DataFrame, seed: int) -> Column:
+    """A key that puts rows in an order of chance; equal rows get different keys, so none of their buckets is large."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.monotonically_increasing_id() % 4096, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+
+
+def permutation_importance(df: DataFrame, target: str, names: list[str], predict: Callable[[dict[str, Column]], Column], keys: list[Column] | None = None) -> DataFrame:
+    """Drop of R² when one feature's values are dealt anew to the rows: mean and deviation over repeats.
 
     ``predict`` makes the prediction from a mapping of feature names to
-    columns. Rows get gapless numbers bucket by bucket, so no task sees all.
+    columns. ``keys`` are hexadecimal hashes of the row, one for the order of
+    the rows and one for that of the donors of each repeat; the row at a place
+    takes the values of the donor at that place. Each repeat joins rows once.
     """
-    names = [c for c in features_of(df, target) if c not in order]
-    rows = numbered_rows(df, order).persist()
-    total = rows.count()
-    cell = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(s).alias("shift")) for n in names for s in shifts])
-    value = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
-    donors = rows.select(F.col("at").alias("donor"), value.alias("vals"))
-    wanted = rows.select("*", F.inline(cell)).withColumn("donor", F.pmod(F.col("at") + F.col("shift"), F.lit(total)))
-    moved = wanted.join(donors, "donor")
-    pick = {n: F.when(F.col("feature") == n, F.col("vals")[n]).otherwise(F.col(n).cast("double")) for n in names}
-    y = F.col(target).cast("double")
-    pairs = moved.select("feature", "shift", y.alias("y"), predict({n: F.col(n).cast("double") for n in names}).alias("p0"), predict(pick).alias("p"))
-    mean = rows.agg(F.avg(y)).first()[0]
-    spread = F.sum(F.pow(F.col("y") - mean, F.lit(2)))
-    drop = (F.sum(F.pow(F.col("y") - F.col("p"), F.lit(2))) - F.sum(F.pow(F.col("y") - F.col("p0"), F.lit(2)))) / spread
-    each = pairs.groupBy("feature", "shift").agg(drop.alias("drop"))
-    return each.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("deviation"))
-
-
-def numbered_rows(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """Number rows from 0 in the order of ``order``, whose first column is numeric.
-
-    Rows are dealt to ranges of that column with about equal counts, so that
-    numbering is done range by range and never in one task.
+    keys = keys or [shuffled(df, seed) for seed in range(4)]
+    values = [F.col(f"`{n}`").cast("double").alias(f"v{i}") for i, n in enumerate(names)]
+    rows = numbered_rows(df.select(F.col(f"`{target}`").cast("double").alias("y"), *values, keys[0].alias("key")), "key").drop("key")
+    own = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+    mean = df.agg(F.avg(F.col(f"`{target}`").cast("double"))).first()[0]
+    off = lambda p: F.sum(F.pow(F.col("y") - p, F.lit(2)))
+    drops = None
+    for repeat, key in enumerate(keys[1:]):
+        donors = numbered_rows(df.select(*[v.alias(f"d{i}") for i, v in enumerate(values)], key.alias("key")), "key").drop("key")
+        errors = [off(predict(own | {n: F.col(f"d{i}")})).alias(f"e{i}") for i, n in enumerate(names)]
+        sums = rows.join(donors, "at").agg(off(predict(own)).alias("e"), off(F.lit(mean)).alias("total"), *errors)
+        cells = F.array(*[F.struct(F.lit(n).alias("feature"), ((F.col(f"e{i}") - F.col("e")) / F.when(F.col("total") > 0, F.col("total"))).alias("drop")) for i, n in enumerate(names)])
+        found = sums.select(F.lit(repeat).alias("repeat"), F.inline(cells))
+        drops = found if drops is None else drops.unionByName(found)
+    return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("deviation"))
+
+
+def top_importance(importance: DataFrame, top: int = 10) -> DataFrame:
+    """The features of highest importance, best first; ties by name."""
+    return importance.orderBy(F.desc("importance"), "feature").limit(top)
+
+
+def numbered_rows(df: DataFrame, key: str) -> DataFrame:
+    """Number rows from 0 in the order of a hexadecimal hash, as ``at``.
+
+    The first digits deal rows to 4,096 buckets of like size; they are
+    numbered bucket by bucket, so no task sees all.
     """
-    key = F.col(order[0]).cast("double")
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 1000).alias("q")).first()["q"] or []))
-    dealt = df.withColumn("__b", sum((F.when(key > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+    dealt = df.withColumn("__b", F.substring(key, 1, 3))
     counts = dealt.groupBy("__b").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select("__b", before.alias("__o")))  # one row per range
-    inside = Window.partitionBy("__b").orderBy(*order)
+    offsets = F.broadcast(counts.select("__b", before.alias("__o")))  # at most 4,096 rows
+    inside = Window.partitionBy("__b").orderBy(key)
     ranked = dealt.withColumn("__r", F.row_number().over(inside) - 1)
     return ranked.join(offsets, "__b").withColumn("at", F.col("__r") + F.col("__o")).drop("__b", "__o", "__r")
 

@@ -63,7 +63,7 @@ def search(spark: SparkSession, df: DataFrame, target: str, cluster_id: str, ops
     return Run(cluster_id, top_features(univariate_r2(wide, target), [f.name for f in plan]), signed, matches, agreement, candidates)
 
 
-def evidence(spark: SparkSession, df: DataFrame, target: str, run: Run, ops: DataFrame, library: DataFrame, shifts: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence(spark: SparkSession, df: DataFrame, target: str, run: Run, ops: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the best equation of a run rests on.
 
     Returns the importance of each of its features, its agreement with the
@@ -74,10 +74,8 @@ def evidence(spark: SparkSession, df: DataFrame, target: str, run: Run, ops: Dat
     wide, plan = selected(validated(df, target), target, grammar_functions(ops, run.cluster_id))
     formula = {f.name: f.formula for f in plan}
     names, weights = best["features"], best["coefficients"]
-    order = [f"__o{i}" for i in range(len(names) + 1)]
-    rows = wide.select(target, *names, *[F.col(c).alias(o) for c, o in zip([*names, target], order, strict=True)])
     predict = lambda c: sum((F.lit(w) * c[n] for n, w in zip(names, weights, strict=True)), F.lit(best["intercept"]))
-    importance = stats.permutation_importance(rows, target, order, predict, shifts)
+    importance = stats.permutation_importance(wide.select(target, *names), target, names, predict)
     shares = stats.shares(importance)
     known = spark.createDataFrame([(best["equation_id"], n, formula[n]) for n in names], "equation_id int, feature string, formula string")
     signed = known.withColumn("sig", text.signature(F.col("formula")))

@@ -186,11 +186,10 @@ def top3_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance by moving each feature's values along by one row, as SQL can repeat."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", TARGET)
-    order = ["l_orderkey", "line", "l_partkey", "l_suppkey", "l_quantity", "l_discount", TARGET]
-    named = rows.withColumn("quantity", F.col("l_quantity")).withColumn("discount", F.col("l_discount")).withColumn("price", F.col(TARGET))
-    found = stats.permutation_importance(named, "price", order, lambda c: 1500.0 * c["quantity"] - 3000.0 * c["discount"])
+    """Importance by two permutations, in orders of hashed keys that SQL can repeat."""
+    rows = _table(spark, sf_dir, "lineitem")
+    keys = [F.md5(F.concat_ws("|", F.lit(seed), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) for seed in (0, 1, 2)]
+    found = stats.permutation_importance(rows, TARGET, ["l_quantity", "l_discount"], lambda c: 1500.0 * c["l_quantity"] - 3000.0 * c["l_discount"], keys)
     return _rounded(found, "importance", "deviation", places=5)
 
 
@@ -375,9 +374,12 @@ ORACLE_SQL: dict[str, str] = {
     "t AS (SELECT *, row_number() OVER (ORDER BY loss, compatibility DESC, complexity, cluster_id, key) AS place FROM u WHERE n = 1), k AS (SELECT * FROM t WHERE place <= 10) "
     "SELECT CAST(place AS INTEGER) AS place, key, cluster_id, round(loss, 3) AS loss, round(compatibility, 3) AS compatibility, count(*) OVER (PARTITION BY cluster_id) AS contributed FROM k",
     "top3_winner": f"{_FLAG}, o AS (SELECT cluster_id, op, round(loss, 2) AS loss, row_number() OVER (ORDER BY round(loss, 2), compatibility DESC, complexity, cluster_id) AS place FROM probes WHERE l_returnflag = 'A') SELECT CAST(place AS INTEGER) AS place, cluster_id, op, loss FROM o WHERE place <= 3",
-    "permutation_importance": f"WITH r AS (SELECT l_quantity AS q, l_discount AS d, {TARGET} AS y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, {TARGET}) - 1 AS at FROM lineitem), "
-    "p AS (SELECT r.y, r.q, r.d, m.q AS q2, m.d AS d2 FROM r JOIN r m ON m.at = (r.at + 1) % (SELECT count(*) FROM r)), t AS (SELECT sum(pow(y - (SELECT avg(y) FROM r), 2)) AS t, sum(pow(y - (1500 * q - 3000 * d), 2)) AS e0, "
-    "sum(pow(y - (1500 * q2 - 3000 * d), 2)) AS eq, sum(pow(y - (1500 * q - 3000 * d2), 2)) AS ed FROM p) SELECT 'quantity' AS feature, round((eq - e0) / t, 5) + 0.0 AS importance, 0.0 AS deviation FROM t UNION ALL SELECT 'discount', round((ed - e0) / t, 5) + 0.0, 0.0 FROM t",
+    "permutation_importance": f"WITH r AS (SELECT l_quantity AS q, l_discount AS d, {TARGET} AS y, "
+    + ", ".join(f"row_number() OVER (ORDER BY md5(concat_ws('|', {k}, l_orderkey, l_linenumber, l_partkey, l_suppkey))) AS k{k}" for k in (0, 1, 2))
+    + " FROM lineitem), m AS (SELECT avg(y) AS m FROM r), p AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS repeat, r.y, r.q, r.d, o.q AS q2, o.d AS d2 FROM r JOIN r o ON r.k0 = o.k{k}" for k in (1, 2))
+    + "), t AS (SELECT repeat, sum(pow(y - m, 2)) AS t, sum(pow(y - (1500 * q - 3000 * d), 2)) AS e0, sum(pow(y - (1500 * q2 - 3000 * d), 2)) AS eq, sum(pow(y - (1500 * q - 3000 * d2), 2)) AS ed FROM p, m GROUP BY repeat), "
+    "v AS (SELECT 'l_quantity' AS feature, (eq - e0) / t AS x FROM t UNION ALL SELECT 'l_discount', (ed - e0) / t FROM t) SELECT feature, round(avg(x), 5) + 0.0 AS importance, round(stddev_pop(x), 5) + 0.0 AS deviation FROM v GROUP BY feature",
     "importance_shares": f"WITH {_SRC}, long AS ({_LONG([*FEATURES, TARGET], LAW)}), r AS (SELECT feature, {_r2('x')} AS i FROM long GROUP BY feature) SELECT feature, round(i / sum(i) OVER (), 6) AS share FROM r WHERE i > 0",
     "operator_influence": f"WITH {_SRC}, long AS ({_LONG([*FEATURES, TARGET], LAW)}), r AS (SELECT feature, {_r2('x')} AS i FROM long GROUP BY feature), s AS (SELECT feature, i / sum(i) OVER () AS share FROM r WHERE i > 0), "
     f"u(equation_id, feature, op) AS (VALUES (1, 'l_quantity', '/'), (1, 'l_quantity', 'sqrt'), (1, '{TARGET}', '/'), (1, '{TARGET}', 'sqrt'), (2, 'l_quantity', 'log'), (2, 'l_tax', '*')), b(equation_id, op) AS (VALUES (1, '/'), (2, '+')), "

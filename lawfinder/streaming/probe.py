@@ -1,33 +1,17 @@
-"""Grammar probing of a stream: sums per transform and feature are kept, R² follows from them."""
+"""Grammar probing of a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.transforms import TRANSFORMS, finite, transform
-from ..operators.stats import with_target
+from ..operators.stats import transform_matrix
 
 
-def running_sums(stream: DataFrame, target: str) -> DataFrame:
-    """Counts and sums for each transform of each feature, for an output in complete or update mode.
+def running_matrix(stream: DataFrame, target: str) -> DataFrame:
+    """R² of each transform of each feature so far, for an output in complete or update mode.
 
-    State has one row per transform and feature, however many rows arrive.
+    The state is that of Spark's own regression aggregates, which keep means
+    and centred moments: one row per transform and feature, however many rows
+    arrive.
     """
-    cells = F.array(*[F.struct(F.lit(op).alias("op"), transform(op, F.col("x")).alias("v")) for op in TRANSFORMS])
-    spread = with_target(stream, target).select("feature", "y", F.inline(cells))
-    v = F.when(finite(F.col("v")), F.col("v"))
-    return spread.groupBy("op", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count(v).alias("sound"), F.sum(v).alias("sx"), F.sum("y").alias("sy"),
-        F.sum(v * v).alias("sxx"), F.sum(v * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-    )
-
-
-def r2_of(sums: DataFrame) -> DataFrame:
-    """R² of each transform and feature from the sums; 0 where a value was not finite."""
-    n = F.col("n")
-    vx = F.col("sxx") / n - F.pow(F.col("sx") / n, F.lit(2))
-    vy = F.col("syy") / n - F.pow(F.col("sy") / n, F.lit(2))
-    c = F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n
-    good = (F.col("sound") == n) & (n >= 3) & (vx > 1e-12 * F.greatest(F.lit(1.0), F.pow(F.col("sx") / n, F.lit(2)))) & (vy > 0)
-    return sums.select("op", "feature", F.when(good, F.least(F.lit(1.0), c * c / F.when(good, vx * vy))).otherwise(0.0).alias("r2"))
+    return transform_matrix(stream, target)
