@@ -248,11 +248,76 @@ def forward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("complexity", "loss", "r2", "terms", "features", "equation"), "loss", "r2")
 
 
+# Formulas as they come in texts; # stands for a number of the part.
+FORMULAS = (
+    r"\sigma_{0} = \sigma + \frac{k_{y}}{\sqrt{d}} + #*x^2", r"y = #.5*x^{3/2} - a \cdot \sin(t_1)", "F = G*m1*m2/r^2 + # - #*k", r"k = A \exp(-E/(R*T)) + #.25^3",
+    r"\gamma = \left( 1 - v^2/c^2 \right)^{-1/2}", r"E = E_{0} \; - \; # \times log(Q)/(n*F)", "L = cosh(x)/sinh(x) - 1/x + (a - b)*#", r"x = \vphantom{q} \alpha t + #e^-2",
+)
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula for each part, with its size as a number."""
+    each = F.element_at(F.array(*map(F.lit, FORMULAS)), (F.col("p_partkey") % len(FORMULAS) + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.replace(each, F.lit("#"), F.col("p_size").cast("string")).alias("formula"))
+
+
+def formula_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("formula")
+    return _formulas(spark, sf_dir).select("p_partkey", text.normalized(f).alias("normal"), text.canonical(f).alias("canonical"), text.structural_key(f).alias("key"), text.compact(f).alias("compact"))
+
+
+def formula_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sig")
+    return similarity.with_signature(_formulas(spark, sf_dir), "formula").select(
+        "p_partkey", F.array_join(s["operators"], " ").alias("operators"), F.array_join(s["functions"], " ").alias("functions"),
+        F.array_join(F.transform(s["exponents"], lambda x: F.round(x * 100).cast("int").cast("string")), " ").alias("exponents"), F.array_join(s["var_names"], " ").alias("var_names"),
+        s["var_count"].cast("long").alias("var_count"), s["complexity"].alias("complexity"), F.round(text.parse_quality(s["norm"]), 6).alias("quality"),
+    )
+
+
+def formula_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms of each shape the formulas have."""
+    shapes = similarity.with_signature(_formulas(spark, sf_dir), "formula").select("p_partkey", F.explode("sig.term_shapes").alias("shape", "n"))
+    return shapes.select("p_partkey", "shape", F.col("n").cast("long").alias("n"))
+
+
+def formula_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each part's formula with each grammar, and what the formula lacks of it."""
+    ops = grammars.operator_table(grammars.builtin(spark))
+    signed = similarity.with_signature(_formulas(spark, sf_dir), "formula")
+    used = signed.select("p_partkey", F.explode(F.concat("sig.operators", "sig.functions")).alias("op"))
+    every = used.join(F.broadcast(ops.select("cluster_id").distinct()))  # the 13 grammars
+    agreed = similarity.compatibility(every, ops, ["p_partkey"])
+    detail = similarity.matched_and_missing(every, ops, ["p_partkey"])
+    found = agreed.join(detail, ["p_partkey", "cluster_id"])
+    return _rounded(found.select(
+        "p_partkey", "cluster_id", "compatibility", confidence(F.round(F.col("compatibility") * 100, 6)).alias("confidence"), F.array_join("matched_functions", " ").alias("matched_functions"),
+        F.array_join("missing_functions", " ").alias("missing_functions"), F.array_join("matched_operators", "").alias("matched_operators"), F.array_join("missing_operators", "").alias("missing_operators"),
+    ), "compatibility")
+
+
+def formula_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operators and functions of each part's formula cost in each grammar that has them."""
+    costs = grammars.operator_costs(grammars.operator_table(grammars.builtin(spark)))
+    signed = similarity.with_signature(_formulas(spark, sf_dir), "formula")
+    used = signed.select("p_partkey", F.explode(F.concat("sig.operators", "sig.functions")).alias("op"))
+    return used.join(F.broadcast(costs), "op").groupBy("p_partkey", "cluster_id").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_ops"))
+
+
+def formula_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the likeness of each part's formula to that of the next part, and the whole."""
+    signed = similarity.with_signature(_formulas(spark, sf_dir), "formula").select("p_partkey", "sig")
+    pairs = signed.join(signed.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("sig").alias("other")), "p_partkey")
+    found = similarity.breakdown(pairs.withColumn("score", similarity.similarity(F.col("sig"), F.col("other"))), "sig", "other", ["p_partkey", "score"])
+    return _rounded(found.select("p_partkey", "place", "part", "value", "score"), "value", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         numeric_profile, univariate_r2, transform_r2_matrix, fast_probe_scores, fast_probe_winner, engineered_features, feature_filter, robust_scale, inverse_scale_metrics,
         parse_quality, text_signature, search_words, catalog_search, catalog_labels, category_profile, token_jaccard_topk, one_term_fits, two_term_fits, pareto_front, research_rank,
         merge_candidates, top3_winner, permutation_importance, importance_shares, operator_influence, grammar_agreement, library_matches, formula_shapes, forward_search,
+        formula_normal_forms, formula_signatures, formula_terms, formula_agreement, formula_costs, formula_likeness,
     )
 }
 
@@ -386,3 +451,72 @@ ORACLE_SQL: dict[str, str] = {
     "a AS (SELECT equation_id, sum(share) AS m FROM (SELECT DISTINCT equation_id, feature FROM u) JOIN s USING (feature) GROUP BY 1), p AS (SELECT equation_id, op, sum(share) AS m FROM u JOIN s USING (feature) GROUP BY 1, 2 UNION ALL SELECT equation_id, op, m FROM b JOIN a USING (equation_id)) "
     "SELECT equation_id, op, round(least(1.0, max(m)), 6) AS influence FROM p GROUP BY 1, 2",
 }
+
+
+def _replaced(column: str, rules) -> str:
+    for pattern, new in rules:
+        new = new.replace("$", chr(92))
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return column
+
+
+_NOT_IN_NAME = "(^|[^A-Za-z_0-9])"
+_FORMULA = (
+    "f AS (SELECT p_partkey, replace(list_extract([" + ", ".join(f"'{x}'" for x in FORMULAS) + f"], CAST(p_partkey % {len(FORMULAS)} + 1 AS INTEGER)), '#', CAST(p_size AS VARCHAR)) AS formula FROM part), "
+    f"n AS (SELECT p_partkey, formula, {_replaced('formula', text.NORMAL_RULES)} AS normal FROM f), c AS (SELECT *, {_replaced('normal', text.CANONICAL_RULES)} AS s FROM n)"
+)
+_SIGNS = (("*", "contains(s, '*')"), ("+", "contains(s, '+')"), ("-", "regexp_matches(s, ' - |^-')"), ("/", "contains(s, '/')"), ("^", "contains(s, '^')"))
+_WORDS_OF = [(f, "regexp_matches(s, '" + (r"\blog(10)?\b" if f == "log" else rf"\b{f}\b") + "')") for f in sorted(set(text.FUNCTIONS) - {"log10"})]
+_NAMES_OF = "list_distinct(list_filter(regexp_extract_all(s, '[a-zA-Z_][a-zA-Z_0-9]*'), lambda t: NOT list_contains([" + ", ".join(f"'{x}'" for x in text.FUNCTIONS) + "], t)))"
+_SHORT = "regexp_replace(regexp_extract(t, '^[^_]*'), '[0-9]+$', '')"
+_FRACTION = r"\^\(\s*(-?\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*\)"
+_count_of = lambda pattern: f"len(regexp_extract_all(s, '{pattern}'))"
+_SIGNED = (
+    f"{_FORMULA}, g AS (SELECT p_partkey, s, list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{o}{chr(39)} END' for o, c in _SIGNS)}], lambda x: x IS NOT NULL) AS operators, "
+    f"list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{o}{chr(39)} END' for o, c in _WORDS_OF)}], lambda x: x IS NOT NULL) AS functions, "
+    f"list_sort(list_distinct(list_transform(list_concat(list_transform(list_zip(regexp_extract_all(s, '{_FRACTION}', 1), regexp_extract_all(s, '{_FRACTION}', 2)), lambda z: CAST(z[1] AS DOUBLE) / CAST(z[2] AS DOUBLE)), "
+    r"list_transform(regexp_extract_all(s, '\^\(?\s*(-?\d+\.?\d*)\s*\)?', 1), lambda z: CAST(z AS DOUBLE))), lambda z: CAST(round_even(z * 100, 0) AS INTEGER)))) AS exponents, "
+    f"list_sort(list_distinct(list_transform({_NAMES_OF}, lambda t: lower(CASE WHEN {_SHORT} = '' THEN t ELSE {_SHORT} END)))) AS var_names, len({_NAMES_OF}) AS var_count, "
+    + _count_of(r"[+\-*/^]") + " + " + " + ".join(_count_of(rf"\b{f}\b") for f in text.FUNCTIONS) + f" + len({_NAMES_OF}) + " + _count_of(r"\d+\.?\d*") + " AS complexity FROM c)"
+)
+_TERMS = (
+    "h AS (SELECT p_partkey, s, unnest(string_split(s, '')) AS x, generate_subscripts(string_split(s, ''), 1) AS i FROM c), "
+    "d AS (SELECT *, coalesce(sum(CASE WHEN x IN ('(', '[') THEN 1 WHEN x IN (')', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM h), "
+    "k AS (SELECT *, sum(CASE WHEN x IN ('+', '-') AND depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS term FROM d), "
+    "t AS (SELECT p_partkey, trim(string_agg(x, '' ORDER BY i)) AS t FROM k GROUP BY p_partkey, term), "
+    r"m AS (SELECT p_partkey, t, regexp_matches(t, '\bsqrt\b') OR regexp_matches(t, '\^\(?-?0\.5\)?') AS root FROM t WHERE t NOT IN ('', '+', '-')), "
+    r"w AS (SELECT p_partkey, concat_ws('_', CASE WHEN root THEN 'sqrt' END, CASE WHEN regexp_matches(t, '\blog\d*\b') THEN 'log' END, CASE WHEN regexp_matches(t, '\bexp\b') THEN 'exp' END, "
+    r"CASE WHEN regexp_matches(t, '\b(sin|cos|tan)\b') THEN 'trig' END, CASE WHEN contains(t, '^') AND NOT root THEN 'pow' END, CASE WHEN contains(t, '/') OR regexp_matches(t, '\^\(?-0\.5\)?') THEN 'div' END) AS tags FROM m), "
+    "shapes AS (SELECT p_partkey, CASE WHEN tags = '' THEN 'linear' ELSE tags END AS shape, count(*) AS n FROM w GROUP BY ALL)"
+)
+
+
+def _grammar_ops() -> str:
+    rows = []
+    for cid, _, _, _, ops, _ in grammars.GRAMMARS:
+        rows += [f"('{cid}', '{op}', {w})" for op, w in (dict.fromkeys(grammars.ALWAYS, grammars.DEFAULT_WEIGHT) | dict(ops)).items()]
+    return f"{_unary()}, ops AS (SELECT cluster_id, op, w, 1 AS arity FROM g UNION ALL SELECT a, b, CAST(c AS DOUBLE), 2 FROM (VALUES {', '.join(rows)}) t(a, b, c))"
+
+
+_USED = "used AS (SELECT p_partkey, unnest(list_concat(operators, functions)) AS op FROM sg)"
+_LACKS = lambda arity, has, sep: f"coalesce(string_agg(o.op, '{sep}' ORDER BY o.op) FILTER (arity = {arity} AND u.op IS {'NOT ' if has else ''}NULL), '')"
+_SG = _SIGNED.replace(", g AS (SELECT p_partkey, s, list_filter", ", sg AS (SELECT p_partkey, s, list_filter")
+_jac = lambda x: f"CASE WHEN len(list_distinct(list_concat(a.{x}, b.{x}))) = 0 THEN 1.0 ELSE len(list_intersect(a.{x}, b.{x})) / CAST(len(list_distinct(list_concat(a.{x}, b.{x}))) AS DOUBLE) END"
+
+ORACLE_SQL |= {
+    "formula_normal_forms": f"WITH {_FORMULA} SELECT p_partkey, normal, s AS canonical, regexp_replace(regexp_replace(s, '{_NOT_IN_NAME}-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?', '" + r"\1C" + r"', 'g'), '\s+', '', 'g') AS key, regexp_replace(s, '[\s()]', '', 'g') AS compact FROM c",
+    "formula_signatures": f"WITH {_SG} SELECT p_partkey, array_to_string(operators, ' ') AS operators, array_to_string(functions, ' ') AS functions, array_to_string(exponents, ' ') AS exponents, array_to_string(var_names, ' ') AS var_names, "
+    + r"CAST(var_count AS BIGINT) AS var_count, CAST(complexity AS DOUBLE) AS complexity, round(CASE WHEN s = '' THEN 0.0 ELSE 1 - least(1.0, 4.0 * (length(s) - length(regexp_replace(s, '[\\{}]|[^\x00-\x7F]', '', 'g'))) / length(s)) END, 6) AS quality FROM sg",
+    "formula_terms": f"WITH {_FORMULA}, {_TERMS} SELECT p_partkey, shape, n FROM shapes",
+    "formula_agreement": f"WITH {_SG}, {_grammar_ops()}, {_USED} SELECT p_partkey, o.cluster_id, round(least(1.0, sum(CASE WHEN u.op IS NOT NULL THEN w ELSE 0 END) / sum(w)), 6) AS compatibility, "
+    "CASE WHEN round(100 * sum(CASE WHEN u.op IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) >= 80 THEN 'High' WHEN round(100 * sum(CASE WHEN u.op IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) >= 50 THEN 'Medium' ELSE 'Low' END AS confidence, "
+    f"{_LACKS(1, True, ' ')} AS matched_functions, {_LACKS(1, False, ' ')} AS missing_functions, {_LACKS(2, True, '')} AS matched_operators, {_LACKS(2, False, '')} AS missing_operators "
+    "FROM (SELECT p_partkey FROM sg) p CROSS JOIN ops o LEFT JOIN used u USING (p_partkey, op) GROUP BY p_partkey, o.cluster_id",
+    "formula_costs": f"WITH {_SG}, {_grammar_ops()}, {_USED}, costs AS (SELECT cluster_id, op, greatest(1, CAST(round_even(1 + 4 * (1 - w / max(w) OVER (PARTITION BY cluster_id)), 0) AS INTEGER)) AS cost FROM ops) "
+    "SELECT p_partkey, cluster_id, CAST(sum(cost) AS BIGINT) AS cost, count(*) AS n_ops FROM used JOIN costs USING (op) GROUP BY ALL",
+    "formula_likeness": f"WITH {_SG}, {_TERMS}, total AS (SELECT p_partkey, sum(n) AS n FROM shapes GROUP BY 1), common AS (SELECT a.p_partkey, sum(least(a.n, b.n)) AS n FROM shapes a JOIN shapes b ON b.p_partkey = a.p_partkey + 1 AND a.shape = b.shape GROUP BY 1), "
+    "v AS (SELECT a.p_partkey, 2.0 * coalesce(common.n, 0) / (x.n + y.n) AS term_shapes, " + ", ".join(f"{_jac(x)} AS {x}" for x in ("functions", "operators", "exponents", "var_names"))
+    + ", exp(-abs(a.complexity - b.complexity) / 8.0) AS complexity, exp(-abs(a.var_count - b.var_count) / 3.0) AS var_count FROM sg a JOIN sg b ON b.p_partkey = a.p_partkey + 1 JOIN total x ON x.p_partkey = a.p_partkey JOIN total y ON y.p_partkey = b.p_partkey LEFT JOIN common ON common.p_partkey = a.p_partkey), "
+    f"z AS (SELECT *, {' + '.join(f'{w} * {k}' for k, w in similarity.WEIGHTS.items())} AS score FROM v) "
+    + " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, '{k}' AS part, round({k}, 6) + 0.0 AS value, round(score, 6) + 0.0 AS score FROM z" for i, k in enumerate(("term_shapes", "functions", "operators", "exponents", "var_names", "complexity", "var_count"), 1)),
+}
