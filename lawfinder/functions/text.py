@@ -102,6 +102,26 @@ def parse_quality(s: Column) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", 0.0).otherwise(1 - F.least(share, F.lit(1.0)))
 
 
+def too_nested(s: Column) -> Column:
+    """Whether an exponential stands inside another, or a power inside a power's base or exponent.
+
+    Open brackets are kept as letters: e of an exponential, p of an exponent, o
+    of another; in capitals once a power has been seen inside.
+    """
+    def step(a: Column, t: Column) -> Column:
+        top = F.right(a["open"], F.lit(1))
+        closes, power, opens = F.contains(t, F.lit(")")), F.contains(t, F.lit("^")), F.contains(t, F.lit("("))
+        left = F.when(closes, F.left(a["open"], F.greatest(F.length(a["open"]) - 1, F.lit(0)))).otherwise(a["open"])
+        kind = F.when(power, F.lit("p")).when(F.startswith(t, F.lit("exp")), F.lit("e")).otherwise("o")
+        bad = (F.startswith(t, F.lit("exp")) & F.contains(F.lower(left), F.lit("e"))) | (power & F.contains(F.lower(left), F.lit("p"))) | (power & closes & top.isin("E", "P", "O"))
+        inside = F.when(power, F.upper(left)).otherwise(left)
+        return F.struct(F.concat(inside, F.when(opens, kind).otherwise("")).alias("open"), (a["bad"] | bad).alias("bad"))
+
+    flat = F.regexp_replace(s, r"\s+", "")
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("bad"))
+    return F.aggregate(_found(flat, r"\bexp\(|\)?\^\(?|[()]"), start, step, lambda a: a["bad"]) | flat.rlike(r"\^-?[\w.]+\^")
+
+
 def terms(s: Column) -> Column:
     """Parts between plus and minus signs that stand outside all brackets, with their signs."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))

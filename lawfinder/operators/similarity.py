@@ -70,6 +70,13 @@ def top_similar(found: DataFrame, library: DataFrame, k: int = 5, by: list[str]
     return pairs.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def with_caution(matches: DataFrame) -> DataFrame:
+    """Matches with ``caution`` where subfields are preferred and the match is of another one, and ``agrees`` where it is of the chosen grammar."""
+    other = ~F.array_contains("preferred", F.col("subfield")) if "preferred" in matches.columns else F.lit(False)
+    some = F.size("preferred") > 0 if "preferred" in matches.columns else F.lit(False)
+    return matches.withColumn("caution", F.coalesce(some & other, F.lit(False))).withColumn("agrees", F.coalesce(F.col("cluster") == F.col("cluster_id"), F.lit(False)))
+
+
 def compatibility(used: DataFrame, ops: DataFrame, by: list[str], influence: DataFrame | None = None) -> DataFrame:
     """Share of a grammar's weight that an equation's operators and functions cover.
 

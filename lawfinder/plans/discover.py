@@ -118,17 +118,51 @@ def top_three(probes: DataFrame, runs: dict[str, Run]) -> tuple[DataFrame, DataF
     return winners, rank.merged(merged)
 
 
+def probe_report(scores: DataFrame) -> str:
+    """Scores of a fast or research probe by grammar, with near ties; one row per grammar is fetched."""
+    research = "combined" in scores.columns
+    rows = sorted(scores.collect(), key=lambda r: (not r["cluster_id"].isdigit(), int(r["cluster_id"]) if r["cluster_id"].isdigit() else 0, r["cluster_id"]))
+    known = lambda v, form: "none" if v is None else format(v, form)
+    lines = ["Research probe: loss, agreement and complexity" if research else "Fast probe: weighted R² of the grammar's functions"]
+    for r in rows:
+        if research:
+            lines.append(f"  C{r['cluster_id']}: combined {r['combined']:.4f}, loss {known(r['loss'], '.6f')}, agreement {known(100 * (r['compatibility'] or 0.0), '.1f')}%, complexity {known(r['complexity'], '.1f')}")
+        else:
+            lines.append(f"  C{r['cluster_id']}: score {r['score']:.4f}")
+    tied = [r["cluster_id"] for r in rows if r["near_tie" if research else "tied"]]
+    if len(tied) > 1:
+        chosen = next(r["cluster_id"] for r in rows if (r["place"] == 1 if research else r["wins"]))
+        lines.append(f"  near ties: {', '.join('C' + c for c in tied)}; C{chosen} is taken")
+    return "\n".join(lines)
+
+
+def comparison_report(winners: DataFrame, merged: DataFrame) -> str:
+    """The three compared grammars, then their merged candidates and how many each gave."""
+    lines = ["Best grammars by R², agreement, complexity and loss:"]
+    for r in winners.orderBy("place").collect():
+        r2 = "none" if r["r2"] is None else f"{r['r2']:.5f}"
+        lines.append(f"  {r['place']}. C{r['cluster_id']}: R² {r2}, agreement {100 * (r['compatibility'] or 0.0):.1f}%, complexity {r['complexity']}")
+    rows = merged.orderBy("place").collect()  # at most ten
+    lines.append("Candidates of all of them:" if rows else "No candidates.")
+    for r in rows:
+        lines.append(f"  {r['place']}. C{r['cluster_id']}: {r['equation']}; loss {r['loss']:.6f}, agreement {100 * (r['compatibility'] or 0.0):.1f}%, likeness {100 * r['similarity']:.1f}% to {r['reference_name']}")
+    given = {r["cluster_id"]: r["contributed"] for r in rows}
+    if given:
+        lines.append("  given by " + ", ".join(f"C{c}: {n}" for c, n in sorted(given.items())))
+    return "\n".join(lines)
+
+
 def report(run: Run, equations: int = 5, matches: int = 5) -> str:
     """A text summary of a run; only the few rows it shows are fetched."""
     lines = [f"Grammar C{run.cluster_id}", "Features by R²:"]
     lines += [f"  {i}. {r['feature']}  R² = {r['r2']:.4f}" for i, r in enumerate(run.features.collect(), 1)]
-    best = {r["equation_id"]: r for r in run.matches.where("place = 1").collect()}
+    best = {r["equation_id"]: r for r in similarity.with_caution(run.matches.where("place = 1")).collect()}
     agreed = {r["equation_id"]: r for r in run.compatibility.collect()}
     for i, r in enumerate(run.equations.orderBy("loss", "complexity").limit(equations).collect(), 1):
         match, fits = best.get(r["equation_id"]), agreed.get(r["equation_id"])
         lines += [f"Equation {i}: {r['shown']}", f"  loss {r['loss']:.6f}, R² {r['r2']:.5f}, complexity {r['complexity']}"]
         if match is not None:
-            lines.append(f"  nearest: {match['display_name']} ({100 * match['score']:.1f}%)")
+            lines.append(f"  nearest: {match['display_name']} ({100 * match['score']:.1f}%), of {'this grammar' if match['agrees'] else 'grammar C' + str(match['cluster'])}, {match['subfield'] or 'no subfield'}{'; another field than preferred' if match['caution'] else ''}")
         if fits is not None:
             lines.append(f"  grammar agreement: {100 * fits['compatibility']:.1f}% ({fits['confidence']}), missing {', '.join(fits['missing_functions'] + fits['missing_operators']) or 'none'}")
     return "\n".join(lines)

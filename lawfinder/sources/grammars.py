@@ -91,3 +91,15 @@ def operator_costs(ops: DataFrame) -> DataFrame:
     most = F.max("weight").over(Window.partitionBy("cluster_id"))
     scaled = 1 + 4 * (1 - F.col("weight") / F.when(most > 0, most).otherwise(1.0))
     return ops.select("cluster_id", "op", "arity", "weight", F.greatest(F.lit(1), F.bround(scaled).cast("int")).alias("cost"))
+
+
+def weights_in_order(ops: DataFrame) -> DataFrame:
+    """What each grammar allows, heaviest first; ties by name."""
+    return ops.orderBy("cluster_id", "arity", F.desc("weight"), "op")
+
+
+def profile(grammars: DataFrame, ops: DataFrame) -> DataFrame:
+    """One row per grammar: its name, size and template, and its functions and operators by weight as text."""
+    listed = lambda arity: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("arity") == arity, F.struct(-F.col("weight"), "op", "weight")))), lambda s: F.format_string("%s %.2f", s["op"], s["weight"])), ", ")
+    texts = ops.groupBy("cluster_id").agg(listed(1).alias("functions_text"), listed(2).alias("operators_text"))
+    return grammars.select("cluster_id", "name", "equation_count", "template").join(texts, "cluster_id")

@@ -203,11 +203,16 @@ def test_whole_analyses(spark, hall_petch):
     importance, agreed, near = discover.evidence(spark, hall_petch, "sigma", run, operators, known)
     assert importance.agg(F.max("importance")).first()[0] > 0.1 and 0 < agreed.first()["compatibility"] <= best["compatibility"] + 1e-9 and near.count() == 5
     shown = discover.report(run)
-    assert "Grammar C7" in shown and "Equation 1" in shown
+    assert "Grammar C7" in shown and "Equation 1" in shown and "nearest: " in shown
+    lines = discover.probe_report(scores).splitlines()
+    assert len(lines) >= 14 and lines[1].startswith("  C0: score") and lines[13].startswith("  C12: score")
     few = grammars.builtin(spark).where(F.col("cluster_id").isin("0", "4", "7", "8"))
     probes, runs = discover.research_probe(spark, hall_petch, "sigma", known, few, terms=1)
     winners, merged = discover.top_three(probes, runs)
     assert winners.count() == 3 and merged.select("key").distinct().count() == merged.count() > 0
+    assert discover.probe_report(probes).startswith("Research probe") and "C8: combined" in discover.probe_report(probes)
+    compared = discover.comparison_report(winners, merged)
+    assert "  1. C" in compared and "given by C" in compared
     with pytest.raises(dataset.DatasetError):
         discover.search(spark, hall_petch, "sigma", "99", grammars.operator_table(few), known)
 
@@ -252,3 +257,20 @@ def test_search_far_from_zero(spark):
     best = fit.forward_search(spark, rows, "y", plan).orderBy("loss", "complexity").first()
     assert best["features"] == ["t"] and best["coefficients"][0] == pytest.approx(5) and best["r2"] == pytest.approx(1) and best["loss"] < 1e-9
     assert fit.forward_search(spark, rows, "y", plan).where("array_contains(features, 'flat')").count() == 0
+
+
+def test_nesting_limits(spark):
+    cases = [
+        ("exp(exp(x))", True), ("exp(a + (b*exp(c)))", True), ("exp(x) + exp(y)", False), ("x^2 + y^3", False), ("(x^2)^3", True), ("(x + 1)^2", False),
+        ("x^(y^2)", True), ("x^2^3", True), ("x^(y + 1)*z^2", False), ("((x^2) + 1)^y", True), ("sqrt(x^2)*(y)^2", False), ("", False), ("))(", False),
+    ]
+    found = spark.createDataFrame(cases, "s string, want boolean").withColumn("got", text.too_nested(F.col("s")))
+    assert [r["s"] for r in found.collect() if r["got"] is not r["want"]] == []
+
+
+def test_profiles_and_cautions(spark, ops):
+    assert [r["weight"] for r in grammars.weights_in_order(ops.where("cluster_id = '3' and arity = 1")).collect()] == sorted((r["weight"] for r in ops.where("cluster_id = '3' and arity = 1").collect()), reverse=True)
+    shown = grammars.profile(grammars.builtin(spark), ops).collect()
+    assert len(shown) == 13 and all(r["name"] and r["operators_text"] and r["functions_text"] for r in shown)
+    rows = spark.createDataFrame([("0", "0", "Thermal", ["Thermal"]), ("1", "0", "Optics", ["Thermal"]), ("1", "0", "Optics", []), (None, "0", None, ["Thermal"])], "cluster string, cluster_id string, subfield string, preferred array<string>")
+    assert [(r["caution"], r["agrees"]) for r in similarity.with_caution(rows).collect()] == [(False, True), (True, False), (False, False), (False, False)]
