@@ -14,6 +14,7 @@ gives no rows; further columns of the input are ignored.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,11 @@ _COLUMNS = ["doc_id", "start", "length", "doc_tokens", "ids"]
 # neither the tokenizer's normalisation nor its letter classes need more than lower() and the pattern of parts.
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa1\xab\xbb\xbf-\u024f]|<\\|")
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+# The settings of a tokenizer under which its chunks are those of the two patterns above.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
 
 
 def _byte_names() -> dict[int, str]:
@@ -59,7 +65,8 @@ class ChunkIds(dict):
     goes to its vocabulary alone; so chunks and parts are remembered with
     their ids. A text with any character that might act on its neighbours
     (other scripts, combining marks, rare white space, special tokens) is
-    given to the tokenizer whole.
+    given to the tokenizer whole, and so is every text where the tokenizer's
+    settings are others.
     """
 
     def __init__(self, path: str, dtype: str, most: int = CACHE):
@@ -70,6 +77,14 @@ class ChunkIds(dict):
         self.dtype, self.most = dtype, most
         self.parts: dict[str, bytes] = {}
         self.names = _byte_names()
+        self.chunked = self._known()
+
+    def _known(self) -> bool:
+        """Whether the tokenizer normalises and splits as the chunks here do."""
+        steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        settings = [None if step is None else json.loads(step.__getstate__()) for step in steps]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return settings == [_NORMALIZER, _PRE_TOKENIZER] and all(t.startswith("<|") for t in added)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -90,7 +105,7 @@ class ChunkIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.chunked or _ODD.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 

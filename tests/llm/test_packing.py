@@ -23,6 +23,15 @@ def test_chunks_equal_the_tokenizer(tokenizer):
         assert fast.of(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_other_tokenizers_see_whole_texts(tokenizer):
+    assert ChunkIds(PATH, "<u4").chunked
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    fast, exact = ChunkIds(other, "<u4"), Tokenizer.from_file(other)
+    assert not fast.chunked
+    for text in (t or "" for t in TEXTS):
+        assert fast.of(text) == np.asarray(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:40])
+
+
 def test_every_id_lies_in_one_piece(spark, tokenizer):
     rows = [(i, t, "x", 7) for i, t in enumerate(TEXTS * 20)]
     packed = pack(spark.createDataFrame(rows, "doc_id long, text string, ids string, part long"), PATH, group=32)
