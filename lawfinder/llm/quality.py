@@ -9,8 +9,10 @@ distances come from Cholesky factors computed once.
 Defined cases: a null or empty text has the statistics of a text without
 words and gets a score like any other; where a class has fewer than two
 labelled rows every score is the share of class 1 (0.5 without labels);
-repeated rows are scored each; rows of labels with a null label are not used;
-further columns are ignored; an empty table gives no rows.
+repeated rows are scored each, and each teaches where labelled; rows of labels
+with a null label, and labels of one id that differ, are not used, and those
+that repeat count once; further columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -137,7 +139,8 @@ class Discriminant:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score; ``labels`` has doc_id and label (0 or 1) of the rows to learn from."""
     facts = cut(document_statistics(docs))
-    known = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    sure = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most"))
+    known = sure.where("label = most").select("doc_id", "label")
     model = Discriminant(class_moments(facts.join(known, "doc_id").select("label", "x")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,15 @@ def test_separates_and_covers_edge_cases(spark):
     assert all((r["score"] > 0.5) == (r["doc_id"] < 100) for r in found if r["doc_id"] < 900)
 
 
+def test_repeated_and_contradicting_labels(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, score string")
+    once = [(i, int(i < 100)) for i, *_ in rows() if i % 3]
+    twice = spark.createDataFrame(once + [p for p in once if p[0] < 100] + [(0, 0), (0, 1), (102, 1), (102, 0)], "doc_id long, label int")
+    of = lambda labels: {r["doc_id"]: r["score"] for r in score_quality(docs, labels).collect()}
+    one, two = of(spark.createDataFrame(once, "doc_id long, label int")), of(twice)
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-6 for i in one)
+
+
 def test_without_labels_and_rows(spark):
     docs = spark.createDataFrame(rows()[:3], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, label int")
