@@ -44,11 +44,44 @@ def top_features(scores: DataFrame, names: list[str], top: int = 10) -> DataFram
     return scores.orderBy(F.desc("r2"), at).limit(top)
 
 
+def quantiles(df: DataFrame, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles of each column, as (feature, share, value), in bounded memory.
+
+    A sketch brackets the ranks wanted of each column; the values inside a
+    bracket are then counted and ranked, so a window sees about
+    ``6 / accuracy`` of the distinct values. Nulls are passed over.
+    """
+    rows = long_form(df).where("x is not null")
+    near = [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in shares for side in (-1, 1)]
+    bounds = rows.groupBy("feature").agg(F.percentile_approx("x", near, accuracy).alias("b"), F.count(F.lit(1)).alias("n"))
+    wanted = F.array(*[
+        F.struct(F.lit(p).alias("share"), F.col("b")[2 * i].alias("low"), F.col("b")[2 * i + 1].alias("high"), (F.lit(p) * (F.col("n") - 1)).alias("at"))
+        for i, p in enumerate(shares)
+    ])
+    # A row per column and share.
+    spans = bounds.select("feature", F.inline(wanted))
+    own = ["feature", "share", "at"]
+    # What lies outside a bracket is only counted, by side, with the value next to the bracket.
+    side = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), 1).otherwise(0)
+    placed = rows.join(F.broadcast(spans), "feature").withColumn("side", side)
+    inside = F.when(F.col("side") == 0, F.col("x"))
+    counted = placed.groupBy(*own, "side", inside.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    value = F.when(F.col("side") == -1, F.col("most")).otherwise(F.col("least"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "share").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.select(*own, value.alias("v"), upto.alias("upto"))
+    whole = F.floor("at")
+    found = ranked.groupBy(*own).agg(
+        F.min(F.when(F.col("upto") > whole, F.col("v"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("high")
+    )
+    rest = F.col("at") - whole
+    return found.select("feature", "share", F.when(rest == 0, F.col("low")).otherwise((1 - rest) * F.col("low") + rest * F.col("high")).alias("value"))
+
+
 def scale_parameters(df: DataFrame) -> DataFrame:
     """Median and interquartile range of each column; a range of 0 counts as 1."""
-    q = long_form(df).groupBy("feature").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = F.col("q")[2] - F.col("q")[0]
-    return q.select("feature", F.col("q")[1].alias("centre"), F.when(spread == 0, 1.0).otherwise(spread).alias("spread"))
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("value")))
+    spread = at(0.75) - at(0.25)
+    return quantiles(df, (0.25, 0.5, 0.75)).groupBy("feature").agg(at(0.5).alias("centre"), F.when(spread == 0, 1.0).otherwise(spread).alias("spread"))
 
 
 def robust_scaled(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
 
@@ -82,8 +81,8 @@ def diagnosed(library: DataFrame, keyword: str, most: int = 5) -> DataFrame:
     from ..operators.catalog import searched
 
     hits = searched(library, keyword, DIAGNOSE_FIELDS)
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    return hits.withColumn("matches", total).orderBy("position").limit(most).select(
+    total = hits.agg(F.count(F.lit(1)).alias("matches"))  # one row
+    return hits.orderBy("position").limit(most).join(F.broadcast(total)).orderBy("position").select(
         "display_name", "cluster", "subfield", "latex", F.col("lib_sig.norm").alias("normalized"), "quality", quality_label(F.col("quality")).alias("quality_label"),
         "lib_sig.operators", "lib_sig.functions", "lib_sig.var_names", "lib_sig.term_shapes", "matches",
     )

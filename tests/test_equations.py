@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,17 @@ def test_compatibility(spark, ops):
     assert detail["7"]["matched_functions"] == ["sqrt"] and detail["7"]["missing_functions"] == ["log", "log10", "tan"] and detail["7"]["missing_operators"] == ["*", "-", "^"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 101, 30_000])
+def test_quantiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    columns = {"spread": rng.normal(size=n), "tied": rng.integers(0, 3, n).astype(float)}
+    rows = spark.createDataFrame([*zip(*(c.tolist() for c in columns.values()), [None] * n, strict=True), (None, None, None)], "spread double, tied double, gone double")
+    found = {(r["feature"], r["share"]): r["value"] for r in stats.quantiles(rows, (0.25, 0.5, 0.75)).collect()}
+    assert len(found) == 6
+    for (name, share), v in found.items():
+        assert v == pytest.approx(np.quantile(columns[name], share), abs=1e-12)
+
+
 def test_library_search_labels_and_diagnosis(spark):
     known = library.textbook(spark).cache()
     assert {r["cluster"] for r in known.select("cluster").distinct().collect()} == {str(i) for i in range(13)}
@@ -168,6 +180,8 @@ def test_library_search_labels_and_diagnosis(spark):
     assert labels == ["[C1]  Hall-Petch Relation  (Strengthening)", "[C1]  Hall-Petch Relation  (Strengthening) #2"]
     first = library.diagnosed(known, "conduction").first()
     assert first["matches"] == 1 and first["quality_label"] == "clean" or first["quality"] < 1
+    many = library.diagnosed(known, "a", most=2).collect()
+    assert len(many) == 2 and many[0]["matches"] == many[1]["matches"] == catalog.searched(known, "a", library.DIAGNOSE_FIELDS).count() > 2
     profiles = {r["cluster"]: r for r in library.clusters(known).collect()}
     assert profiles["1"]["total"] == 4 and profiles["1"]["top_categories"][0] == "Strengthening" and len(profiles["1"]["samples"]) == 3
     assert library.from_json(spark, "/nowhere/equations.json").count() == 0
