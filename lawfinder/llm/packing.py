@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -110,6 +111,12 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
+@lru_cache(maxsize=4)
+def chunk_ids(kind: type[ChunkIds], path: str, dtype: str) -> ChunkIds:
+    """The chunks that this Python worker knows; later tasks of the worker go on with them."""
+    return kind(path, dtype)
+
+
 def _width(tokenizer_path: str) -> str:
     from tokenizers import Tokenizer
 
