@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import text, tree
 
 # Weights of the parts of similarity.
 WEIGHTS = {"term_shapes": 0.35, "functions": 0.15, "operators": 0.10, "exponents": 0.15, "var_names": 0.15, "complexity": 0.05, "var_count": 0.05}
@@ -122,6 +122,32 @@ def influence(uses: DataFrame, shares: DataFrame, equation_ops: DataFrame, by: l
     return per.unionByName(joint).groupBy(*by, "op").agg(F.least(F.lit(1.0), F.max("mass")).alias("influence"))
 
 
+def carried(equations: DataFrame, formula: str, features: DataFrame, by: list[str]) -> DataFrame:
+    """(by, op, influence): how much of the importance each operator and function of an equation carries, read off its tree.
+
+    ``features`` has feature, formula and share, a row per feature of a plan.
+    A feature is used where its formula is a subtree, so ``d`` is not found in
+    ``sqrtd``; its share goes to the operators and functions of its formula. A
+    function also gets the share of each feature with a name in its argument,
+    used or not, and each feature counts once per function. Binary operators
+    carry at least what all used features carry. Formulas that are none carry nothing.
+    """
+    binary = lambda t: F.array_distinct(F.filter(t, lambda x: x.isin(*tree.BINARY)))
+    spoken = lambda fs: F.array_distinct(F.transform(fs, lambda x: F.when(x == "log10", "log").otherwise(x)))
+    own = features.withColumn("t", tree.tree(F.col("formula"))).where("t is not null and share > 0").select(
+        F.struct("feature", "share", "t", F.array_union(binary(F.col("t")), spoken(F.filter("t", tree.is_function))).alias("ops"), tree.names(F.col("t")).alias("names")).alias("f")
+    )
+    plan = own.agg(F.array_sort(F.collect_list("f")).alias("fs"))  # one row: the features of a plan, as many as its columns give
+    known = equations.select(*by, tree.tree(F.col(formula)).alias("t")).where("t is not null").join(F.broadcast(plan))
+    marked = known.withColumn("used", F.filter("fs", lambda f: tree.contains(F.col("t"), f["t"]))).withColumn("args", tree.arguments(F.col("t")))
+    by_feature = marked.select(*by, F.explode("used").alias("f")).select(*by, F.explode("f.ops").alias("op"), "f.feature", "f.share")
+    spread = marked.select(*by, "fs", F.explode("args").alias("a")).select(*by, F.explode(F.filter("fs", lambda f: F.arrays_overlap(f["names"], F.col("a.names")))).alias("f"), spoken(F.array("a.function"))[0].alias("op"))
+    once = by_feature.unionByName(spread.select(*by, "op", "f.feature", "f.share")).dropDuplicates([*by, "op", "feature"])
+    active = F.aggregate("used", F.lit(0.0), lambda a, f: a + f["share"])
+    joint = marked.select(*by, F.explode(binary(F.col("t"))).alias("op"), active.alias("mass"))
+    return once.groupBy(*by, "op").agg(F.sum("share").alias("mass")).unionByName(joint).groupBy(*by, "op").agg(F.least(F.lit(1.0), F.max("mass")).alias("influence"))
+
+
 def dominant_core(held: DataFrame, by: list[str], least: float = 0.01) -> DataFrame:
     """(by, core): signature of the sum of an equation's formulas that carry at least ``least`` of the importance each; none for fewer than two."""
     formulas = held.where(F.col("share") >= least).groupBy(*by).agg(F.array_sort(F.collect_list("formula")).alias("fs"))
