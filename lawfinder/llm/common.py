@@ -68,6 +68,16 @@ def drop_cut(df: DataFrame) -> None:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def split_id(id_col: str = "doc_id") -> list[Column]:
+    """An id as ``no_id`` and ``own_id``, never null: pandas makes doubles of whole numbers beside nulls, which changes large ones."""
+    return [F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("own_id")]
+
+
+def whole_id(name: str = "doc_id") -> Column:
+    """The id that :func:`split_id` took apart."""
+    return F.when(~F.col("no_id"), F.col("own_id")).alias(name)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once per row."""
     return F.transform(F.array(value), use)[0]

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, numbered, table
+from .common import bound, components, cut, numbered, table
 
 THRESHOLD = 0.93
 #: Vectors on which rotations are fitted and agreement is measured, at most, and their components, at most; every vector is indexed.
@@ -144,6 +144,12 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     raw = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     marked = raw.withColumn("ok", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
+    # Direction alone counts: vectors are scaled by a power of two near their largest component, which is exact, so that no square overflows or vanishes.
+    power = F.floor(F.log2(F.array_max(F.transform("v", F.abs))))
+    # In two factors, as one alone may be beyond the largest double.
+    factors = bound(power, lambda p: F.array(F.pow(F.lit(2.0), -F.floor(p / 2)), F.pow(F.lit(2.0), F.floor(p / 2) - p)))
+    scaled = bound(factors, lambda f: F.transform("v", lambda x: x * f[0] * f[1]))
+    marked = marked.withColumn("v", F.when(F.col("ok"), scaled).otherwise(F.col("v")))
     keyed = marked.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
     usable = keyed.where("ok")
     alike = usable.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import split_id, table, whole_id
 
 CAPACITY = 4096
 END_ID = 2
@@ -36,9 +36,9 @@ CACHE = 500_000
 #: Attention's share of the cost of a token, per token before it in its document.
 QUADRATIC = 1.0 / 2048
 
-_PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-_PLACED = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary, sequence_id long, offset long"
-_COLUMNS = ["doc_id", "start", "length", "doc_tokens", "ids"]
+_PIECES = "no_id boolean, own_id long, start long, length long, doc_tokens long, ids binary"
+_PLACED = "no_id boolean, own_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary, sequence_id long, offset long"
+_COLUMNS = ["no_id", "own_id", "start", "length", "doc_tokens", "ids"]
 
 # Plain characters: printable ASCII with its white space, Latin letters, and the marks of Western languages. On these
 # neither the tokenizer's normalisation nor its letter classes need more than lower() and the pattern of parts.
@@ -126,24 +126,24 @@ def _width(tokenizer_path: str) -> str:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize documents and cut them into whole sequences and one shorter rest each.
 
-    ``ids`` holds little-endian unsigned ids of 16 bits where the vocabulary
+    A document is told by no_id and own_id. ``ids`` holds little-endian unsigned ids of 16 bits where the vocabulary
     allows it, else of 32.
     """
     dtype = _width(tokenizer_path)
     size = int(dtype[-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = ChunkIds(tokenizer_path, dtype)
+        ids_of = chunk_ids(ChunkIds, tokenizer_path, dtype)
         end = np.asarray([end_id], dtype=dtype).tobytes()
         width = size * capacity
         for batch in batches:
-            rows: list[tuple[int, int, int, int, bytes]] = []
+            rows: list[tuple[bool, int, int, int, int, bytes]] = []
             held = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for no_id, own_id, text in zip(batch["no_id"], batch["own_id"], batch["text"], strict=True):
                 ids = ids_of.of(text or "") + end
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
-                    rows.append((doc_id, at // size, len(part) // size, len(ids) // size, part))
+                    rows.append((no_id, own_id, at // size, len(part) // size, len(ids) // size, part))
                     held += len(part)
                 if held > 4 << 20:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
@@ -151,7 +151,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             if rows:
                 yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema=_PIECES)
+    return docs.select(*split_id(), "text").mapInPandas(run, schema=_PIECES)
 
 
 def place(lengths: np.ndarray, capacity: int, quadratic: float) -> list[list[tuple[int, int, int]]]:
@@ -200,20 +200,22 @@ def pack(
     step = int(dtype[-1])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        doc, start, tokens, ids = (rows[c].to_list() for c in ("doc_id", "start", "doc_tokens", "ids"))
+        rows = rows.sort_values(["length", "no_id", "own_id", "start"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        none, doc, start, tokens, ids = (rows[c].to_list() for c in ("no_id", "own_id", "start", "doc_tokens", "ids"))
         made = []
         for number, content in enumerate(place(rows["length"].to_numpy(), capacity, quadratic)):
             offset = 0
             for piece, first, took in content:
                 own = np.frombuffer(ids[piece], dtype)[first : first + took].astype("<u4").tobytes()
-                made.append((doc[piece], start[piece] + first, took, tokens[piece], zlib.crc32(own), own if with_ids else None, (int(key[0]) << 32) + number, offset))
+                made.append((none[piece], doc[piece], start[piece] + first, took, tokens[piece], zlib.crc32(own), own if with_ids else None, (int(key[0]) << 32) + number, offset))
                 offset += took
-        return pd.DataFrame(made, columns=["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "sequence_id", "offset"])
+        return pd.DataFrame(made, columns=["no_id", "own_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "sequence_id", "offset"])
 
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("part").applyInPandas(run, schema=_PLACED)
+    # A row's own number is in the hash, so that rows of one id, or of none, and copies of a text spread over all groups.
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("own_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
+    placed = dealt.groupBy("part").applyInPandas(run, schema=_PLACED)
+    return placed.select(whole_id(), "start", "length", "doc_tokens", "ids_crc32", "ids", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, scratch_folder, table
+from .common import cut, scratch_folder, split_id, table, whole_id
 from .textstats import mixed, word_bounds, word_hashes
 
 ORDER = 5
@@ -295,7 +295,7 @@ def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: Data
         models = Models.shared(path, bits)
 
         def scored(held: list[tuple]) -> pd.DataFrame:
-            rows = pd.DataFrame([(r[0], r[1], *base_counts(r[3])) for r in held], columns=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            rows = pd.DataFrame([(*r[0], r[1], *base_counts(r[3])) for r in held], columns=["no_id", "own_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             sums, runs = np.zeros(len(held)), np.zeros(len(held))
             for name in {r[2] for r in held}:
                 pieces, owner = [], []
@@ -317,8 +317,8 @@ def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: Data
 
         held, size = [], 0
         for batch in batches:
-            for doc_id, own, name, text in zip(batch["doc_id"], batch["lang"], batch["judge"], batch["text"], strict=True):
-                held.append((doc_id, own, name, text or ""))
+            for no_id, own_id, own, name, text in zip(batch["no_id"], batch["own_id"], batch["lang"], batch["judge"], batch["text"], strict=True):
+                held.append(((no_id, own_id), own, name, text or ""))
                 size += len(text or "")
                 if size >= TOGETHER or len(held) >= 4096:
                     yield scored(held)
@@ -326,8 +326,8 @@ def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: Data
         if held:
             yield scored(held)
 
-    seen = texts.select("doc_id", "lang", model(1 - F.col("half")).alias("judge"), "text")
-    scored = cut(seen.mapInPandas(run, schema="doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"))
+    seen = texts.select(*split_id(), "lang", model(1 - F.col("half")).alias("judge"), "text")
+    scored = cut(seen.mapInPandas(run, schema="no_id boolean, own_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")).withColumn("doc_id", whole_id())
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marked = scored.withColumn("base_failed", failed)
     sound = marked.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("doc_id", "lang", "log_ppl")
@@ -338,7 +338,7 @@ def judged(docs: DataFrame, order: int = ORDER, band: float = BAND, labels: Data
         own = quantiles(sound.join(clean.select("doc_id"), "doc_id", "left_semi"), "lang", "log_ppl", {"s1": false_rejection / 2, "s2": 1 - false_rejection / 2})
         bands = bands.join(own.where(F.col("n") >= FEWEST_CLEAN), "lang", "left").select("lang", F.coalesce("s1", "lower").alias("lower"), F.coalesce("s2", "upper").alias("upper"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return marked.join(cut(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return marked.drop("no_id", "own_id").join(cut(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

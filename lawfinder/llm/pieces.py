@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import split_id, table, whole_id
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a Python worker remembers.
@@ -40,7 +40,7 @@ CACHE = 400_000
 TOGETHER = 4 << 20
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_CODED = "doc_id long, n_ids long, ids binary, ids_crc32 long, decoded string"
+_CODED = "no_id boolean, own_id long, n_ids long, ids binary, ids_crc32 long, decoded string"
 
 
 class PieceTrie:
@@ -174,14 +174,15 @@ def coded(docs: DataFrame, model_path: str, with_ids: bool = True, with_text: bo
                 texts = part["text"].to_list()
                 ids = [e if t is not None else None for t, e in zip(texts, codec.encode([t or "" for t in texts]), strict=True)]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_list(),
+                    "no_id": part["no_id"], "own_id": part["own_id"],
                     "n_ids": pd.array([len(e) // 4 if e is not None else None for e in ids], dtype="Int64"),
                     "ids": ids if with_ids else None,
                     "ids_crc32": pd.array([zlib.crc32(e) if e is not None else None for e in ids], dtype="Int64"),
                     "decoded": [codec.decode(e) if e is not None and with_text else None for e in ids],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema=_CODED)
+    found = docs.select(*split_id(), "text").mapInPandas(run, schema=_CODED)
+    return found.select(whole_id(), *[c for c in found.columns if c not in ("no_id", "own_id")])
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

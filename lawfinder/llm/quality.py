@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, split_id, table, whole_id
 from .textstats import shingle_hashes, word_bounds, word_hashes
 
 #: Weight of the pooled covariance in each class's, and of the identity in the result.
@@ -79,9 +79,10 @@ def statistics(text: str | None) -> np.ndarray:
 def document_statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [statistics(t) for t in batch["text"]]})
+            yield pd.DataFrame({"no_id": batch["no_id"], "own_id": batch["own_id"], "x": [statistics(t) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema="doc_id long, x array<double>")
+    found = docs.select(*split_id(), "text").mapInPandas(run, schema="no_id boolean, own_id long, x array<double>")
+    return found.select(whole_id(), "x")
 
 
 def class_moments(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -146,9 +147,10 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["x"].to_list()).reshape(-1, DIMENSIONS)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(x)})
+            yield pd.DataFrame({"no_id": batch["no_id"], "own_id": batch["own_id"], "score": model.score(x)})
 
-    return facts.mapInPandas(run, schema="doc_id long, score double")
+    scored = facts.select(*split_id(), "x").mapInPandas(run, schema="no_id boolean, own_id long, score double")
+    return scored.select(whole_id(), "score")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lawfinder.llm.embeddup import Index, near_vectors, partners
 
@@ -94,3 +95,10 @@ def test_plan_reaches_target():
         index = Index(unit, n, 0.93, 0.97)
         one, two = partners(unit, 0.93, seed=11)
         assert (index.keys(one) == index.keys(two)).any(axis=1).mean() >= 0.94
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e-310, 1.7e308])
+def test_very_large_and_very_small_vectors(spark, scale):
+    rows = [(1, [scale, scale], 1), (2, [scale, 0.99 * scale], 1), (3, [scale, -scale], 1), (4, [1.0, 1.0], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}

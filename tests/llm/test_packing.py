@@ -64,3 +64,15 @@ def test_place_fills_and_balances():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_large_ids_beside_null_ones_and_one_id_on_all_rows(spark):
+    """A null beside them leaves ids above 2^53 as they are, and rows of one id do not all meet in one group."""
+    ids = [None, 2**53 + 1, 2**53 + 3, None]
+    rows = pack(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string"), PATH).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, ids))
+    same = pack(spark.createDataFrame([(None, "a b")] * 600, "doc_id long, text string"), PATH, group=20).collect()
+    groups = {}
+    for r in same:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(same) == 600 and max(groups.values()) < 60
