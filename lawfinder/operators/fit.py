@@ -1,8 +1,10 @@
-"""Closed-form fits of small models, their Pareto front, and a forward search."""
+"""Closed-form fits of small models, their Pareto front, and a forward search, all from moments of one reading of the data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text, tree
 from ..sources.dataset import long_form
-from .features import Feature
+from .features import RELEVANCE, Feature, allowed
 from .stats import FLAT
 
 #: Losses below this count as this much in the score of the front.
@@ -82,8 +85,28 @@ def pareto_front(models: DataFrame, by: list[str] | None = None, tie: str = "fea
     return front.withColumn("score", F.coalesce(gain, F.lit(0.0)))
 
 
-def centred_moments(wide: DataFrame, target: str, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, population deviations and correlations of the features and the target; their size depends on the columns alone.
+@dataclass(frozen=True)
+class Moments:
+    """Rows, means, population deviations and correlations of features and, last, the target; their size depends on the columns alone."""
+
+    rows: int
+    mean: np.ndarray
+    deviation: np.ndarray
+    cov: np.ndarray
+
+    @property
+    def spread(self) -> float:
+        return float(self.deviation[-1] ** 2)
+
+    def r2(self, i: int) -> float:
+        """R² of the line on one feature; 0 for a flat one, and 1 for a flat target."""
+        if self.deviation[i] < FLAT or self.rows < 3:
+            return 0.0
+        return float(self.cov[i, -1] ** 2 / (self.cov[i, i] * self.cov[-1, -1])) if self.deviation[-1] >= FLAT else 1.0
+
+
+def centred_moments(wide: DataFrame, target: str, names: list[str]) -> Moments:
+    """The moments of named columns and a target.
 
     A first pass finds means and deviations, a second the products of the
     scaled values, so that columns far from zero lose nothing.
@@ -108,19 +131,34 @@ def centred_moments(wide: DataFrame, target: str, names: list[str]) -> tuple[np.
     found = found.reshape(size + 1, size + 1)
     n = max(found[0, 0], 1.0)
     off = found[0, 1:] / n
-    return mean, deviation, found[1:, 1:] / n - np.outer(off, off)
+    return Moments(int(found[0, 0]), mean, deviation, found[1:, 1:] / n - np.outer(off, off))
 
 
-def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list[Feature], most_terms: int = 4, beam: int = 8, max_size: int = 30) -> DataFrame:
-    """Grow linear combinations of features term by term, keeping the best few of each length.
+SEARCHED = "complexity int, loss double, r2 double, terms int, features array<string>, coefficients array<double>, intercept double, equation string"
 
-    The data are read twice, for the moments; every candidate is solved from
-    those, in scaled columns. The beam makes it a heuristic. Returns complexity, loss, r2, terms, features, coefficients, intercept and equation.
-    """
-    names = [f.name for f in plan]
-    mean, deviation, cov = centred_moments(wide, target, names)
-    spread = deviation[-1] ** 2
-    usable = [i for i in range(len(names)) if deviation[i] >= FLAT]
+
+def _solved(m: Moments, plan: list[Feature], chosen: tuple[int, ...]) -> tuple[float, int, np.ndarray] | None:
+    """Loss, size and coefficients of the line on chosen features; none where they are as good as dependent."""
+    c = m.cov[np.ix_(chosen, chosen)]
+    if np.linalg.cond(c) > 1e10:
+        return None
+    slope = np.linalg.solve(c, m.cov[list(chosen), -1])
+    unit = m.deviation[-1] if m.deviation[-1] >= FLAT else 1.0
+    loss = max(0.0, float(m.cov[-1, -1] - slope @ m.cov[list(chosen), -1])) * float(unit**2)
+    return loss, sum(formula_size(plan[k]) + 3 for k in chosen) + 1, slope * unit / m.deviation[list(chosen)]
+
+
+def _row(m: Moments, plan: list[Feature], chosen: tuple[int, ...], solved: tuple[float, int, np.ndarray]) -> tuple:
+    loss, size, coef = solved
+    constant = m.mean[-1] - coef @ m.mean[list(chosen)]
+    text = " + ".join([f"{a:.6g}*({plan[i].formula})" for a, i in zip(coef, chosen, strict=True)] + [f"{constant:.6g}"])
+    r2 = float(1 - loss / m.spread) if m.deviation[-1] >= FLAT else 1.0
+    return size, loss, r2, len(chosen), [plan[i].name for i in chosen], [float(a) for a in coef], float(constant), text
+
+
+def grown(m: Moments, plan: list[Feature], usable: list[int], most_terms: int = 4, beam: int = 8, max_size: int = 30) -> list[tuple]:
+    """Lines grown feature by feature from the moments, the best few of each length; rows of ``SEARCHED``."""
+    usable = [i for i in usable if m.deviation[i] >= FLAT]
     kept: list[tuple[int, ...]] = [()]
     rows = []
     for _ in range(most_terms):
@@ -128,19 +166,69 @@ def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list
         for have in kept:
             for i in usable:
                 chosen = tuple(sorted({*have, i}))
-                size = sum(formula_size(plan[k]) + 3 for k in chosen) + 1
-                if i in have or chosen in found or size > max_size:
-                    continue
-                c = cov[np.ix_(chosen, chosen)]
-                if np.linalg.cond(c) > 1e10:
+                if i in have or chosen in found or sum(formula_size(plan[k]) + 3 for k in chosen) + 1 > max_size:
                     continue
-                slope = np.linalg.solve(c, cov[list(chosen), -1])
-                loss = max(0.0, float(cov[-1, -1] - slope @ cov[list(chosen), -1])) * float(spread if deviation[-1] >= FLAT else 1.0)
-                found[chosen] = (loss, size, slope * (deviation[-1] if deviation[-1] >= FLAT else 1.0) / deviation[list(chosen)])
+                solved = _solved(m, plan, chosen)
+                if solved is not None:
+                    found[chosen] = solved
         kept = sorted(found, key=lambda k: (found[k][0], found[k][1], k))[:beam]
-        for k in kept:
-            loss, size, coef = found[k]
-            constant = mean[-1] - coef @ mean[list(k)]
-            text = " + ".join([f"{a:.6g}*({plan[i].formula})" for a, i in zip(coef, k, strict=True)] + [f"{constant:.6g}"])
-            rows.append((size, loss, float(1 - loss / spread) if deviation[-1] >= FLAT else 1.0, len(k), [names[i] for i in k], [float(a) for a in coef], float(constant), text))
-    return spark.createDataFrame(rows, "complexity int, loss double, r2 double, terms int, features array<string>, coefficients array<double>, intercept double, equation string")
+        rows += [_row(m, plan, k, found[k]) for k in kept]
+    return rows
+
+
+def relevant(m: Moments, plan: list[Feature], functions: set[str] | None, threshold: float = RELEVANCE) -> list[int]:
+    """Features of a plan that a grammar's functions allow and that stay: raw ones always, others if not flat and relevant."""
+    roots, logs = allowed(functions)
+    kinds = {"raw", *(["sqrt", "inv_sqrt", "quotient"] if roots else []), *(["log"] if logs else [])}
+    return [i for i, f in enumerate(plan) if f.kind == "raw" or f.kind in kinds and m.deviation[i] >= FLAT and m.r2(i) >= threshold]
+
+
+def small_models(m: Moments, plan: list[Feature], usable: list[int]) -> list[tuple]:
+    """The best line on one feature and the best on two, of all there are; rows of ``SEARCHED``. Ties go to the simpler, then to the earlier features."""
+    usable = [i for i in usable if m.deviation[i] >= FLAT]
+    rows = []
+    for choices in ([(i,) for i in usable], list(combinations(usable, 2))):
+        found = {k: s for k in choices if (s := _solved(m, plan, k)) is not None}
+        if found:
+            best = min(found, key=lambda k: (round(found[k][0] / (m.spread or 1.0), 12), found[k][1], k))
+            rows.append(_row(m, plan, best, found[best]))
+    return rows
+
+
+def expected_importance(m: Moments, plan: list[Feature], features: list[str], coefficients: list[float]) -> dict[str, float]:
+    """Drop of R² to expect when a feature's values are dealt anew, for a least-squares line: twice its term's share of the target's variance."""
+    at = {f.name: i for i, f in enumerate(plan)}
+    return {n: float(2 * (a * m.deviation[at[n]]) ** 2 / m.spread) if m.spread else 0.0 for n, a in zip(features, coefficients, strict=True)}
+
+
+def forward_search(spark: SparkSession, wide: DataFrame, target: str, plan: list[Feature], most_terms: int = 4, beam: int = 8, max_size: int = 30) -> DataFrame:
+    """Grow linear combinations of features term by term, keeping the best few of each length.
+
+    The data are read twice, for the moments; every candidate is solved from
+    those, in scaled columns. The beam makes it a heuristic. Returns complexity, loss, r2, terms, features, coefficients, intercept and equation.
+    """
+    m = centred_moments(wide, target, [f.name for f in plan])
+    return spark.createDataFrame(grown(m, plan, list(range(len(plan))), most_terms, beam, max_size), SEARCHED)
+
+
+def predictor(spark: SparkSession, equation: str) -> Callable[[dict[str, Column]], Column]:
+    """An equation's text as a function from columns by name to a column; the text is parsed once, by Spark."""
+    postfix = spark.range(1).select(tree.parsed(F.lit(equation)).alias("t")).first()["t"]
+    if postfix is None:
+        raise ValueError(f"no formula: {equation}")
+    two = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: F.try_divide(x, y), "^": F.pow}
+    one = {"log": F.ln, "~": lambda x: -x} | {f: getattr(F, f) for f in text.FUNCTIONS if f != "log"}
+
+    def predict(columns: dict[str, Column]) -> Column:
+        stack: list[Column] = []
+        for t in postfix:
+            if t in two:
+                y, x = stack.pop(), stack.pop()
+                stack.append(two[t](x, y))
+            elif t in one:
+                stack.append(one[t](stack.pop()))
+            else:
+                stack.append(F.lit(float(t)) if t[0].isdigit() or t[0] == "." else columns[t])
+        return stack[0]
+
+    return predict

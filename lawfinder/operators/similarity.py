@@ -125,7 +125,8 @@ def influence(uses: DataFrame, shares: DataFrame, equation_ops: DataFrame, by: l
 def carried(equations: DataFrame, formula: str, features: DataFrame, by: list[str]) -> DataFrame:
     """(by, op, influence): how much of the importance each operator and function of an equation carries, read off its tree.
 
-    ``features`` has feature, formula and share, a row per feature of a plan.
+    ``features`` has feature, formula and share, a row per feature of a plan;
+    where shares differ by equation, ``equations`` has them as a map ``shares``.
     A feature is used where its formula is a subtree, so ``d`` is not found in
     ``sqrtd``; its share goes to the operators and functions of its formula. A
     function also gets the share of each feature with a name in its argument,
@@ -134,11 +135,17 @@ def carried(equations: DataFrame, formula: str, features: DataFrame, by: list[st
     """
     binary = lambda t: F.array_distinct(F.filter(t, lambda x: x.isin(*tree.BINARY)))
     spoken = lambda fs: F.array_distinct(F.transform(fs, lambda x: F.when(x == "log10", "log").otherwise(x)))
-    own = features.withColumn("t", tree.tree(F.col("formula"))).where("t is not null and share > 0").select(
+    apart = "shares" in equations.columns
+    known_shares = features.withColumn("share", F.lit(1.0)) if apart else features
+    own = known_shares.withColumn("t", tree.tree(F.col("formula"))).where("t is not null and share > 0").select(
         F.struct("feature", "share", "t", F.array_union(binary(F.col("t")), spoken(F.filter("t", tree.is_function))).alias("ops"), tree.names(F.col("t")).alias("names")).alias("f")
     )
     plan = own.agg(F.array_sort(F.collect_list("f")).alias("fs"))  # one row: the features of a plan, as many as its columns give
-    known = equations.select(*by, tree.tree(F.col(formula)).alias("t")).where("t is not null").join(F.broadcast(plan))
+    known = equations.select(*by, tree.tree(F.col(formula)).alias("t"), *(["shares"] if apart else [])).where("t is not null").join(F.broadcast(plan))
+    if apart:
+        share = lambda f: F.coalesce(F.try_element_at("shares", f["feature"]), F.lit(0.0))
+        mine = F.transform("fs", lambda f: F.struct(f["feature"].alias("feature"), share(f).alias("share"), f["t"].alias("t"), f["ops"].alias("ops"), f["names"].alias("names")))
+        known = known.withColumn("fs", F.filter(mine, lambda f: f["share"] > 0))
     marked = known.withColumn("used", F.filter("fs", lambda f: tree.contains(F.col("t"), f["t"]))).withColumn("args", tree.arguments(F.col("t")))
     by_feature = marked.select(*by, F.explode("used").alias("f")).select(*by, F.explode("f.ops").alias("op"), "f.feature", "f.share")
     spread = marked.select(*by, "fs", F.explode("args").alias("a")).select(*by, F.explode(F.filter("fs", lambda f: F.arrays_overlap(f["names"], F.col("a.names")))).alias("f"), spoken(F.array("a.function"))[0].alias("op"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import text
+from .functions import text, tree
 from .functions.transforms import TRANSFORMS, adjusted_r2, confidence, quality_label
-from .operators import catalog, features, fit, probe, rank, similarity, stats
+from .operators import catalog, equivalence, features, fit, inner, probe, rank, similarity, stats
 from .sources import dataset, grammars, library
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -312,12 +312,75 @@ def formula_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("p_partkey", "place", "part", "value", "score"), "value", "score")
 
 
+# Formulas with # for a part's size, their postfix form and shortest text, and whether they are nested too deep; written by hand.
+TREES = (
+    ("# * (a + b)^2 - c", "# a b + 2 ^ * c -", "#*(a + b)^2 - c", False), ("exp(-x/#) * exp(y)", "x ~ # / exp y exp *", "exp(-x/#)*exp(y)", False), ("exp(a*exp(# x))", "a # x * exp * exp", "exp(a*exp(#*x))", True),
+    ("k/sqrt(d) - -#", "k d sqrt / # ~ -", "k/sqrt(d) - -#", False), ("x^y^#", "x y # ^ ^", "x^y^#", True), ("2(u + v) w", "2 u v + * w *", "2*(u + v)*w", False), ("log x^2 + #", "x 2 ^ log # +", "log(x^2) + #", False), ("a - (b - #)) + 1", None, None, None),
+)
+# Formulas to multiply out, with # for the size and @ for the key modulo 7, plus 2.
+PRODUCTS = ("#*(x + @)*(y + 2)", "(a + b)^2/#", "exp(-(u + v)*#) - #*(1 - w)", "(p + q)*(p - q) - p^2")
+# Formulas of which the first three are one function, and the last two.
+SAME = ("(x + #)^2", "x^2 + 2*#*x + #^2", "#^2 + x*(x + 2*#)", "x^2 + 2*#*x + #^2 + 1", "exp(#*x)*exp(y)", "exp(#*x + y)")
+
+
+def _of_parts(spark: SparkSession, sf_dir: str, forms: tuple[str, ...]) -> DataFrame:
+    each = F.element_at(F.array(*map(F.lit, forms)), (F.col("p_partkey") % len(forms) + 1).cast("int"))
+    sized = F.replace(each, F.lit("#"), F.col("p_size").cast("string"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.replace(sized, F.lit("@"), (F.col("p_partkey") % 7 + 2).cast("string")).alias("formula"))
+
+
+def formula_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's formula as a tree, printed again, and whether it is nested too deep."""
+    t = F.col("t")
+    found = _of_parts(spark, sf_dir, tuple(f[0] for f in TREES)).withColumn("t", tree.parsed(F.col("formula")))
+    return found.select("p_partkey", F.array_join(t, " ").alias("postfix"), tree.printed(t).alias("printed"), tree.nested(t).alias("nested"))
+
+
+def formula_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's product of sums, multiplied out."""
+    return _of_parts(spark, sf_dir, PRODUCTS).select("p_partkey", tree.expanded(F.col("formula")).alias("expanded"))
+
+
+def formula_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part whose formula is the same function as each part's."""
+    return equivalence.equivalent(_of_parts(spark, sf_dir, SAME), "formula", "p_partkey").select("p_partkey", "class_key")
+
+
+def argument_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each operator and function of the fitted formulas carries, with shares of R² as importance."""
+    wide, plan = _law_features(spark, sf_dir)
+    scores = stats.univariate_r2(wide, LAW).select("feature", F.col("r2").alias("importance"))
+    formulas = spark.createDataFrame([(f.name, f.formula) for f in plan], "feature string, formula string")
+    equations = fit.one_term_fits(wide, LAW, plan).select(F.col("feature").alias("equation_id"), "equation")
+    return _rounded(similarity.carried(equations, "equation", formulas.join(stats.shares(scores), "feature"), ["equation_id"]), "influence")
+
+
+def grammar_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line on one and on two of the features that each grammar allows, all grammars from one set of moments."""
+    wide, plan = features.engineered(_law(spark, sf_dir).drop(TARGET), LAW)
+    moments = fit.centred_moments(wide, LAW, [f.name for f in plan])
+    functions: dict[str, set[str]] = {}
+    for r in grammars.operator_table(grammars.builtin(spark)).where("arity = 1").collect():  # the 13 grammars
+        functions.setdefault(r["cluster_id"], set()).add(r["op"])
+    rows = [(c, row[3], "|".join(row[4]), row[0], row[2]) for c, fns in functions.items() for row in fit.small_models(moments, plan, fit.relevant(moments, plan, fns))]
+    return _rounded(spark.createDataFrame(rows, "cluster_id string, terms int, features string, complexity int, r2 double"), "r2")
+
+
+def inner_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decay's constant, found among exponentials, logarithms and inverses of all features."""
+    rows = _lines(spark, sf_dir).withColumn("decay", 5 * F.exp(-0.04 * F.col("l_quantity")) + 1).drop(TARGET)
+    found, _ = inner.fit_constants(spark, rows, "decay", FEATURES, {"exp", "log", "/"}, most_terms=1)
+    best = found.orderBy("loss", "complexity").limit(1)
+    return _rounded(best.select(F.col("forms")[0].alias("form"), F.col("features")[0].alias("feature"), F.col("constants")[0].alias("b"), F.col("coefficients")[0].alias("slope"), "intercept", "r2"), "b", "slope", "intercept", "r2", places=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         numeric_profile, univariate_r2, transform_r2_matrix, fast_probe_scores, fast_probe_winner, engineered_features, feature_filter, robust_scale, inverse_scale_metrics,
         parse_quality, text_signature, search_words, catalog_search, catalog_labels, category_profile, token_jaccard_topk, one_term_fits, two_term_fits, pareto_front, research_rank,
         merge_candidates, top3_winner, permutation_importance, importance_shares, operator_influence, grammar_agreement, library_matches, formula_shapes, forward_search,
         formula_normal_forms, formula_signatures, formula_terms, formula_agreement, formula_costs, formula_likeness,
+        formula_trees, formula_expansion, formula_classes, argument_influence, grammar_winners, inner_constants,
     )
 }
 
@@ -520,3 +583,68 @@ ORACLE_SQL |= {
     f"z AS (SELECT *, {' + '.join(f'{w} * {k}' for k, w in similarity.WEIGHTS.items())} AS score FROM v) "
     + " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, '{k}' AS part, round({k}, 6) + 0.0 AS value, round(score, 6) + 0.0 AS score FROM z" for i, k in enumerate(("term_shapes", "functions", "operators", "exponents", "var_names", "complexity", "var_count"), 1)),
 }
+
+
+def _listed(values: tuple, of: str = "p_partkey") -> str:
+    """A hand-written value for each part, its size put in."""
+    quoted = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"replace(list_extract([{quoted}], CAST({of} % {len(values)} + 1 AS INTEGER)), '#', CAST(p_size AS VARCHAR))"
+
+
+def _held() -> tuple[str, str, str]:
+    """By the kinds of features: (equation, op, feature) that an equation of one feature gives, (equation, feature) it uses, and (equation, binary operator)."""
+    names = {f.name for f in _ENGINEERED_ALL}
+    ops = {"raw": [], "sqrt": ["sqrt"], "inv_sqrt": ["/", "sqrt"], "log": ["log"], "quotient": ["/", "sqrt"]}
+    inside = {
+        "raw": lambda f: [f.name], "sqrt": lambda f: [f.inputs[0], f.name], "inv_sqrt": lambda f: [f.inputs[0], f"sqrt_{f.inputs[0]}", f.name], "log": lambda f: [f.inputs[0], f.name],
+        "quotient": lambda f: [*f.inputs, f"sqrt_{f.inputs[1]}", f.name],
+    }
+    by = {f.name: f for f in _ENGINEERED_ALL}
+    gives, uses, binary = set(), set(), set()
+    for e in _ENGINEERED_ALL:
+        for name in names.intersection(inside[e.kind](e)):
+            uses.add((e.name, name))
+            gives |= {(e.name, op, name) for op in ops[by[name].kind]}
+        for fn in {"sqrt", "log"}.intersection(ops[e.kind]):
+            gives |= {(e.name, fn, f.name) for f in _ENGINEERED_ALL if e.inputs[-1] in f.inputs}
+        binary |= {(e.name, op) for op in ["*", "+", *[o for o in ops[e.kind] if o == "/"]]}
+    rows = lambda found: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in sorted(found))
+    return rows(gives), rows(uses), rows(binary)
+
+
+def _winners() -> str:
+    """Best lines on one and two features, from all covariances."""
+    plan = _ENGINEERED
+    n = len(plan)
+    cells = ", ".join(f"covar_pop(f{i}, {'y' if j == n else f'f{j}'}) AS c{i}_{j}" for i in range(n) for j in range(i, n + 1))
+    one = " UNION ALL ".join(
+        f"SELECT {i} AS i, -1 AS j, '{f.name}' AS features, {fit.formula_size(f) + 4} AS complexity, {str(f.kind == 'log').lower()} AS logs, CASE WHEN c{i}_{i} < 1e-20 THEN 0 ELSE c{i}_{n} * c{i}_{n} / (c{i}_{i} * vy) END AS r2 FROM c" for i, f in enumerate(plan)
+    )
+    raw = "[" + ", ".join(str(i) for i, f in enumerate(plan) if f.kind == "raw") + "]"
+    solved = lambda i, j: f"(c{i}_{n} * c{i}_{n} * c{j}_{j} - 2 * c{i}_{n} * c{j}_{n} * c{i}_{j} + c{j}_{n} * c{j}_{n} * c{i}_{i}) / (vy * (c{i}_{i} * c{j}_{j} - c{i}_{j} * c{i}_{j}))"
+    two = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, '{plan[i].name}|{plan[j].name}' AS features, {fit.formula_size(plan[i]) + fit.formula_size(plan[j]) + 7} AS complexity, {str('log' in (plan[i].kind, plan[j].kind)).lower()} AS logs, {solved(i, j)} AS r2 FROM c" for i in range(n) for j in range(i + 1, n)
+    )
+    return (
+        f"WITH {_SRC}, {_unary()}, w AS (SELECT {LAW} AS y, {', '.join(f'{_feature_sql(f)} AS f{i}' for i, f in enumerate(plan))} FROM src), c AS (SELECT var_pop(y) AS vy, {cells} FROM w), one AS ({one}), "
+        f"stays AS (SELECT i FROM one WHERE list_contains({raw}, i) OR r2 >= 0.05), two AS ({two}), every AS (SELECT 1 AS terms, * FROM one WHERE i IN (FROM stays) UNION ALL SELECT 2, * FROM two WHERE i IN (FROM stays) AND j IN (FROM stays)), "
+        "logged AS (SELECT cluster_id, bool_or(op IN ('log', 'log10')) AS may FROM g GROUP BY 1), r AS (SELECT cluster_id, terms, features, complexity, r2, row_number() OVER (PARTITION BY cluster_id, terms ORDER BY round(1 - r2, 12), complexity, i, j) AS k FROM every JOIN logged ON may OR NOT logs) "
+        "SELECT cluster_id, terms, features, complexity, round(r2, 6) AS r2 FROM r WHERE k = 1"
+    )
+
+
+_GIVES, _USES, _BINARY_OF = _held()
+_N, _M = "CAST(p_size AS VARCHAR)", "(p_partkey % 7 + 2)"
+ORACLE_SQL |= {
+    "formula_trees": f"SELECT p_partkey, {_listed(tuple(f[1] for f in TREES))} AS postfix, {_listed(tuple(f[2] for f in TREES))} AS printed, list_extract([{', '.join('NULL' if f[3] is None else str(f[3]) for f in TREES)}], CAST(p_partkey % {len(TREES)} + 1 AS INTEGER)) AS nested FROM part",
+    "formula_expansion": f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(CASE WHEN p_size = 1 THEN '' ELSE {_N} || '*' END, 'x*y + ', 2 * p_size, '*x + ', p_size * {_M}, '*y + ', 2 * p_size * {_M}) "
+    f"WHEN 1 THEN CASE WHEN p_size = 1 THEN 'a^2 + 2*a*b + b^2' WHEN p_size = 2 THEN 'a^2/2 + a*b + b^2/2' WHEN p_size % 2 = 0 THEN concat('a^2/', p_size, ' + a*b/', p_size // 2, ' + b^2/', p_size) ELSE concat('a^2/', p_size, ' + 2*a*b/', p_size, ' + b^2/', p_size) END "
+    f"WHEN 2 THEN CASE WHEN p_size = 1 THEN 'exp(-u - v) - 1 + w' ELSE concat('exp(-', p_size, '*u - ', p_size, '*v) - ', p_size, ' + ', p_size, '*w') END ELSE '-q^2' END AS expanded FROM part",
+    "formula_classes": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_size, list_extract([0, 0, 0, 1, 2, 2], CAST(p_partkey % 6 + 1 AS INTEGER))) AS class_key FROM part",
+    "argument_influence": f"WITH {_SRC}, long AS ({_wide(_ENGINEERED_ALL)}), r AS (SELECT feature, {_r2('x')} AS i FROM long GROUP BY feature), s AS (SELECT feature, i / sum(i) OVER () AS share FROM r WHERE i > 0), "
+    f"gives(equation_id, op, feature) AS (VALUES {_GIVES}), uses(equation_id, feature) AS (VALUES {_USES}), b(equation_id, op) AS (VALUES {_BINARY_OF}), "
+    "a AS (SELECT equation_id, sum(share) AS m FROM uses JOIN s USING (feature) GROUP BY 1), p AS (SELECT equation_id, op, sum(share) AS m FROM gives JOIN s USING (feature) GROUP BY 1, 2 UNION ALL SELECT equation_id, op, m FROM b JOIN a USING (equation_id)) "
+    "SELECT equation_id, op, round(least(1.0, max(m)), 6) AS influence FROM p GROUP BY 1, 2",
+    "grammar_winners": _winners(),
+    "inner_constants": "WITH s AS (SELECT exp(-0.04 * l_quantity) AS x, 5 * exp(-0.04 * l_quantity) + 1 AS y FROM lineitem) SELECT 'exp' AS form, 'l_quantity' AS feature, -0.04 AS b, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 5) AS r2 FROM s",
+}

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -265,6 +266,43 @@ def test_importance_of_an_exact_law_in_many_rows(spark):
     assert [r["feature"] for r in stats.top_importance(spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 0.1)], "feature string, importance double"), 2).collect()] == ["b", "a"]
 
 
+def test_all_grammars_from_one_reading(spark, tmp_path):
+    """A search of several grammars gives each what a search of its own gives, from the same three readings of the data."""
+    rows = spark.range(80).select((F.col("id") / 7 + 0.5).alias("d"), F.sqrt(F.col("id") + 1.0).alias("z")).withColumn("y", 70 + 20 / F.sqrt("d") + F.log("z"))
+    ops, known = grammars.operator_table(grammars.builtin(spark)), library.textbook(spark)
+    every = discover.searches(spark, rows, "y", ["1", "7", "8"], ops, known, 2)
+    for c in ("1", "7"):
+        own = discover.search(spark, rows, "y", c, ops, known, 2)
+        pick = lambda run: sorted((r["equation"], r["complexity"], round(r["compatibility"], 9)) for r in run.candidates.collect())
+        assert pick(own) == pick(every[c]) and pick(own)
+        assert [tuple(r) for r in own.features.collect()] == [tuple(r) for r in every[c].features.collect()]
+    assert every["7"].equations.orderBy("loss").first()["loss"] < 1e-9 < every["1"].equations.orderBy("loss").first()["loss"]  # only one of them has logarithms
+    best = every["7"].equations.orderBy("loss").first()
+    assert set(best["features"]) == {"inv_sqrt_d", "log_z"} and sum(best["shares"].values()) == pytest.approx(1)
+    moments = fit.centred_moments(rows.select("y", (1 / F.sqrt("d")).alias("a"), F.log("z").alias("b")), "y", ["a", "b"])
+    plan = [features.Feature("a", "a", "raw", ("a",)), features.Feature("b", "b", "raw", ("b",))]
+    drops = fit.expected_importance(moments, plan, ["a", "b"], [20.0, 1.0])
+    two = rows.select("y", (1 / F.sqrt("d")).alias("a"), F.log("z").alias("b"))
+    real = {r["feature"]: r["importance"] for r in stats.permutation_importance(two, "y", ["a", "b"], lambda c: 70 + 20 * c["a"] + c["b"], [stats.shuffled(two, s) for s in range(5)]).collect()}
+    assert drops["a"] == pytest.approx(real["a"], rel=0.3) and drops["b"] == pytest.approx(real["b"], rel=0.3)
+
+
+def test_search_with_constants_inside(spark):
+    rows = spark.range(60).select((300.0 + 10 * F.col("id")).alias("T"), (F.col("id") % 7 + 1.0).alias("z")).withColumn("k", 5000 * F.exp(-962.0 / F.col("T")))
+    ops, known = grammars.operator_table(grammars.builtin(spark)), library.textbook(spark)
+    run = discover.search(spark, rows, "k", "8", ops, known, 2, constants=1)
+    best = run.equations.orderBy("loss").first()
+    assert float(re.search(r"exp\(\((.*?)\)/T\)", best["equation"])[1]) == pytest.approx(-962, rel=1e-6) and best["r2"] > 1 - 1e-9
+    importance, agreed, _ = discover.evidence(spark, rows, "k", run, ops, known)
+    assert {r["feature"] for r in importance.collect()} == {"T"} and importance.first()["importance"] > 0.5
+    assert "exp" in fits(run, best["equation_id"]) and 0 < agreed.where("cluster_id = '8'").first()["compatibility"] <= 1
+    assert "carried by: " in discover.report(run) and "likeness of its parts: term_shapes" in discover.report(run)
+
+
+def fits(run, equation_id):
+    return run.compatibility.where(F.col("equation_id") == equation_id).first()["matched_functions"]
+
+
 def test_search_far_from_zero(spark):
     rows = spark.range(400).select((1.7e9 + F.col("id") * 0.5).alias("t"), F.lit(1e6 + 0.1).alias("flat")).withColumn("y", 5 * (F.col("t") - 1.7e9))
     plan = features.planned(["t", "flat"], set())
