@@ -159,26 +159,25 @@ def _expected(patterns: DataFrame, model: LabelModel, voters: int) -> np.ndarray
 
 
 def _correlations(patterns: DataFrame, model: LabelModel, voters: int) -> np.ndarray:
-    """Correlation of each two voters within a class, averaged over the classes by their mass."""
+    """Correlation of each two voters within a class, averaged over the classes by their mass.
+
+    Only pairs that speak together are made, from each pattern's few voters;
+    Spark adds them up in tasks first, so that a task sends a row per pair it
+    has met, and the driver gets one per pair of voters at most.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = np.zeros((2, voters, voters))
         for batch in batches:
-            votes = [np.asarray(v) for v in batch["votes"]]
-            q = model.posterior(votes, batch["label"].to_numpy(dtype=float, na_value=np.nan))
-            for v, n, p in zip(votes, batch["n"].to_numpy(dtype=float), q, strict=True):
-                grid = np.ix_(v, v)
-                both[0][grid] += n * (1 - p)
-                both[1][grid] += n * p
-        yield pd.DataFrame({"cls": np.repeat([0, 1], voters), "one": np.tile(np.arange(voters), 2), "s": list(both.reshape(-1, voters))})
-
-    def added(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[:1].assign(s=[np.sum(rows["s"].to_list(), axis=0)])
+            q = model.posterior([np.asarray(v) for v in batch["votes"]], batch["label"].to_numpy(dtype=float, na_value=np.nan))
+            n = batch["n"].to_numpy(dtype=float)
+            yield pd.DataFrame({"votes": batch["votes"], "no": n * (1 - q), "yes": n * q})
 
-    shape = "cls int, one int, s array<double>"
+    weighed = patterns.mapInPandas(run, schema="votes array<int>, no double, yes double")
+    ones = weighed.select("votes", "no", "yes", F.explode("votes").alias("one"))
+    pairs = ones.select("one", F.explode(F.filter("votes", lambda v: v >= F.col("one"))).alias("two"), "no", "yes")
     both = np.zeros((2, voters, voters))
-    for r in patterns.mapInPandas(run, schema=shape).groupBy("cls", "one").applyInPandas(added, schema=shape).collect():
-        both[r["cls"], r["one"]] = r["s"]
+    for r in pairs.groupBy("one", "two").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).collect():
+        both[:, r["one"], r["two"]] = both[:, r["two"], r["one"]] = r["no"], r["yes"]
     mass = _expected(patterns, model, voters)[:, voters]
     out = np.zeros((voters, voters))
     for k in (0, 1):
