@@ -49,17 +49,58 @@ def breakdown(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
     return pairs.select(*keep, F.inline(F.array(*cells)))
 
 
+#: Parts of the likeness that a profile decides; the rest can add this much at most.
+IN_PROFILE = ("term_shapes", "functions", "operators", "exponents", "var_count")
+OPEN = sum(w for k, w in WEIGHTS.items() if k not in IN_PROFILE)
+
+
+def profile(sig: Column) -> Column:
+    """A signature without its names and size, as text; many equations share one."""
+    return F.to_json(F.struct(sig["functions"].alias("f"), sig["operators"].alias("o"), F.array_sort(F.map_entries(sig["term_shapes"])).alias("s"), sig["exponents"].alias("e"), sig["var_count"].alias("n")))
+
+
+def profile_likeness(a: Column, b: Column) -> Column:
+    known = parts(a, b)
+    return sum((WEIGHTS[k] * known[k] for k in IN_PROFILE), F.lit(0.0))
+
+
+def worth_scoring(found: DataFrame, library: DataFrame, k: int, same_cluster: bool, preferred: bool) -> DataFrame:
+    """Pairs of profiles (fp, lp) among which the ``k`` best library rows of every found equation lie.
+
+    Only distinct profiles meet. Of each pair the parts that profiles
+    decide bound the score from below, and with all that the others can add
+    from above. Library profiles whose upper bound is under the lower bound
+    that ``k`` rows reach are left out; which rows are best stays the same.
+    """
+    mine = found.groupBy("fp").agg(F.first("sig").alias("sig"), *([F.first("core").alias("core")] if "core" in found.columns else []), *([F.first("cluster_id").alias("cluster_id")] if same_cluster else []))
+    theirs = library.groupBy("lp").agg(F.first("lib_sig").alias("lib_sig"), F.first("cluster").alias("cluster"), F.count(F.lit(1)).alias("n"), F.min("quality").alias("worst"), F.max("quality").alias("best"))
+    pairs = mine.join(theirs, F.col("cluster_id") == F.col("cluster")) if same_cluster else mine.crossJoin(theirs)
+    near = profile_likeness(F.col("sig"), F.col("lib_sig"))
+    if "core" in found.columns:
+        near = F.greatest(near, F.when(F.col("core").isNotNull(), profile_likeness(F.col("core"), F.col("lib_sig"))))
+    near = F.coalesce(near, F.lit(0.0))
+    low = near * (0.5 + 0.5 * F.coalesce("worst", F.lit(0.0))) * (OTHER_FIELD if preferred else 1.0)
+    high = (near + OPEN) * (0.5 + 0.5 * F.coalesce("best", F.lit(1.0)))
+    upto = F.sum("n").over(Window.partitionBy("fp").orderBy(F.desc("low"), "lp").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = pairs.select("fp", "lp", "n", low.alias("low"), high.alias("high")).withColumn("upto", upto)
+    reached = F.max(F.when(F.col("upto") >= k, F.col("low"))).over(Window.partitionBy("fp"))
+    return ranked.withColumn("reached", reached).where("reached is null or high >= reached - 1e-9").select("fp", "lp")
+
+
 def top_similar(found: DataFrame, library: DataFrame, k: int = 5, by: list[str] | None = None, same_cluster: bool = False, preferred: bool = False) -> DataFrame:
     """The ``k`` most similar library rows of each found equation.
 
     ``found`` has the columns ``by``, ``sig`` and, as the case may be, ``core``
     (signature or null), ``cluster_id`` and ``preferred`` (subfields).
     ``library`` has ``position``, ``lib_sig``, ``quality``, ``cluster`` and
-    ``subfield``. The best ``k`` are kept while pairs stream by, so pairs are
-    never stored; the library's rows meet every equation by definition.
+    ``subfield``. Only pairs of profiles that bounds do not rule out are
+    scored, and the best ``k`` are kept while pairs stream by.
     """
     by = by or ["equation_id"]
-    pairs = found.join(library, F.col("cluster_id") == F.col("cluster")) if same_cluster else found.crossJoin(library)
+    whose = [profile(F.col("sig")), *([F.coalesce(profile(F.col("core")), F.lit(""))] if "core" in found.columns else []), *([F.coalesce("cluster_id", F.lit(""))] if same_cluster else [])]
+    found = found.withColumn("fp", F.concat_ws("|", *whose))
+    library = library.withColumn("lp", F.concat_ws("|", profile(F.col("lib_sig")), *([F.coalesce("cluster", F.lit(""))] if same_cluster else [])))
+    pairs = found.join(worth_scoring(found, library, k, same_cluster, preferred), "fp").join(library, "lp").drop("fp", "lp")
     score = similarity(F.col("sig"), F.col("lib_sig"))
     if "core" in found.columns:
         score = F.greatest(score, F.when(F.col("core").isNotNull(), similarity(F.col("core"), F.col("lib_sig"))))

@@ -374,13 +374,25 @@ def inner_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(best.select(F.col("forms")[0].alias("form"), F.col("features")[0].alias("feature"), F.col("constants")[0].alias("b"), F.col("coefficients")[0].alias("slope"), "intercept", "r2"), "b", "slope", "intercept", "r2", places=5)
 
 
+#: Parts whose formulas stand as the library of the others.
+SHELF = 60
+
+
+def formula_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three of the first parts whose formulas are most like each part's, with the quality of their text."""
+    signed = similarity.with_signature(_formulas(spark, sf_dir), "formula")
+    shelf = signed.where(F.col("p_partkey") <= SHELF).select(F.col("p_partkey").alias("position"), F.col("sig").alias("lib_sig"), text.parse_quality(F.col("sig.norm")).alias("quality"), F.lit("0").alias("cluster"), F.lit("").alias("subfield"))
+    found = similarity.top_similar(signed.select("p_partkey", "sig"), shelf, k=3, by=["p_partkey"])
+    return _rounded(found.select("p_partkey", "place", "position", "score"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         numeric_profile, univariate_r2, transform_r2_matrix, fast_probe_scores, fast_probe_winner, engineered_features, feature_filter, robust_scale, inverse_scale_metrics,
         parse_quality, text_signature, search_words, catalog_search, catalog_labels, category_profile, token_jaccard_topk, one_term_fits, two_term_fits, pareto_front, research_rank,
         merge_candidates, top3_winner, permutation_importance, importance_shares, operator_influence, grammar_agreement, library_matches, formula_shapes, forward_search,
         formula_normal_forms, formula_signatures, formula_terms, formula_agreement, formula_costs, formula_likeness,
-        formula_trees, formula_expansion, formula_classes, argument_influence, grammar_winners, inner_constants,
+        formula_trees, formula_expansion, formula_classes, argument_influence, grammar_winners, inner_constants, formula_matches,
     )
 }
 
@@ -648,3 +660,13 @@ ORACLE_SQL |= {
     "grammar_winners": _winners(),
     "inner_constants": "WITH s AS (SELECT exp(-0.04 * l_quantity) AS x, 5 * exp(-0.04 * l_quantity) + 1 AS y FROM lineitem) SELECT 'exp' AS form, 'l_quantity' AS feature, -0.04 AS b, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 5) AS r2 FROM s",
 }
+
+_QUALITY = r"CASE WHEN s = '' THEN 0.0 ELSE 1 - least(1.0, 4.0 * (length(s) - length(regexp_replace(s, '[\\{}]|[^\x00-\x7F]', '', 'g'))) / length(s)) END"
+ORACLE_SQL["formula_matches"] = (
+    f"WITH {_SG}, {_TERMS}, total AS (SELECT p_partkey, sum(n) AS n FROM shapes GROUP BY 1), shelf AS (SELECT *, {_QUALITY} AS quality FROM sg WHERE p_partkey <= {SHELF}), "
+    f"common AS (SELECT a.p_partkey, b.p_partkey AS position, sum(least(a.n, b.n)) AS n FROM shapes a JOIN shapes b ON b.p_partkey <= {SHELF} AND a.shape = b.shape GROUP BY 1, 2), "
+    "v AS (SELECT a.p_partkey, b.p_partkey AS position, b.quality, 2.0 * coalesce(common.n, 0) / (x.n + y.n) AS term_shapes, " + ", ".join(f"{_jac(x)} AS {x}" for x in ("functions", "operators", "exponents", "var_names"))
+    + ", exp(-abs(a.complexity - b.complexity) / 8.0) AS complexity, exp(-abs(a.var_count - b.var_count) / 3.0) AS var_count FROM sg a CROSS JOIN shelf b JOIN total x ON x.p_partkey = a.p_partkey JOIN total y ON y.p_partkey = b.p_partkey LEFT JOIN common ON common.p_partkey = a.p_partkey AND common.position = b.p_partkey), "
+    f"z AS (SELECT p_partkey, position, ({' + '.join(f'{w} * {k}' for k, w in similarity.WEIGHTS.items())}) * (0.5 + 0.5 * quality) AS score FROM v), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 9) DESC, position) AS place FROM z) SELECT p_partkey, CAST(place AS INTEGER) AS place, position, round(score, 6) AS score FROM r WHERE place <= 3"
+)

@@ -326,3 +326,42 @@ def test_profiles_and_cautions(spark, ops):
     assert len(shown) == 13 and all(r["name"] and r["operators_text"] and r["functions_text"] for r in shown)
     rows = spark.createDataFrame([("0", "0", "Thermal", ["Thermal"]), ("1", "0", "Optics", ["Thermal"]), ("1", "0", "Optics", []), (None, "0", None, ["Thermal"])], "cluster string, cluster_id string, subfield string, preferred array<string>")
     assert [(r["caution"], r["agrees"]) for r in similarity.with_caution(rows).collect()] == [(False, True), (True, False), (False, False), (False, False)]
+
+
+def test_best_matches_without_all_pairs(spark):
+    """The same rows as from every pair, with fewer pairs scored."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    rng = random.Random(31)
+    part = lambda: rng.choice(["a*x", "k/sqrt(d)", "exp(-x/t)", "log(q)", "b*sin(w*t)", "x^2", "c", "x/y", "sqrt(x)*exp(y)", "tan(z)"])
+    formula = lambda: " + ".join(part() for _ in range(rng.choice([1, 1, 2, 3])))
+    found = spark.createDataFrame([(i, formula(), str(i % 3), ["F1"] if i % 2 else []) for i in range(40)], "equation_id int, f string, cluster_id string, preferred array<string>")
+    found = similarity.with_signature(found, "f").withColumn("core", F.when(F.col("equation_id") % 4 == 0, text.signature(F.lit("k/sqrt(d) + x^2")))).cache()
+    shelf = spark.createDataFrame([(i, formula(), str(i % 3), f"F{i % 4}", rng.random()) for i in range(120)], "position int, f string, cluster string, subfield string, quality double")
+    shelf = shelf.withColumn("lib_sig", text.signature(F.col("f"))).drop("f").cache()
+    for same, preferred in ((False, True), (True, False)):
+        pairs = found.join(shelf, F.col("cluster_id") == F.col("cluster")) if same else found.crossJoin(shelf)
+        score = F.greatest(similarity.similarity(F.col("sig"), F.col("lib_sig")), F.when(F.col("core").isNotNull(), similarity.similarity(F.col("core"), F.col("lib_sig")))) * (0.5 + 0.5 * F.col("quality"))
+        if preferred:
+            score = score * F.when((F.size("preferred") > 0) & ~F.array_contains("preferred", F.col("subfield")), 0.85).otherwise(1.0)
+        place = F.row_number().over(Window.partitionBy("equation_id").orderBy(F.desc("score"), "position"))
+        want = {(r[0], r[1], r[2]) for r in pairs.withColumn("score", score).withColumn("place", place).where("place <= 3").select("equation_id", "place", "position").collect()}
+        got = {(r[0], r[1], r[2]) for r in similarity.top_similar(found, shelf, 3, same_cluster=same, preferred=preferred).select("equation_id", "place", "position").collect()}
+        assert got == want
+    alone = found.drop("core").withColumn("fp", similarity.profile(F.col("sig")))
+    apart = shelf.withColumn("lp", similarity.profile(F.col("lib_sig")))
+    scored = alone.join(similarity.worth_scoring(alone, apart, 3, False, False), "fp").join(apart, "lp").count()
+    assert 0 < scored < 40 * 120 / 2
+
+
+def test_labels_of_one_name(spark):
+    """One label on most rows: the numbers are those of a plain count, in ranges that each hold a small share."""
+    rows = spark.createDataFrame([(i * 7 % 1000 if i % 50 else None, i, None if i % 97 == 0 else "hot" if i % 3 else f"n{i % 5}") for i in range(1000)], "position int, tie int, base string")
+    got = {(r["tie"], r["label"]) for r in catalog.labelled(rows, F.col("base"), ["position", "tie"], pieces=16).collect()}
+    seen, want = {}, set()
+    for r in sorted(rows.collect(), key=lambda r: (r["position"] is not None, r["position"] or 0, r["tie"])):
+        seen[r["base"]] = seen.get(r["base"], 0) + 1
+        want.add((r["tie"], r["base"] if seen[r["base"]] == 1 or r["base"] is None else f"{r['base']} #{seen[r['base']]}"))
+    assert got == want
