@@ -44,12 +44,41 @@ def top_features(scores: DataFrame, names: list[str], top: int = 10) -> DataFram
     return scores.orderBy(F.desc("r2"), at).limit(top)
 
 
-def quantiles(df: DataFrame, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+#: Rows of a bracket that one task ranks at most, where brackets can be narrowed to that.
+RANKED = 100_000
+_GRID = 200
+
+
+def _narrowed(rows: DataFrame, spans: list[tuple], accuracy: int, most: int) -> list[tuple]:
+    """Brackets (feature, share, low, high, at) of ranks, cut down by passes of their own until each holds at most ``most`` rows or one value."""
+    spark = rows.sparkSession
+    done: list[tuple] = []
+    while spans:
+        known = spark.createDataFrame(spans, "feature string, share double, low double, high double, at double")
+        inside = F.when(F.col("x").between(F.col("low"), F.col("high")), F.col("x"))
+        grid = [i / _GRID for i in range(_GRID + 1)]
+        found = rows.join(F.broadcast(known), "feature").groupBy("feature", "share", "low", "high", "at").agg(  # a row per column and share
+            F.count(F.when(F.col("x") < F.col("low"), 1)).alias("before"), F.count(inside).alias("inside"), F.percentile_approx(inside, grid, accuracy).alias("p")
+        )
+        spans = []
+        for r in found.collect():
+            share = (r["at"] - r["before"]) / max(1, r["inside"] - 1)
+            low = r["p"][max(0, int((share - 3 / accuracy) * _GRID) - 1)]
+            high = r["p"][min(_GRID, int((share + 3 / accuracy) * _GRID) + 2)]
+            span = (r["feature"], r["share"], low, high, r["at"])
+            # Narrower by value, so this ends; copies of a value cannot be cut apart and are one row of the ranking.
+            small = r["inside"] <= most or r["low"] == r["high"] or (low, high) == (r["low"], r["high"])
+            (done if small else spans).append((r["feature"], r["share"], r["low"], r["high"], r["at"]) if small else span)
+    return done
+
+
+def quantiles(df: DataFrame, shares: tuple[float, ...], accuracy: int = 10_000, most: int = RANKED) -> DataFrame:
     """Exact interpolated quantiles of each column, as (feature, share, value), in bounded memory.
 
-    A sketch brackets the ranks wanted of each column; the values inside a
-    bracket are then counted and ranked, so a window sees about
-    ``6 / accuracy`` of the distinct values. Nulls are passed over.
+    A sketch brackets the ranks wanted of each column; where a bracket, about
+    ``6 / accuracy`` of the rows, may hold more than ``most`` rows, it is
+    narrowed by further passes. The values inside are then counted and ranked
+    in one task. Nulls are passed over.
     """
     rows = long_form(df).where("x is not null")
     near = [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in shares for side in (-1, 1)]
@@ -59,7 +88,10 @@ def quantiles(df: DataFrame, shares: tuple[float, ...], accuracy: int = 10_000)
         for i, p in enumerate(shares)
     ])
     # A row per column and share.
-    spans = bounds.select("feature", F.inline(wanted))
+    spans = bounds.select("feature", F.inline(wanted), "n").collect()
+    large = [tuple(r)[:5] for r in spans if 6 * r["n"] > most * accuracy]
+    spans = [tuple(r)[:5] for r in spans if 6 * r["n"] <= most * accuracy] + _narrowed(rows, large, accuracy, most)
+    spans = df.sparkSession.createDataFrame(spans, "feature string, share double, low double, high double, at double")
     own = ["feature", "share", "at"]
     # What lies outside a bracket is only counted, by side, with the value next to the bracket.
     side = F.when(F.col("x") < F.col("low"), -1).when(F.col("x") > F.col("high"), 1).otherwise(0)

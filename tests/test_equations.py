@@ -365,3 +365,16 @@ def test_labels_of_one_name(spark):
         seen[r["base"]] = seen.get(r["base"], 0) + 1
         want.add((r["tie"], r["base"] if seen[r["base"]] == 1 or r["base"] is None else f"{r['base']} #{seen[r['base']]}"))
     assert got == want
+
+
+@pytest.mark.parametrize("accuracy,most", [(10_000, 100_000), (50, 40), (20, 5)])
+def test_quantiles_of_narrowed_brackets(spark, accuracy, most):
+    """Exact for any number of values: brackets are cut down until few rows are left to rank."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=3000), np.where(rng.random(3000) < 0.6, 7.0, rng.integers(0, 2000, 3000))
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b, strict=True)], "a double, b double, c double").repartition(5)
+    found = {(r["feature"], r["share"]): r["value"] for r in stats.quantiles(df, (0.0, 0.25, 0.5, 0.9, 1.0), accuracy, most).collect()}
+    for name, values in (("a", a), ("b", b)):
+        for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert found[name, share] == pytest.approx(np.quantile(values, share), rel=1e-12), (name, share)
+    assert not [k for k in found if k[0] == "c"]
