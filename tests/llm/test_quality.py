@@ -1,6 +1,9 @@
+import random
 import zlib
 
-from lawfinder.llm.quality import score_quality, statistics
+import numpy as np
+
+from lawfinder.llm.quality import IDENTITY, POOLED, score_quality, statistics
 
 
 def rows():
@@ -39,3 +42,39 @@ def test_statistics_are_finite():
 
     for text in (None, "", " ", "x", "a\n\n\nb", "é" * 10):
         assert np.isfinite(statistics(text)).all()
+
+
+def plain_scores(rows, labels):
+    """The discriminant by its formulas: covariances of the labelled rows themselves, inverses and determinants."""
+    x = {i: statistics(t) for i, t in rows}
+    own = {k: np.array([x[i] for i, label in labels if label == k]) for k in (0, 1)}
+    count = {k: len(v) for k, v in own.items()}
+    pooled = sum((count[k] - 1) * np.cov(own[k], rowvar=False) for k in own) / (sum(count.values()) - 2)
+    unit = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    shrunk = {}
+    for k in own:
+        c = (1 - POOLED) * np.cov(own[k] / unit, rowvar=False) + POOLED * pooled / np.outer(unit, unit)
+        shrunk[k] = (1 - IDENTITY) * c + IDENTITY * max(1.0, np.trace(c) / len(c)) * np.eye(len(c))
+
+    def density(v, k):
+        off = v / unit - own[k].mean(axis=0) / unit
+        return -0.5 * off @ np.linalg.inv(shrunk[k]) @ off - 0.5 * np.linalg.slogdet(shrunk[k])[1]
+
+    share = count[1] / sum(count.values())
+    logit = {i: density(v, 1) - density(v, 0) + np.log(share / (1 - share)) for i, v in x.items()}
+    return {i: 1 / (1 + np.exp(-np.clip(z, -60, 60))) for i, z in logit.items()}
+
+
+def test_scores_equal_plain_formulas(spark):
+    rng = random.Random(8)
+    words = ["river", "stone", "walking", "light", "birds", "of", "the", "often", "x", "supercalifragilistic"]
+    clean = [" ".join(rng.choice(words) for _ in range(rng.choice([20, 60, 200]))) + ("\nnext line" if rng.random() < 0.5 else "") for _ in range(60)]
+    junk = [" ".join(rng.choice(["BUY", "$$$", "now!!", "1234", "click"]) for _ in range(rng.choice([10, 40]))) for _ in range(50)]
+    rows = list(enumerate([*clean, *junk, None, "", "a"]))
+    labels = [(i, int(i < 60)) for i in range(0, 110, 2)]
+    contradicting = [(1, 0), (1, 1), (2, 1), (3, None)]
+    found = score_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels + contradicting, "doc_id long, label int"))
+    expected = plain_scores(rows, labels)
+    got = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert set(got) == set(expected) and all(abs(got[i] - expected[i]) < 1e-6 for i in got)
+    assert min(expected.values()) < 0.1 and max(expected.values()) > 0.9
