@@ -5,6 +5,7 @@ Words and identifiers are ASCII, as Java's patterns read them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -158,8 +159,8 @@ def term_shapes(s: Column) -> Column:
     return _let(F.transform(_let(terms(s), lambda ts: F.when(F.size(ts) == 0, F.array(s)).otherwise(ts)), term_shape), counted)
 
 
-def signature(text: Column, more_operators: Column | None = None, more_functions: Column | None = None, hint: Column | None = None) -> Column:
-    """Everything similarity looks at; declared operators and functions join those found, and a known complexity goes before a counted one."""
+def signature(text: Column, more_operators: Column | None = None, more_functions: Column | None = None, hint: Column | None = None, split: Callable[[Column], Column] | None = None) -> Column:
+    """Everything similarity looks at; declared operators and functions join those found, a known complexity goes before a counted one, and ``split`` may rewrite the text whose terms are counted."""
     def parts(s: Column) -> Column:
         ops = operators(s) if more_operators is None else F.array_union(operators(s), F.coalesce(more_operators, F.array().cast("array<string>")))
         fns = functions(s) if more_functions is None else F.array_union(functions(s), F.transform(F.coalesce(more_functions, F.array().cast("array<string>")), declared_function))
@@ -167,7 +168,7 @@ def signature(text: Column, more_operators: Column | None = None, more_functions
         return F.struct(
             F.array_sort(ops).alias("operators"), F.array_sort(fns).alias("functions"), exponents(s).alias("exponents"), variables(s).alias("var_names"),
             F.size(names(s)).alias("var_count"), (size if hint is None else F.coalesce(hint.cast("double"), size)).alias("complexity"),
-            term_shapes(s).alias("term_shapes"), s.alias("norm"),
+            (term_shapes(s) if split is None else _let(split(s), term_shapes)).alias("term_shapes"), s.alias("norm"),
         )
 
     return _let(canonical(text), parts)

@@ -202,5 +202,6 @@ def dominant_core(held: DataFrame, by: list[str], least: float = 0.01) -> DataFr
     return formulas.where(F.size("fs") >= 2).select(*by, text.signature(F.array_join("fs", " + ")).alias("core"))
 
 
-def with_signature(df: DataFrame, formula: str, name: str = "sig", hint: str | None = None) -> DataFrame:
-    return df.withColumn(name, text.signature(F.col(formula), hint=F.col(hint) if hint else None))
+def with_signature(df: DataFrame, formula: str, name: str = "sig", hint: str | None = None, expand: bool = False) -> DataFrame:
+    """``df`` with the signature of a formula; with ``expand`` products of sums are multiplied out before terms are counted."""
+    return df.withColumn(name, text.signature(F.col(formula), hint=F.col(hint) if hint else None, split=tree.expanded if expand else None))

@@ -168,3 +168,10 @@ def test_influence_by_arguments(spark):
         (3, "sqrt"): 0.5, (3, "/"): 1.0, (3, "*"): 1.0, (3, "-"): 1.0,
         (4, "log"): 0.5, (4, "*"): 0.5,
     }
+
+
+def test_terms_counted_after_multiplying_out(spark):
+    df = spark.createDataFrame([("0.5*(x + sqrt(d))",), ("(a + b)*(c - d)/e",), ("log10(x)*(a + b)",)], "f string")
+    shapes = lambda expand: [dict(r["sig"]["term_shapes"]) for r in similarity.with_signature(df, "f", expand=expand).collect()]
+    assert shapes(False) == [{"sqrt": 1}, {"div": 1}, {"log": 1}]
+    assert shapes(True) == [{"linear": 1, "sqrt": 1}, {"div": 4}, {"log": 1}]
