@@ -50,11 +50,11 @@ def merged(candidates: DataFrame, top: int = 10, tie: str = "cluster_id") -> Dat
     return ranked.withColumn("contributed", F.count(F.lit(1)).over(Window.partitionBy("cluster_id")))
 
 
-def best_runs(runs: DataFrame) -> DataFrame:
-    """Runs in order of rounded R², compatibility, complexity and loss; missing ones count as worst."""
+def best_runs(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Runs of each group in order of rounded R², compatibility, complexity and loss; missing ones count as worst."""
     inf = F.lit(float("inf"))
     order = [
         F.desc(F.bround(F.coalesce("r2", -inf), 5)), F.desc(F.coalesce("compatibility", F.lit(0.0))),
         F.asc(F.coalesce("complexity", inf)), F.asc(F.coalesce("loss", inf)), F.asc("cluster_id"),
     ]
-    return runs.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))

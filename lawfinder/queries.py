@@ -386,13 +386,26 @@ def formula_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("p_partkey", "place", "position", "score"), "score")
 
 
+GROUPS = ["l_returnflag", "l_linestatus"]
+
+
+def research_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each flag and status, all grammars by their best function of any feature: research score, near ties, and place by fit alone."""
+    rows = _table(spark, sf_dir, "lineitem")
+    law = rows.select(*GROUPS, *FEATURES, (F.col(TARGET) / F.sqrt("l_quantity")).alias(LAW))
+    probes = probe.grouped_probes(law, LAW, GROUPS, grammars.operator_table(grammars.builtin(spark)))
+    ranked = rank.best_runs(probes, GROUPS).withColumnRenamed("place", "run_place")
+    found = rank.research_scores(ranked, GROUPS)
+    return _rounded(found.select(*GROUPS, "cluster_id", "feature", "op", "r2", "complexity", "combined", "near_tie", "place", "run_place"), "r2", "combined")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         numeric_profile, univariate_r2, transform_r2_matrix, fast_probe_scores, fast_probe_winner, engineered_features, feature_filter, robust_scale, inverse_scale_metrics,
         parse_quality, text_signature, search_words, catalog_search, catalog_labels, category_profile, token_jaccard_topk, one_term_fits, two_term_fits, pareto_front, research_rank,
         merge_candidates, top3_winner, permutation_importance, importance_shares, operator_influence, grammar_agreement, library_matches, formula_shapes, forward_search,
         formula_normal_forms, formula_signatures, formula_terms, formula_agreement, formula_costs, formula_likeness,
-        formula_trees, formula_expansion, formula_classes, argument_influence, grammar_winners, inner_constants, formula_matches,
+        formula_trees, formula_expansion, formula_classes, argument_influence, grammar_winners, inner_constants, formula_matches, research_by_group,
     )
 }
 
@@ -510,6 +523,16 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT feature, CAST(complexity AS BIGINT) AS complexity, round(r2, 5) AS r2, round(coalesce(-(ln(loss) - ln(lag(loss) OVER (ORDER BY complexity))) / (complexity - lag(complexity) OVER (ORDER BY complexity)), 0.0), 5) + 0.0 AS score FROM p",
     "research_rank": f"{_FLAG}, s AS (SELECT l_returnflag, cluster_id, op, 0.6 * {_UNIT.format(c='loss')} + 0.2 * (1 - compatibility) + 0.2 * {_UNIT.format(c='complexity')} AS combined FROM probes WINDOW w AS (PARTITION BY l_returnflag)) "
     "SELECT l_returnflag, cluster_id, op, round(combined, 6) AS combined, combined <= min(combined) OVER (PARTITION BY l_returnflag) + 0.02 AS near_tie FROM s",
+    "research_by_group": f"WITH {_SRC}, long AS ({_LONG(FEATURES, LAW, ', l_returnflag, l_linestatus')}), cells AS ("
+    + " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, feature, '{op}' AS op, y, {_FN[op]} AS v FROM long" for op in TRANSFORMS)
+    + f"), fits AS (SELECT l_returnflag, l_linestatus, feature, op, {_r2('v')} AS r2, var_pop(y) AS spread FROM cells GROUP BY ALL), {_unary()}, "
+    "allowed AS (SELECT cluster_id, op, w FROM g UNION ALL SELECT DISTINCT cluster_id, 'raw', 0.1 FROM g), "
+    "scored AS (SELECT l_returnflag, l_linestatus, cluster_id, feature, op, r2, (1 - r2) * spread AS loss, CASE op WHEN 'raw' THEN 5.0 ELSE 6.0 END::DOUBLE AS complexity, w FROM fits JOIN allowed USING (op)), "
+    "best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus, cluster_id ORDER BY round_even(r2, 5) DESC, complexity, w DESC, feature, op) = 1), "
+    "runs AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY round_even(r2, 5) DESC, w DESC, complexity, loss, cluster_id) AS run_place FROM best), "
+    f"s AS (SELECT *, 0.6 * {_UNIT.format(c='loss')} + 0.2 * (1 - w) + 0.2 * {_UNIT.format(c='complexity')} AS combined FROM runs WINDOW w AS (PARTITION BY l_returnflag, l_linestatus)) "
+    "SELECT l_returnflag, l_linestatus, cluster_id, feature, op, round(r2, 6) + 0.0 AS r2, complexity, round(combined, 6) + 0.0 AS combined, combined <= min(combined) OVER (PARTITION BY l_returnflag, l_linestatus) + 0.02 AS near_tie, "
+    "CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY combined, cluster_id) AS INTEGER) AS place, CAST(run_place AS INTEGER) AS run_place FROM s",
     "merge_candidates": f"{_FLAG}, c AS (SELECT concat(l_returnflag, ':', op) AS key, cluster_id, round(loss, 3) AS loss, compatibility, complexity FROM probes), u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loss, compatibility DESC, complexity, cluster_id) AS n FROM c), "
     "t AS (SELECT *, row_number() OVER (ORDER BY loss, compatibility DESC, complexity, cluster_id, key) AS place FROM u WHERE n = 1), k AS (SELECT * FROM t WHERE place <= 10) "
     "SELECT CAST(place AS INTEGER) AS place, key, cluster_id, round(loss, 3) AS loss, round(compatibility, 3) AS compatibility, count(*) OVER (PARTITION BY cluster_id) AS contributed FROM k",
