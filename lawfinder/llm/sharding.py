@@ -13,7 +13,9 @@ shards as it needs.
 
 Defined cases: a null text counts as empty; empty texts are equal texts;
 repeated rows are placed each; a document with a null link has no neighbours;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored. Rows are dealt to
+tasks by id, link and a number of their own, so null or repeated ids gather
+nowhere, whatever their share.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ def granted(asked: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order() -> list[Column]:
+    """What rows are numbered by; the last tells rows of one id and link apart."""
+    return [F.col("doc_id"), F.col("link"), F.col("__row")]
+
+
 def _buckets(rows: int) -> int:
     """Hash buckets in which rows are numbered, of about half a million rows each."""
     return max(256, rows // 500_000)
@@ -72,7 +79,7 @@ def propagated(linked: DataFrame, quota: np.ndarray, rounds: int) -> DataFrame:
     """Shards of linked rows after label propagation under quotas."""
     shards, size = len(quota), max(1, int(quota.min()))
     total = linked.count()
-    index = numbered(linked, [], [F.col("doc_id"), F.col("link")], "at", buckets=_buckets(total))
+    index = numbered(linked, [], _order(), "at", buckets=_buckets(total))
     state = cut(index.withColumn("shard", (F.col("at") % shards).cast("int")).drop("at"))
     quiet = 0
     for number in range(rounds):
@@ -88,7 +95,7 @@ def propagated(linked: DataFrame, quota: np.ndarray, rounds: int) -> DataFrame:
         best = F.slice(room, F.lit(1), needed)
         own = F.filter("all", lambda s: s["shard"] == F.col("shard"))[0]
         stays = (F.size("best") == 0) | F.exists("best", lambda s: s["shard"] == F.col("shard"))
-        goal = F.element_at("best", F.pmod(F.xxhash64("doc_id", F.lit(number)), F.greatest(F.size("best"), F.lit(1))).cast("int") + 1)
+        goal = F.element_at("best", F.pmod(F.xxhash64("doc_id", "__row", F.lit(number)), F.greatest(F.size("best"), F.lit(1))).cast("int") + 1)
         full = ~F.element_at(open_to, F.col("shard") + 1)
         better = (F.struct(F.col("goal.n"), F.col("goal.tie")) > F.struct(own["n"], own["tie"])) | (full & (F.col("goal.n") >= own["n"]))
         target = F.when(stays | ~better, F.col("shard")).otherwise(F.col("goal.shard"))
@@ -100,7 +107,7 @@ def propagated(linked: DataFrame, quota: np.ndarray, rounds: int) -> DataFrame:
         quiet = quiet + 1 if allowed.sum() <= SETTLED * total else 0
         if quiet == 2:  # one round of each kind
             break
-        movers = numbered(asked.where("shard != target"), ["shard", "target"], [F.col("doc_id"), F.col("link")], "rank")
+        movers = numbered(asked.where("shard != target"), ["shard", "target"], _order(), "rank")
         limit = F.element_at(F.array(*[F.lit(int(x)) for x in allowed.ravel()]), F.col("shard") * shards + F.col("target") + 1)
         moved = movers.withColumn("shard", F.when(F.col("rank") < limit, F.col("target")).otherwise(F.col("shard"))).drop("rank", "target")
         old, state = state, cut(asked.where("shard = target").drop("target").unionByName(moved))
@@ -115,20 +122,20 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     Row counts of shards differ by at most one; ``slot`` numbers the rows of
     a shard from 0 in a fixed order.
     """
-    base = cut(rows)
+    base = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
     total = base.count()
     quota = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
     several = cut(base.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("link"))
     linked = propagated(base.join(several, "link", "left_semi"), quota, rounds)
     alone = base.join(several, "link", "left_anti")
     left = np.cumsum(quota - _loads(linked, shards))
-    index = numbered(alone, [], [F.col("doc_id")], "at", buckets=_buckets(total))
+    index = numbered(alone, [], _order(), "at", buckets=_buckets(total))
     shard: Column = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):
         shard = F.when(F.col("at") < int(left[s]), F.lit(s)).otherwise(shard)
     filled = index.withColumn("shard", shard).drop("at")
     placed = linked.select(*base.columns, "shard").unionByName(filled.select(*base.columns, "shard"))
-    return numbered(cut(placed), ["shard"], [F.col("doc_id")], "slot", buckets=_buckets(total // shards))
+    return numbered(cut(placed), ["shard"], _order(), "slot", buckets=_buckets(total // shards)).drop("__row")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lawfinder.llm.sharding import balanced_shards, granted, op1_sharding
+from lawfinder.llm.sharding import _order, balanced_shards, granted, op1_sharding
 
 
 def frame(spark, texts):
@@ -41,6 +41,26 @@ def test_all_rows_linked(spark):
     assert np.mean([len(s) == 1 for s in where.values()]) > 0.5
 
 
+def test_null_and_repeated_ids(spark):
+    """Half of the rows have one id or none, most of those one text; all are placed, and no bucket holds far more than its share."""
+    texts = ["hot"] * 900 + [f"alone {i}" for i in range(900)] + [f"pair {i // 2}" for i in range(400)]
+    ids = [None] * 500 + [7] * 400 + [None] * 300 + [7] * 200 + list(range(800))
+    made = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("link"), F.col("text").alias("kind"))
+    found = balanced_shards(made).collect()
+    assert set(found[0].asDict()) == {"doc_id", "link", "kind", "shard", "slot"}
+    assert Counter((r["doc_id"], r["kind"]) for r in found) == Counter(zip(ids, texts, strict=True))
+    per = Counter(r["shard"] for r in found)
+    assert set(per) == set(range(16)) and max(per.values()) - min(per.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in found) == [(s, k) for s in range(16) for k in range(per[s])]
+    pairs = defaultdict(set)
+    for r in found:
+        if r["kind"].startswith("pair"):
+            pairs[r["kind"]].add(r["shard"])
+    assert np.mean([len(s) == 1 for s in pairs.values()]) >= 0.9
+    dealt = made.withColumn("__row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64(*_order()), F.lit(16))).count()
+    assert max(r["count"] for r in dealt.collect()) < 2 * len(texts) / 16
+
+
 def test_grants_keep_quotas():
     asked = np.array([[0, 5, 2], [3, 0, 9], [0, 4, 0]])
     out = granted(asked, np.array([1, 0, 2]))
