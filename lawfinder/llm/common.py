@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_OWN_ROOT: dict[str, str] = {}
+from ..sources.scratch import cut, drop_cut, scratch_folder, scratch_root  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,52 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It comes from ``spark.checkpoint.dir``. Only where that is unset and all
-    tasks run in this process, as in local tests, a temporary folder of this
-    application is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = "file:" + tempfile.mkdtemp(prefix="spark-lawfinder-")
-    return _OWN_ROOT[app]
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder's path in the shared one."""
-    return f"{scratch_root(spark)}/lawfinder/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result has no lineage behind it, so a lost executor costs only the
-    tasks that read the files again.
-    """
-    spark = df.sparkSession
-    path = scratch_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`cut` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lawfinder/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

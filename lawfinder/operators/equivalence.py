@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tree
+from ..sources.scratch import cut
+from .once import beside, spread
 
 #: Points that make the fingerprint, and fresh points of the check.
 MADE, CHECKED = range(3), range(50, 56)
@@ -41,17 +43,23 @@ def equivalent(df: DataFrame, formula: str, key: str) -> DataFrame:
     two grids; each is checked at fresh points against the least of its cell,
     so no cell is compared all with all. Functions that share a cell by
     chance (one pair in 1e9) and are not equal to its least stay alone there.
+    Trees and cells are worked out once, spread over tasks, and written down.
     """
-    known = df.withColumn("__tree", tree.parsed(F.col(f"`{formula}`")))
-    trees = known.where(F.col("__tree").isNotNull()).groupBy("__tree").agg(F.min(key).alias("__least"))
-    cells = trees.withColumn("__cells", _cells(F.col("__tree")))
-    found = None
+    texts = df.groupBy(F.col(f"`{formula}`").alias("__text")).agg(F.min(key).alias("__least"))
+    known = cut(spread(texts, "__text").withColumn("__tree", tree.parsed(F.col("__text"))))
+    trees = known.where(F.col("__tree").isNotNull()).groupBy("__tree").agg(F.min("__least").alias("__least"))
+    cells = cut(spread(trees, "__tree").withColumn("__cells", _cells(F.col("__tree"))))
+    met = cells
     for grid in (0, 1):
         at = F.col("__cells")[grid]
-        first = cells.where(at.isNotNull()).groupBy(at.alias("__at")).agg(F.min_by(F.struct("__tree", "__least"), F.col("__least")).alias("__first"))
-        met = cells.withColumn("__at", at).join(first, "__at", "left")
-        same = F.coalesce(tree.equal_at(F.col("__tree"), F.col("__first.__tree"), CHECKED), F.lit(False))
-        own = met.select("__tree", "__least", F.when(same, F.col("__first.__least")).otherwise(F.col("__least")).alias(f"__c{grid}"))
-        found = own if found is None else found.join(own.drop("__least"), "__tree")
-    classes = found.select("__tree", F.least("__c0", "__c1").alias("class_key"))
-    return known.join(classes, "__tree", "left").drop("__tree")
+        first = cells.where(at.isNotNull()).groupBy(at.alias("__at")).agg(F.min_by(F.struct("__tree", "__least"), F.col("__least")).alias(f"__first{grid}"))
+        met = met.withColumn("__at", at).join(first, "__at", "left").drop("__at")
+    alike = lambda grid: F.coalesce(tree.equal_at(F.col("__tree"), F.col(f"__first{grid}.__tree"), CHECKED), F.lit(False))
+    own, one, two = F.col("__least"), F.col("__first0.__least"), F.col("__first1.__least")
+    # What is its cell's least, or has no cell, needs no check, and the same least in both grids only one.
+    in_one = F.when(one.isNull() | (one == own), own).when(alike(0), one).otherwise(own)
+    classed = spread(met, "__tree").withColumn("__c0", in_one)
+    in_two = F.when(two.isNull() | (two == own), own).when(two == one, F.col("__c0")).when(alike(1), two).otherwise(own)
+    classes = cut(classed.select("__tree", F.least(F.col("__c0"), in_two).alias("class_key")))
+    by_text = known.join(classes, "__tree", "left").select("__text", "class_key")
+    return beside(df, cut(by_text).withColumnRenamed("__text", formula), [formula])
