@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lawfinder.operators import equivalence
+from lawfinder.queries import QUERIES
 
 
 def _plan(df):
@@ -15,3 +16,17 @@ def test_classes_are_found_from_different_formulas_alone(spark):
     assert "lambdafunction" not in _plan(found)
     assert {(r["id"] % 5, r["class_key"]) for r in found.collect()} == {(0, 0), (1, 0), (2, 2), (3, None), (4, None)}
     assert found.count() == 600
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _is_read_only(spark, query):
+    """Whether nothing is left to do on the formulas' text once their number is known."""
+    plan = _plan(QUERIES[query](spark, SF))
+    return "regexp_" not in plan and "aggregate(" not in plan
+
+
+def test_expansion_and_trees_of_different_formulas_alone(spark):
+    assert _is_read_only(spark, "formula_expansion")
+    assert _is_read_only(spark, "formula_trees")
