@@ -30,3 +30,8 @@ def _is_read_only(spark, query):
 def test_expansion_and_trees_of_different_formulas_alone(spark):
     assert _is_read_only(spark, "formula_expansion")
     assert _is_read_only(spark, "formula_trees")
+
+
+
+def test_formula_agreement_from_different_formulas_alone(spark):
+    assert "regexp_extract_all" not in _plan(QUERIES["formula_agreement"](spark, SF))
