@@ -35,3 +35,8 @@ def test_expansion_and_trees_of_different_formulas_alone(spark):
 
 def test_formula_agreement_from_different_formulas_alone(spark):
     assert "regexp_extract_all" not in _plan(QUERIES["formula_agreement"](spark, SF))
+
+
+
+def test_formula_costs_from_different_formulas_alone(spark):
+    assert "regexp_extract_all" not in _plan(QUERIES["formula_costs"](spark, SF))
