@@ -50,3 +50,8 @@ def test_formula_terms_from_different_formulas_alone(spark):
 
 def test_formula_matches_from_different_formulas_alone(spark):
     assert "regexp_extract_all" not in _plan(QUERIES["formula_matches"](spark, SF))
+
+
+
+def test_formula_likeness_from_different_formulas_alone(spark):
+    assert "regexp_extract_all" not in _plan(QUERIES["formula_likeness"](spark, SF))
