@@ -55,3 +55,13 @@ def test_formula_matches_from_different_formulas_alone(spark):
 
 def test_formula_likeness_from_different_formulas_alone(spark):
     assert "regexp_extract_all" not in _plan(QUERIES["formula_likeness"](spark, SF))
+
+
+
+def test_formula_signatures_from_different_formulas_alone(spark):
+    assert "regexp_extract_all" not in _plan(QUERIES["formula_signatures"](spark, SF))
+
+
+
+def test_formula_normal_forms_from_different_formulas_alone(spark):
+    assert "regexp_extract_all" not in _plan(QUERIES["formula_normal_forms"](spark, SF))
