@@ -11,9 +11,9 @@ ordinary strings among those called random must both stay under ``RATE``:
 
 * Random strings have uniform p-values, so those above one half give the number
   of random strings in a class of lengths, and the rest above a cut is ordinary.
-* The corpus shows what ordinary text scores: its letters and digits outside of
-  spans and tested strings, run together and cut to the lengths of the classes,
-  go through the same tests. The share of those pieces that have a string's
+* The corpus shows what ordinary text scores: all its letters and digits outside
+  of spans and tested strings, run together and cut to the lengths of the
+  classes in turn, go through the same tests. The share of those pieces that have a string's
   encoding and at least its p-value, times the strings tested in the class, is
   the number of ordinary ones to expect; against the number observed it gives
   the least cut of the class and encoding (Benjamini-Hochberg's rule). So a few
@@ -52,9 +52,11 @@ MASK = "<SECRET>"
 RATE = 0.05
 #: Length classes: under 32, under 48, under 96 characters, and longer.
 LENGTHS = (32, 48, 96)
-#: Lengths of the ordinary pieces of each class, and how far apart their starts are in a text's letters and digits.
+#: Lengths of the ordinary pieces of each class, and how far apart their starts are by default where only some are wanted.
 PIECES, STRIDE = (20, 32, 48, 96), 4096
 BINS = 100
+#: Sum of squares from which on the p-value is under the lowest cut, 1 / BINS.
+FAR_OFF = 16.0
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet: pattern of the whole string, and its symbols in order.
@@ -151,19 +153,22 @@ def _near_normal(chi: Column, free: Column) -> Column:
     return (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
 
 
-def _kinds_off(body: Column, alphabet: Column) -> tuple[Column, Column]:
-    """How far the kinds of symbols are from their shares of the alphabet, and the degrees of freedom."""
-    every = "".join(_KINDS)
-    counts = lambda s: [F.length(s) - F.length(F.translate(s, k, "")) for k in _KINDS] + [F.length(F.translate(s, every, ""))]
-    n, size = F.length(body), F.length(alphabet)
+def _kinds_off(body: Column, held: Column) -> tuple[Column, Column]:
+    """How far the kinds of symbols are from the numbers held by the alphabet, and the degrees of freedom."""
+    n, size = F.length(body), _sum(held)
+    named = [n - F.length(F.translate(body, k, "")) for k in _KINDS]
     chi, kinds = F.lit(0.0), F.lit(-1.0)
-    for own, held in zip(counts(body), counts(alphabet), strict=True):
-        due = F.greatest(n * held / size, F.lit(1e-9))
-        chi += F.when(held > 0, F.pow(own - due, F.lit(2)) / due).otherwise(0.0)
-        kinds += F.when(held > 0, 1.0).otherwise(0.0)
+    for k, own in enumerate([*named, n - sum(named, F.lit(0))]):
+        due = F.greatest(n * held[k] / size, F.lit(1e-9))
+        chi += F.when(held[k] > 0, F.pow(own - due, F.lit(2)) / due).otherwise(0.0)
+        kinds += F.when(held[k] > 0, 1.0).otherwise(0.0)
     return chi, kinds
 
 
+#: How many symbols of each kind, and of none, the encodings' alphabets hold.
+_HELD = [[float(sum(c in k for c in symbols)) for k in _KINDS] + [float(sum(c not in "".join(_KINDS) for c in symbols))] for _, symbols in ENCODINGS]
+
+
 def _body(token: Column) -> Column:
     return F.regexp_replace(token, "=+$", "")
 
@@ -176,16 +181,19 @@ def encoding(token: Column) -> Column:
     return found
 
 
-def randomness(token: Column) -> Column:
-    """p-value of the hypothesis that the symbols of ``token`` are random in its encoding."""
+def randomness(token: Column, whole: bool = True) -> Column:
+    """p-value of the hypothesis that the symbols of ``token`` are random in its encoding.
+
+    Unless ``whole``, tests end where those done put the p-value under 1 / BINS already, and 0 is given.
+    """
     body = _body(token)
-    alphabet = F.element_at(F.array(*[F.lit(symbols) for _, symbols in ENCODINGS]), encoding(token) + 1)
+    of_encoding = lambda values, e: F.element_at(F.lit(values) if isinstance(values[0], str) else F.array(*[F.array(*map(F.lit, v)) for v in values]), e + 1)
 
     def tested(v: Column) -> Column:
         n, size = F.length(v["body"]).cast("double"), F.length(v["alphabet"]).cast("double")
-        squares = F.aggregate(F.split(v["alphabet"], ""), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(v["body"], c)), F.lit(2)))
-        uniform = _near_normal(squares * size / n - n, size - 1)
-        chi, kinds = _kinds_off(v["body"], v["alphabet"])
+        square = lambda z: z * z
+        chi, kinds = _kinds_off(v["body"], v["held"])
+        mixed = bound(F.struct(chi.alias("chi"), kinds.alias("free")), lambda k: F.when(k["free"] > 0, square(_near_normal(k["chi"], k["free"]))).otherwise(0.0))
         shifted = lambda x: (F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1))
 
         def runs(above: Column) -> Column:
@@ -197,19 +205,32 @@ def randomness(token: Column) -> Column:
             both = _sum(F.zip_with(*shifted(off), lambda a, b: a * b)) / F.greatest(_sum(F.transform(off, lambda r: r * r)), F.lit(1e-9))
             return (both + 1 / n) * F.sqrt(n)
 
-        def parts(x: Column) -> Column:
-            mean = _sum(x) / n
-            return F.array(
-                bound(F.transform(x, lambda r: (r >= size / 2).cast("double")), runs),
-                bound(mean, lambda m: bound(F.transform(x, lambda r: r - m), drift)),
-                uniform, bound(F.struct(chi.alias("chi"), kinds.alias("free")), lambda k: F.when(k["free"] > 0, _near_normal(k["chi"], k["free"])).otherwise(0.0)),
-            )
+        def in_order(chars: Column) -> Column:
+            def parts(x: Column) -> Column:
+                one = bound(F.transform(x, lambda r: (r >= size / 2).cast("double")), runs)
+                two = bound(_sum(x) / n, lambda m: bound(F.transform(x, lambda r: r - m), drift))
+                return square(one) + square(two)
+
+            return bound(F.transform(chars, lambda c: (F.position(c, v["alphabet"]) - 1).cast("double")), parts)
+
+        def spread(chars: Column) -> Column:
+            # symbols that do not occur add nothing
+            squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + square(n - F.length(F.replace(v["body"], c))))
+            return square(_near_normal(squares * size / n - n, size - 1))
 
-        ranks = F.transform(F.split(v["body"], ""), lambda c: (F.position(c, v["alphabet"]) - 1).cast("double"))
-        total = bound(ranks, lambda x: _sum(F.transform(parts(x), lambda z: z * z)))
-        return F.when(n < 16, F.lit(0.0)).otherwise(1 - bound(_near_normal(total, F.when(kinds > 0, 4.0).otherwise(3.0)), normal_below))
+        def below(total: Column) -> Column:
+            return 1 - bound(_near_normal(total, F.when(F.array_max(v["held"]) < size, 4.0).otherwise(3.0)), normal_below)
 
-    return bound(F.struct(body.alias("body"), alphabet.alias("alphabet")), tested)
+        def ended(done: Column, on: Callable[[Column], Column]) -> Column:
+            return on(done) if whole else F.when(done >= FAR_OFF, 0.0).otherwise(on(done))
+
+        def rest(first: Column) -> Column:
+            return bound(F.split(v["body"], ""), lambda chars: bound(first + spread(chars), lambda done: ended(done, lambda d: bound(d + in_order(chars), below))))
+
+        return F.when(n < 16, F.lit(0.0)).otherwise(bound(mixed, lambda first: ended(first, rest)))
+
+    whose = lambda e: F.struct(body.alias("body"), of_encoding([symbols for _, symbols in ENCODINGS], e).alias("alphabet"), of_encoding(_HELD, e).alias("held"))
+    return bound(encoding(token), lambda e: bound(whose(e), tested))
 
 
 def length_class(token: Column) -> Column:
@@ -242,24 +263,28 @@ def candidates(docs: DataFrame, base: str, name: str) -> DataFrame:
     return found.withColumn(name, clear_of(F.col(base), F.col(name)))
 
 
-def ordinary_pieces(text: Column) -> Column:
-    """Pieces of a text's letters and digits outside of spans and tested strings, one of each class's length every ``STRIDE``."""
-    plain = F.regexp_replace(text, f"{ASSIGN}|{CANDIDATE}|[^A-Za-z0-9]+", "")
+def ordinary_pieces(text: Column, stride: int = STRIDE) -> Column:
+    """Pieces of a text's letters and digits outside of spans and tested strings, one of each class's length every ``stride``.
+
+    With the sum of ``PIECES`` as stride they follow each other and are the whole text, but for ends too short to be tested.
+    """
+    # Assignments go first, else a string right before one would take its name along and leave its value.
+    plain = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), f"{CANDIDATE}|[^A-Za-z0-9]+", "")
     each = sum(PIECES)
-    runs = F.regexp_extract_all(plain, F.lit(f"(.{{{PIECES[0]},{each}}}).{{0,{STRIDE - each}}}"), F.lit(1))
+    runs = F.regexp_extract_all(plain, F.lit(f"(.{{{PIECES[0]},{each}}}).{{0,{stride - each}}}"), F.lit(1))
     starts = [1 + sum(PIECES[:k]) for k in range(len(PIECES))]
     cuts = F.flatten(F.transform(runs, lambda r: F.array(*[F.substring(r, at, n) for at, n in zip(starts, PIECES, strict=True)])))
-    return F.filter(cuts, lambda c: F.length(c).isin(*PIECES))
+    return F.filter(cuts, lambda c: F.length(c) >= PIECES[0])
 
 
 def length_cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
     """The least p-value called random in each length class and encoding that has tested strings; a few rows whatever the input."""
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = lambda strings, own: F.transform(strings, lambda h: F.struct(h.alias("hit"), F.lit(own).alias("own")))
-    both = F.concat(marked(F.transform("more", lambda s: s["hit"]), True), marked(ordinary_pieces(text), False))
+    both = F.concat(marked(F.transform("more", lambda s: s["hit"]), True), marked(ordinary_pieces(text, sum(PIECES)), False))
     # An outer explode, as before a plain one Spark adds a filter that finds all spans once more.
     hits = candidates(docs.select("text"), "base", "more").select(F.explode_outer(both).alias("h")).select("h.*").where("hit is not null").distinct()
-    value = F.least(F.floor(randomness(F.col("hit")) * BINS), F.lit(BINS - 1)).cast("int")
+    value = F.least(F.floor(randomness(F.col("hit"), whole=False) * BINS), F.lit(BINS - 1)).cast("int")
     binned = hits.select("own", length_class(F.col("hit")).alias("cls"), encoding(F.col("hit")).alias("enc"), value.alias("bin"))
     many = lambda of: F.count(F.when(of, F.lit(1)))
     counts = binned.groupBy("cls", "enc", "bin").agg(many(F.col("own")).alias("tested"), many(~F.col("own")).alias("ordinary"))

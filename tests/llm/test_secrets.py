@@ -3,7 +3,8 @@ import random
 import re
 
 import pytest
-from lawfinder.llm.secrets import ordinary_pieces, redacted, with_spans, written
+from lawfinder.llm import secrets
+from lawfinder.llm.secrets import PIECES, ordinary_pieces, redacted, with_spans, written
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -127,6 +128,30 @@ def test_ordinary_pieces(spark):
     assert found[0]["p"] == [w for w in want if w]
 
 
+def test_thresholds_read_the_whole_ordinary_text(spark):
+    rng = random.Random(17)
+    text = " ".join("".join(rng.choice(ALPHABETS["lower"] if "lower" in ALPHABETS else "abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(1500))
+    letters = text.replace(" ", "")
+    found = spark.createDataFrame([(text,)], "t string").select(ordinary_pieces(F.col("t"), sum(PIECES)).alias("p")).first()["p"]
+    assert "".join(found) == letters[: len("".join(found))] and len(letters) - len("".join(found)) < PIECES[0]
+    seen = []
+    real = secrets.ordinary_pieces
+    secrets.ordinary_pieces = lambda t, *stride: seen.append(stride) or real(t, *stride)
+    try:
+        secrets.length_cuts(spark.createDataFrame([(text,)], "text string"))
+    finally:
+        secrets.ordinary_pieces = real
+    assert seen == [(sum(PIECES),)]
+
+
+def test_tests_that_end_early_give_the_same_bins(spark):
+    rng = random.Random(19)
+    strings = ["".join(rng.choice(a) for _ in range(n)) for a in ALPHABETS.values() for n in (20, 40, 90)] + [prose(rng).replace(" ", "")[:n] for n in (20, 32, 48, 96) for _ in range(10)]
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    for r in df.select(secrets.randomness(F.col("s")).alias("a"), secrets.randomness(F.col("s"), whole=False).alias("b")).collect():
+        assert r["a"] == r["b"] or (r["b"] == 0 and r["a"] < 1 / secrets.BINS)
+
+
 def test_candidates_clear_of_many_base_spans(spark):
     rng = random.Random(11)
     parts = []
