@@ -3,35 +3,61 @@
 A model is a line in terms ``f(x, b)``, each with a constant ``b`` inside. For
 fixed constants the line is solved exactly, so only the constants are
 searched: every pass sends all rows through all models at their present
-constants once, and Spark sums the variances and covariances of the terms,
-of their slopes in ``b``, and of the target. From those few numbers a model
+constants once. Tasks sum the variances and covariances of the terms, of
+their slopes in ``b``, and of the target over Arrow batches, a row per model
+and task, and Spark joins those by model. From those few numbers a model
 takes a Gauss-Newton step (the line's share taken out of the slopes), damped
 until its loss falls. What reaches the driver has a row per model, whatever
-the number of rows.
+the number of rows. Different rows are written down once with how often
+they occur, spread over tasks by their number, as a file may be one task's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, drop_cut
+from .once import spread
 from .stats import FLAT
 
 #: Greatest argument of an exponential, as in the guarded transforms.
 STEEPEST = 50.0
+#: Share of the target's variance under which a loss is the rounding of the sums, and counts as none.
+ROUNDING = 1e-13
 
+Both = tuple[np.ndarray, np.ndarray]
 
-def _bent(x: Column) -> Column:
-    return F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), x))
 
+def _exp(at: np.ndarray, inner: np.ndarray) -> Both:
+    """An exponential of ``at``, whose own slope is ``inner``; flat where its argument is cut off."""
+    value = np.exp(np.clip(at, -STEEPEST, STEEPEST))
+    return value, np.where(np.abs(at) < STEEPEST, inner * value, 0.0)
 
-def _inside(x: Column) -> Column:
-    """Whether an exponential's argument is not cut off."""
-    return F.abs(x) < STEEPEST
+
+def _power(x: np.ndarray, b: float) -> Both:
+    value = np.power(x, b)
+    return value, value * np.log(x)
+
+
+def _sqrt(x: np.ndarray, b: float) -> Both:
+    value = np.sqrt(x + b)
+    return value, 0.5 / value
+
+
+def _inverse(x: np.ndarray, b: float) -> Both:
+    value = 1 / (x + b)
+    return value, -value * value
+
+
+def _tanh(x: np.ndarray, b: float) -> Both:
+    value = np.tanh(b * x)
+    return value, x * (1 - value * value)
 
 
 @dataclass(frozen=True)
@@ -39,8 +65,7 @@ class Form:
     """A function with a constant: its value and slope in the constant, text, nodes, the operator it needs, and where to start."""
 
     name: str
-    value: Callable[[Column, Column], Column]
-    slope: Callable[[Column, Column], Column]
+    both: Callable[[np.ndarray, float], Both]
     text: Callable[[str, str], str]
     size: int
     needs: str
@@ -55,16 +80,16 @@ def _scaled(counts: list[float], of: str) -> Callable[[dict], list[float]]:
 _SIGNED = [c * sign for c in (0.1, 0.5, 2.0, 6.0) for sign in (1, -1)]
 _BEYOND = lambda s: [c * s["range"] - s["least"] for c in (0.01, 0.1, 0.5, 2.0, 10.0)] if s["range"] else []
 FORMS = (
-    Form("raw", lambda x, b: x, lambda x, b: F.lit(0.0), lambda x, b: x, 1, "", lambda s: [0.0] if s["range"] else []),
-    Form("exp", lambda x, b: F.exp(_bent(b * x)), lambda x, b: F.when(_inside(b * x), x * F.exp(_bent(b * x))).otherwise(0.0), lambda x, b: f"exp({b}*{x})", 4, "exp", _scaled(_SIGNED, "range")),
-    Form("exp_inverse", lambda x, b: F.exp(_bent(b / x)), lambda x, b: F.when(_inside(b / x), F.exp(_bent(b / x)) / x).otherwise(0.0), lambda x, b: f"exp({b}/{x})", 4, "exp", lambda s: [c / s["inverse_range"] for c in _SIGNED] if s["inverse_range"] else [], True),
-    Form("power", lambda x, b: F.pow(x, b), lambda x, b: F.pow(x, b) * F.ln(x), lambda x, b: f"{x}^({b})", 3, "^", lambda s: [-3.0, -1.5, -0.6, 0.4, 1.4, 2.5], True),
-    Form("log", lambda x, b: F.ln(x + b), lambda x, b: 1 / (x + b), lambda x, b: f"log({x} + {b})", 4, "log", _BEYOND),
-    Form("sqrt", lambda x, b: F.sqrt(x + b), lambda x, b: 0.5 / F.sqrt(x + b), lambda x, b: f"sqrt({x} + {b})", 4, "sqrt", _BEYOND),
-    Form("inverse", lambda x, b: 1 / (x + b), lambda x, b: -1 / ((x + b) * (x + b)), lambda x, b: f"1/({x} + {b})", 5, "/", _BEYOND),
-    Form("sin", lambda x, b: F.sin(b * x), lambda x, b: x * F.cos(b * x), lambda x, b: f"sin({b}*{x})", 4, "sin", _scaled([1.0, 2.0, 3.5, 5.0, 7.0, 9.0, 12.0], "range")),
-    Form("cos", lambda x, b: F.cos(b * x), lambda x, b: -x * F.sin(b * x), lambda x, b: f"cos({b}*{x})", 4, "cos", _scaled([1.0, 2.0, 3.5, 5.0, 7.0, 9.0, 12.0], "range")),
-    Form("tanh", lambda x, b: F.tanh(b * x), lambda x, b: x * (1 - F.pow(F.tanh(b * x), F.lit(2))), lambda x, b: f"tanh({b}*{x})", 4, "tanh", _scaled([0.3, 1.0, 3.0, 10.0], "range")),
+    Form("raw", lambda x, b: (x, np.zeros(len(x))), lambda x, b: x, 1, "", lambda s: [0.0] if s["range"] else []),
+    Form("exp", lambda x, b: _exp(b * x, x), lambda x, b: f"exp({b}*{x})", 4, "exp", _scaled(_SIGNED, "range")),
+    Form("exp_inverse", lambda x, b: _exp(b / x, 1 / x), lambda x, b: f"exp({b}/{x})", 4, "exp", lambda s: [c / s["inverse_range"] for c in _SIGNED] if s["inverse_range"] else [], True),
+    Form("power", _power, lambda x, b: f"{x}^({b})", 3, "^", lambda s: [-3.0, -1.5, -0.6, 0.4, 1.4, 2.5], True),
+    Form("log", lambda x, b: (np.log(x + b), 1 / (x + b)), lambda x, b: f"log({x} + {b})", 4, "log", _BEYOND),
+    Form("sqrt", _sqrt, lambda x, b: f"sqrt({x} + {b})", 4, "sqrt", _BEYOND),
+    Form("inverse", _inverse, lambda x, b: f"1/({x} + {b})", 5, "/", _BEYOND),
+    Form("sin", lambda x, b: (np.sin(b * x), x * np.cos(b * x)), lambda x, b: f"sin({b}*{x})", 4, "sin", _scaled([1.0, 2.0, 3.5, 5.0, 7.0, 9.0, 12.0], "range")),
+    Form("cos", lambda x, b: (np.cos(b * x), -x * np.sin(b * x)), lambda x, b: f"cos({b}*{x})", 4, "cos", _scaled([1.0, 2.0, 3.5, 5.0, 7.0, 9.0, 12.0], "range")),
+    Form("tanh", _tanh, lambda x, b: f"tanh({b}*{x})", 4, "tanh", _scaled([0.3, 1.0, 3.0, 10.0], "range")),
 )
 BY_NAME = {f.name: f for f in FORMS}
 #: Forms that a model may hold twice of one feature, with two constants.
@@ -102,39 +127,92 @@ def shapes(df: DataFrame, names: list[str]) -> dict[str, dict]:
     return out
 
 
-def _of_form(form: Column, use: Callable[[Form], Column]) -> Column:
-    found = F.lit(None).cast("double")
-    for f in FORMS:
-        found = F.when(form == f.name, use(f)).otherwise(found)
-    return found
-
-
-def _moments(df: DataFrame, target: str, names: list[str], models: list[tuple[int, Model]], trials: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray] | None]:
-    """Means and covariances of each model's terms, slopes and the target, of all models in one pass; none where a value is not finite."""
-    k = len(models[0][1].terms)
-    width = 2 * k
-    listed = [(at, *[v for (f, x), c in zip(m.terms, b, strict=True) for v in (f, names.index(x), float(c))]) for (at, m), b in zip(models, trials, strict=True)]
-    schema = ", ".join(["m int", *[f"f{i} string, x{i} int, b{i} double" for i in range(k)]])
-    # A row per model: their number depends on the columns and forms alone, and each needs every row.
-    table = F.broadcast(df.sparkSession.createDataFrame(listed, schema))
-    rows = df.select(F.col(f"`{target}`").cast("double").alias(f"v{width}"), F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("xs")).crossJoin(table)
-    at = [(F.col(f"f{i}"), F.get("xs", F.col(f"x{i}")), F.col(f"b{i}")) for i in range(k)]
-    values = [_of_form(f, lambda form, x=x, b=b: form.value(x, b)) for f, x, b in at]
-    slopes = [_of_form(f, lambda form, x=x, b=b: form.slope(x, b)) for f, x, b in at]
-    every = rows.select("m", f"v{width}", *[c.alias(f"v{i}") for i, c in enumerate([*values, *slopes])])
-    cols = [F.col(f"v{i}") for i in range(width + 1)]
-    sound = F.bool_and(F.coalesce(sum((F.abs(c) for c in cols), F.lit(0.0)) < F.lit(float("inf")), F.lit(False)))
-    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
-    aggs = [F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)] + [F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]
+class _Sums:
+    """Rows, means and summed products of deviations of each model's values; models of a value that is not finite fall out."""
+
+    def __init__(self, models: int, width: int):
+        self.n, self.mean, self.products, self.sound = 0.0, np.zeros((models, width)), np.zeros((models, width, width)), np.ones(models, dtype=bool)
+
+    def add(self, n: float, mean: np.ndarray, products: np.ndarray, sound: np.ndarray) -> None:
+        self.sound &= sound
+        off = mean - self.mean
+        total = self.n + n
+        self.mean += off * (n / total)
+        self.products += products + off[:, :, None] * off[:, None, :] * (self.n * n / total)
+        self.n = total
+
+
+def _of_batch(times: np.ndarray, y: np.ndarray, xs: list[np.ndarray], models: list[list[tuple[str, int, float]]], sound: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of one batch, whose rows count some times each, for the models that were sound so far."""
+    k = len(models[0])
+    width = 2 * k + 1
+    mean, products, good = np.zeros((len(models), width)), np.zeros((len(models), width, width)), sound.copy()
+    known: dict[tuple[str, int, float], Both] = {}
+    v = np.empty((width, len(y)))
+    v[-1] = y
+    n = times.sum()
+    for i in np.flatnonzero(sound):
+        for j, term in enumerate(models[i]):
+            if term not in known:
+                known[term] = BY_NAME[term[0]].both(xs[term[1]], term[2])
+            v[j], v[k + j] = known[term]
+        # one by one: a product of matrices would start threads in every task
+        own = np.array([row @ times for row in v]) / n
+        if not np.isfinite(own).all():
+            good[i] = False
+            continue
+        off = v - own[:, None]
+        counted = off * times
+        mean[i] = own
+        for a in range(width):
+            for b in range(a, width):
+                products[i, a, b] = products[i, b, a] = off[a] @ counted[b]
+    return n, mean, products, good
+
+
+_PARTS = "m int, n double, sound boolean, mean array<double>, products array<double>"
+
+
+def _part(m: int, n: float, sound: bool, mean: np.ndarray, products: np.ndarray) -> dict:
+    return {"m": m, "n": n, "sound": sound, "mean": mean.tolist(), "products": products.ravel().tolist()}
+
+
+_ARROW = pa.schema([("m", pa.int32()), ("n", pa.float64()), ("sound", pa.bool_()), ("mean", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))])
+
+
+def _moments(df: DataFrame, target: str, names: list[str], models: list[tuple[int, Model]], trials: list[np.ndarray], times: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray] | None]:
+    """Means and covariances of each model's terms, slopes and the target, of all models in one pass; none where a value is not finite.
+
+    ``times`` names a column that says how often a row counts.
+    """
+    width = 2 * len(models[0][1].terms) + 1
+    numbers = [at for at, _ in models]
+    listed = [[(f, names.index(x), float(c)) for (f, x), c in zip(m.terms, b, strict=True)] for (_, m), b in zip(models, trials, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(len(listed), width)
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    often, y, *xs = [c.to_numpy(zero_copy_only=False) for c in batch.columns]  # nulls become nan
+                    sums.add(*_of_batch(often, y, xs, listed, sums.sound))
+        if sums.n:
+            yield pa.RecordBatch.from_pylist([_part(m, sums.n, bool(sums.sound[i]), sums.mean[i], sums.products[i]) for i, m in enumerate(numbers)], _ARROW)
+
+    def joined(rows: pa.Table) -> pa.Table:
+        """The parts of one model, of which each task gives one."""
+        sums = _Sums(1, width)
+        with np.errstate(all="ignore"):
+            for r in rows.to_pylist():
+                sums.add(r["n"], np.array([r["mean"]]), np.array(r["products"]).reshape(1, width, width), np.array([r["sound"]]))
+        return pa.Table.from_pylist([_part(rows.column("m")[0].as_py(), sums.n, bool(sums.sound[0]), sums.mean[0], sums.products[0])], _ARROW)
+
+    often = F.lit(1.0) if times is None else F.col(times).cast("double")
+    rows = df.select(often.alias("often"), *[F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate([target, *names])])
     out: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
-    for r in every.groupBy("m").agg(sound.alias("sound"), *aggs).collect():
-        out[r["m"]] = None
-        if r["sound"]:
-            cov = np.zeros((width + 1, width + 1))
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-            if np.isfinite(cov).all():
-                out[r["m"]] = np.array([r[f"a{i}"] for i in range(width + 1)]), cov
+    for r in rows.mapInArrow(run, _PARTS).groupBy("m").applyInArrow(joined, _PARTS).collect():
+        cov = np.array(r["products"]).reshape(width, width) / r["n"]
+        out[r["m"]] = (np.array(r["mean"]), cov) if r["sound"] and np.isfinite(cov).all() else None
     return out
 
 
@@ -163,7 +241,7 @@ def _solved(mean: np.ndarray, cov: np.ndarray, k: int) -> tuple[float, np.ndarra
     return loss, a, float(mean[-1] - a @ mean[:k]), step
 
 
-def improved(df: DataFrame, target: str, names: list[str], models: list[Model], passes: int, tolerance: float = 1e-9) -> tuple[list[Model], int]:
+def improved(df: DataFrame, target: str, names: list[str], models: list[Model], passes: int, tolerance: float = 1e-9, times: str | None = None) -> tuple[list[Model], int]:
     """Up to ``passes`` steps of all models together, each a pass over all rows; also how many passes were made."""
     models, made = [replace(m) for m in models], 0
     for _ in range(passes):
@@ -171,7 +249,7 @@ def improved(df: DataFrame, target: str, names: list[str], models: list[Model],
         if not open_:
             break
         trials = [m.constants if not np.isfinite(m.loss) else m.constants + m.damping * m.step for _, m in open_]
-        found = _moments(df, target, names, open_, trials)
+        found = _moments(df, target, names, open_, trials, times)
         made += 1
         for (i, m), b in zip(open_, trials, strict=True):
             moments = found.get(i)
@@ -198,8 +276,25 @@ def fit_constants(
     passes the best start of each goes on, after four more the best
     ``2 * beam``. A model of more terms starts from the best ``beam`` of one
     less with each form and feature added. Local minima are possible,
-    as with any descent.
+    as with any descent. Models are ranked by n ln(loss) + ln(n) for each
+    constant inside (Schwarz's criterion), so that a form which comes near
+    the raw column at the end of its constants does not push that one out;
+    of those whose losses are mere rounding the simplest counts as best.
     """
+    used = list(dict.fromkeys([target, *names]))
+    cols, times = [f"c{i}" for i in range(len(used))], "__times"
+    each = df.select(*[F.col(f"`{n}`").cast("double").alias(c) for n, c in zip(used, cols, strict=True)]).groupBy(*cols).agg(F.count(F.lit(1)).alias(times))
+    # In another order than they are grouped by, else Spark leaves this exchange out and puts small tables into one task.
+    df = cut(spread(each, *reversed(cols))).toDF(*used, times)
+    y = F.col(f"`{target}`")
+    n_rows, total = df.agg(F.sum(times), F.sum(F.col(times) * y)).first()
+    variance = 0.0 if total is None else df.agg(F.sum(F.col(times) * F.pow(y - total / n_rows, F.lit(2.0)))).first()[0] / n_rows
+    loss_of = lambda m: m.loss if m.loss > ROUNDING * variance else 0.0
+
+    def rank(m: Model) -> float:
+        inside = sum(f != "raw" for f, _ in m.terms)
+        return n_rows * np.log(loss_of(m)) + inside * np.log(n_rows) if loss_of(m) else -np.inf
+
     seen = shapes(df, names)
     allowed = [f for f in FORMS if functions is None or not f.needs or f.needs in functions]
     singles = [(f.name, n) for f in allowed for n in names if n in seen and (seen[n]["positive"] or not f.positive)]
@@ -211,9 +306,9 @@ def fit_constants(
         begun = [Model((*m.terms, s), np.append(m.constants, b)) for m in kept for s in singles for b in starts[s] if s not in m.terms or s[0] in AGAIN]
         held = begun
         for rounds, of in ((2, lambda m: m.terms), (4, lambda m: m.terms), (passes - 6, None)):
-            held, n = improved(df, target, names, held, rounds)
+            held, n = improved(df, target, names, held, rounds, times=times)
             made += n
-            held = sorted((m for m in held if np.isfinite(m.loss)), key=lambda m: (m.loss, m.size, m.terms))
+            held = sorted((m for m in held if np.isfinite(m.loss)), key=lambda m: (rank(m), m.size, m.terms, m.loss))
             if of is not None:
                 best: dict = {}
                 for m in held:
@@ -223,11 +318,11 @@ def fit_constants(
         kept = held[:beam]
         if not kept:
             break
-    spread = df.agg(F.var_pop(F.col(f"`{target}`").cast("double"))).first()[0] or 0.0
+    drop_cut(df)
     found = []
     for m in rows:
         texts = [BY_NAME[f].text(x, f"{b:.9g}" if b >= 0 else f"({b:.9g})") for (f, x), b in zip(m.terms, m.constants, strict=True)]
         equation = " + ".join([f"{a:.9g}*{t}" for a, t in zip(m.coefficients, texts, strict=True)] + [f"{m.intercept:.9g}"])
-        found.append((len(m.terms), m.size, m.loss, 1 - m.loss / spread if spread >= FLAT**2 else 1.0, [f for f, _ in m.terms], [x for _, x in m.terms], [float(b) for b in m.constants], [float(a) for a in m.coefficients], m.intercept, equation))
+        found.append((len(m.terms), m.size, loss_of(m), 1 - loss_of(m) / variance if variance >= FLAT**2 else 1.0, [f for f, _ in m.terms], [x for _, x in m.terms], [float(b) for b in m.constants], [float(a) for a in m.coefficients], m.intercept, equation))
     schema = "terms int, complexity int, loss double, r2 double, forms array<string>, features array<string>, constants array<double>, coefficients array<double>, intercept double, equation string"
     return spark.createDataFrame(found, schema), made + 1

@@ -69,3 +69,47 @@ def test_odd_columns(spark):
     r = found.orderBy("loss", "complexity").first()
     assert r["features"] == ["a"] and r["r2"] > 1 - 1e-9
     assert inner.fit_constants(spark, df.limit(0), "y", ["a"], most_terms=2)[0].count() == 0
+
+
+def test_rows_in_one_file_are_spread_and_sums_stay_small(spark, rows, tmp_path):
+    """All rows go through every pass in several tasks, though they come from one; what is joined has a row per model and task."""
+    rows.select("T", "z", "mixed").coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1
+    asked = []
+    plain = inner._moments
+
+    def seen(df, *given):
+        asked.append(df.rdd.getNumPartitions())
+        return plain(df, *given)
+
+    inner._moments = seen
+    try:
+        found, _ = inner.fit_constants(spark, one, "mixed", ["T", "z"], {"exp"}, most_terms=1)
+    finally:
+        inner._moments = plain
+    assert min(asked) >= 2 and found.count() > 0
+
+
+def test_a_null_has_no_value_in_any_form(spark):
+    """A null was taken for the greatest argument of an exponential."""
+    df = spark.createDataFrame([(float(i) if i else None, float(i)) for i in range(20)], "a double, y double")
+    models = [(k, inner.Model(((form, "a"),), np.array([0.1]))) for k, form in enumerate(("exp", "raw", "sin"))]
+    assert inner._moments(df, "y", ["a"], models, [m.constants for _, m in models]) == {0: None, 1: None, 2: None}
+
+
+def test_equal_rows_are_gone_through_once(spark, rows):
+    """Copies of rows count as often as they occur, and the sums go over different rows alone."""
+    few = rows.select("T", "z", "mixed").limit(400).cache()
+    uneven = few.unionByName(few.where("T < 600")).unionByName(few.where("T < 600"))
+    models = [(0, inner.Model((("exp", "z"),), np.array([-0.5])))]
+    grouped = uneven.groupBy("T", "z", "mixed").agg(F.count(F.lit(1)).alias("n"))
+    plain, once = (inner._moments(d, "mixed", ["T", "z"], models, [models[0][1].constants], *of)[0] for d, *of in ((uneven,), (grouped, "n")))
+    assert np.allclose(plain[0], once[0], rtol=1e-12) and np.allclose(plain[1], once[1], rtol=1e-9)
+    counted, whole = [], inner._moments
+    inner._moments = lambda df, *given: counted.append(df.count()) or whole(df, *given)
+    try:
+        inner.fit_constants(spark, uneven, "mixed", ["T", "z"], {"/"}, most_terms=1)
+    finally:
+        inner._moments = whole
+    assert set(counted) == {few.distinct().count()}
