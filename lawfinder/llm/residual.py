@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .packing import ChunkIds, chunk_ids
+from .packing import CACHE, ChunkIds
 
 CAPACITY = 2048
 END_ID = 0
@@ -53,6 +53,10 @@ _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_
 # On other characters than printable ASCII with its white space and Latin letters Python's classes may differ from the
 # tokenizer's; its special tokens begin with <|.
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa1\xab\xbb\xbf-\u024f]|<\\|")
+# The same of ASCII, where a search for few characters is the quicker one.
+_ODD_ASCII = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
+# White space that may run on: with none of it each chunk ends at one blank or line end.
+_RUNS = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")
 # The settings of a tokenizer that splits so.
 _PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -60,7 +64,16 @@ _PIECE = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32:
 
 
 class Chunks(ChunkIds):
-    """Ids of texts by a byte-level tokenizer, joined from those of chunks that it never joins; both chunks and their parts are remembered."""
+    """Ids of texts by a byte-level tokenizer, joined from those of chunks that it never joins, which are remembered.
+
+    A key stands for a chunk: for the blank and the key, or for the line end that it begins with and what follows,
+    or, after a null character, for what begins a text. So a text whose white space never runs on is cut at its blanks alone.
+    """
+
+    def __init__(self, path: str, dtype: str, most: int = CACHE):
+        super().__init__(path, dtype, most)
+        self.model = self.tokenizer.model
+        self.code = "H" if dtype == "<u2" else "I"
 
     def _known(self) -> bool:
         settings = self.tokenizer.pre_tokenizer
@@ -68,25 +81,39 @@ class Chunks(ChunkIds):
         split = None if settings is None else json.loads(settings.__getstate__())
         return self.tokenizer.normalizer is None and split == _PRE_TOKENIZER and all(t.startswith("<|") for t in added)
 
+    def made(self, part: str) -> bytes:
+        named = "".join(map(self.names.__getitem__, part.encode()))
+        return array.array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
+
     def part(self, part: str) -> bytes:
+        if part[0] == " " and len(part) > 1 and not part[1].isspace():
+            return self[part[1:]]
         ids = self.parts.get(part)
         if ids is None:
-            named = "".join(map(self.names.__getitem__, part.encode()))
-            ids = array.array("H" if self.dtype == "<u2" else "I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+            ids = self.made(part)
             if len(self.parts) < self.most and len(part) <= 64:
                 self.parts[part] = ids
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.part, _PART.findall(chunk)))
-        if len(self) < self.most and len(chunk) <= 64:
-            self[chunk] = ids
+    def __missing__(self, key: str) -> bytes:
+        chunk = key if key[0] == "\n" else key[1:] if key[0] == "\0" else " " + key
+        parts = [chunk] if key.isalpha() else _PART.findall(chunk)
+        ids = self.made(chunk) if parts == [" " + key] else b"".join(map(self.part, parts))
+        # Keys over a line end hardly come again.
+        if len(self) < self.most and len(key) <= 64 and key[0] != "\n":
+            self[key] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if not self.chunked or _ODD.search(text):
+        if not self.chunked or (_ODD_ASCII if text.isascii() else _ODD).search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        if not text or text[0].isspace() or text[-1].isspace() or any(run in text for run in _RUNS):
+            return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and not c[1].isspace() else self.spaced(c) for c in _CHUNK.findall(text)])
+        return b"".join(map(self.__getitem__, ("\0" + text.replace("\n", " \n")).split(" ")))
+
+    def spaced(self, chunk: str) -> bytes:
+        """Ids of a chunk that no blank leads."""
+        return b"".join(map(self.part, _PART.findall(chunk)))
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
@@ -98,7 +125,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     fields = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = chunk_ids(Chunks, tokenizer_path, dtype)
+        # Each task begins anew, so that its time does not hang on what its worker did before.
+        known = Chunks(tokenizer_path, dtype)
         end = np.asarray([end_id], dtype=dtype).tobytes()
         for batch in batches:
             made: tuple[list, ...] = tuple([] for _ in fields)

@@ -111,3 +111,15 @@ def test_query_and_empty_table(spark, tmp_path):
     found = op13_best_fit_packing(spark, str(tmp_path))
     assert found.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
     assert found.count() == 0
+
+
+def test_a_word_goes_to_the_vocabulary_once_whatever_stands_beside_it():
+    """Each chunk's word went there again with every mark and line end around it."""
+    fast, asked = Chunks(PATH, "<u4"), []
+    plain = fast.made
+    fast.made = lambda part: asked.append(part) or plain(part)
+    text = "so wrende. The wrende, wrende wrende\nwrende (wrende) end"
+    assert fast.of(text) == fast.whole(text)
+    assert asked.count(" wrende") == 1 and len(asked) == len(set(asked)) + asked.count("wrende") - 1
+    for odd in ("", " ", "\n", "a  b", " a\n\n b\t", "a \n", "it's 's", "\x00a b", "a\x1cb c", "x\n y", "é a b"):
+        assert fast.of(odd) == fast.whole(odd), repr(odd)
