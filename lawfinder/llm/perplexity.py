@@ -88,12 +88,48 @@ def windows(codes: np.ndarray, order: int) -> np.ndarray:
 
 def keys(codes: np.ndarray, at: np.ndarray, length: int, tag: int) -> np.ndarray:
     """Hashes of the runs of ``length`` symbols at given places."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for i in range(length):
-        out = out * _ROLL + codes[at + i].astype(np.uint64)
+    if length and len(at) > len(codes) // 2:  # of nearly all places: over the whole row of symbols first
+        each, n = codes.astype(np.uint64), len(codes) - length + 1
+        whole = each[:n].copy()
+        for i in range(1, length):
+            whole *= _ROLL
+            whole += each[i : i + n]
+        out = whole[at]
+    else:
+        out = np.zeros(len(at), dtype=np.uint64)
+        for i in range(length):
+            out = out * _ROLL + codes[at + i].astype(np.uint64)
     return mixed(out + np.uint64((tag + length) * 0xD1B54A32D192ED03 % (1 << 64))).view(np.int64)
 
 
+def gram_counts(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of ``order`` symbols inside texts, and how often each occurs."""
+    at = windows(codes, order)
+    used = np.flatnonzero(np.bincount(codes, minlength=1))
+    size = max(2, len(used))
+    if size**order < 1 << 63:
+        # Few enough symbols: a run is one whole number, and plain numbers sort much faster than places do.
+        rank = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
+        rank[used] = np.arange(len(used))
+        ranks, n = rank[codes], max(0, len(codes) - order + 1)
+        packed = np.zeros(n, dtype=np.int64)
+        for i in range(order):
+            packed *= size
+            packed += ranks[i : i + n]
+        packed = np.sort(packed[at])
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(packed)), dtype=bool), packed[1:] != packed[:-1]]))
+        times = np.diff(np.append(first, len(packed)))
+        left, symbols_of = packed[first], []
+        for _ in range(order):
+            left, last = np.divmod(left, size)
+            symbols_of.append(used[last] if len(used) else last)
+        runs = np.column_stack(symbols_of[::-1])
+    else:
+        _, first, times = np.unique(keys(codes, at, order, 0), return_index=True, return_counts=True)
+        runs = codes[at[first][:, None] + np.arange(order)]
+    return np.ascontiguousarray(runs.astype("<u4")).view(f"<U{order}").ravel(), times
+
+
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(model, g, n): how often each n-gram occurs in the documents of a model; counted within tasks first."""
 
@@ -103,9 +139,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
         def counts() -> Iterator[pd.DataFrame]:
             for model, texts in held.items():
                 codes = symbols(texts)
-                at = windows(codes, order)
-                _, first, n = np.unique(keys(codes, at, order, 0), return_index=True, return_counts=True)
-                grams = np.ascontiguousarray(codes[at[first][:, None] + np.arange(order)].astype("<u4")).view(f"<U{order}").ravel()
+                grams, n = gram_counts(codes, order)
                 yield pd.DataFrame({"model": model, "g": grams.astype(object), "n": n})
             held.clear()
 
@@ -180,6 +214,36 @@ def stored(entries: DataFrame) -> tuple[str, int]:
     return path, bits
 
 
+class Segment:
+    """Sorted hashes with values. Hashes are even, so the next bits of one tell where it stands, to a few places."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, bits: int):
+        self.bits, self.own = np.uint64(bits), max(1, (len(key) - 1).bit_length())
+        self.value = np.append(value, np.float32(0))
+        self.known = np.append(key, np.int64(0))
+        self.first = np.searchsorted(self.place(key), np.arange((1 << self.own) + 1)).astype(np.int32)
+        self.size = self.known.nbytes + self.value.nbytes + self.first.nbytes
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        plain = key.view(np.uint64) ^ np.uint64(1 << 63)
+        return ((plain << self.bits) >> np.uint64(64 - self.own)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 where it has none, and whether it has."""
+        place = self.place(key)
+        at, end = self.first[place], self.first[place + 1]
+        hit = (self.known[at] == key) & (at < end)
+        value = np.where(hit, self.value[at], 0.0)
+        todo = np.flatnonzero(~hit & (at + 1 < end))
+        while len(todo):
+            at[todo] += 1
+            now = at[todo]
+            same = self.known[now] == key[todo]
+            value[todo[same]], hit[todo[same]] = self.value[now[same]], True
+            todo = todo[~same & (now + 1 < end[todo])]
+        return value, hit
+
+
 class Models:
     """Segments of stored models, read when they are first needed; the ones used last stay in memory."""
 
@@ -195,7 +259,7 @@ class Models:
     def shared(path: str, bits: int) -> Models:
         return Models(path, bits)
 
-    def segment(self, model: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, model: str, number: int) -> Segment:
         at = (model, number)
         if at in self.held:
             self.held.move_to_end(at)
@@ -211,12 +275,11 @@ class Models:
         if len(parts) > 1:
             by = np.argsort(key)
             key, value = key[by], value[by]
-        self.held[at] = key, value
-        self.size += key.nbytes + value.nbytes
+        self.held[at] = found = Segment(key, value, self.bits)
+        self.size += found.size
         while self.size > CACHE and len(self.held) > 1:
-            old = self.held.popitem(last=False)[1]
-            self.size -= old[0].nbytes + old[1].nbytes
-        return key, value
+            self.size -= self.held.popitem(last=False)[1].size
+        return found
 
     def find(self, model: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The value of each key, 0 where it has none, and whether it has."""
@@ -224,11 +287,7 @@ class Models:
         value, hit = np.zeros(len(key)), np.zeros(len(key), dtype=bool)
         for number in np.unique(numbers).tolist():
             own = np.flatnonzero(numbers == number) if self.bits else slice(None)
-            known, values = self.segment(model, number)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key[own]), len(known) - 1)
-                hit[own] = known[at] == key[own]
-                value[own] = np.where(hit[own], values[at], 0)
+            value[own], hit[own] = self.segment(model, number).find(key[own])
         return value, hit
 
     def log_probabilities(self, model: str, codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray | None:

@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import lawfinder.llm.perplexity as perplexity
 from lawfinder.llm.perplexity import ORDER, judged, quantiles
 
@@ -133,3 +136,26 @@ def test_band_rejects_labelled_junk(spark):
     out = [r["doc_id"] for r in found if not r["kept"]]
     assert len(found) == 660
     assert sum(i >= 1000 for i in out) >= 54 and sum(i < 1000 for i in out) <= 8
+
+
+@pytest.mark.parametrize("letters", ["abc d", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))])
+def test_runs_are_counted_by_number_and_by_hash(letters):
+    """Against plain counting, for few symbols and for more than a number holds."""
+    texts = ["".join(random.Random(i).choices(letters, k=3000)) for i in range(4)] + ["", letters[:2], letters]
+    want = Counter(t[i : i + 5] for t in texts for i in range(len(t) - 4))
+    grams, times = perplexity.gram_counts(perplexity.symbols(texts), 5)
+    assert dict(zip(grams.tolist(), times.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_lookups_against_a_dictionary(bits):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5000):
+        key = np.unique(rng.integers(-(2**62), 2**62, n)) if not bits else np.unique(rng.integers(-(2**63), -(2**63) + 2**60, n))
+        value = rng.random(len(key)).astype(np.float32)
+        asked = np.concatenate([key, key + 1, key - 1, rng.permutation(key)]) if n else np.array([0, 7], dtype=np.int64)
+        if bits:
+            asked = asked[(asked >> (64 - bits)) == -4]
+        found, hit = perplexity.Segment(key, value, bits).find(asked)
+        known = dict(zip(key.tolist(), value.tolist(), strict=True))
+        assert hit.tolist() == [k in known for k in asked.tolist()] and found.tolist() == [known.get(k, 0.0) for k in asked.tolist()]
