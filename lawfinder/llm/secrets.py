@@ -40,13 +40,19 @@ from pyspark.sql.window import Window
 
 from .common import bound, table
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Classes that whole texts are scanned for name each symbol: Java looks those up in one table, and goes through ranges
+# one by one, which took eight times as long for the class of all but letters and digits.
+_ALNUM = _DIGITS + _UPPER + _LOWER
+
 # The base patterns. Kinds sort in this order where spans start together.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# The look ahead at the first letter only saves trying each name at each place.
+ASSIGN = r"""(?=[aApPsStT])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = f"[{_DIGITS}abcdef]{{24,}}"
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = f"[{_ALNUM}+/_=-]{{20,}}"
 MASK = "<SECRET>"
 #: Highest estimated share of ordinary strings among those called random.
 RATE = 0.05
@@ -55,10 +61,9 @@ LENGTHS = (32, 48, 96)
 #: Lengths of the ordinary pieces of each class, and how far apart their starts are by default where only some are wanted.
 PIECES, STRIDE = (20, 32, 48, 96), 4096
 BINS = 100
-#: Sum of squares from which on the p-value is under the lowest cut, 1 / BINS.
-FAR_OFF = 16.0
+#: Sums of squares of three and of four tests from which on the p-value is under the lowest cut, 1 / BINS.
+FAR_OFF = (11.4, 13.3)
 
-_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet: pattern of the whole string, and its symbols in order.
 ENCODINGS = (
     ("^[0-9]+$", _DIGITS),
@@ -77,6 +82,8 @@ ENCODINGS = (
 )
 
 
+#: Numbers of the encodings of small letters and of letters alone.
+_SMALL, _LETTERS = 3, 8
 #: Kinds of symbols; all others are one kind too.
 _KINDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
 
@@ -153,12 +160,28 @@ def _near_normal(chi: Column, free: Column) -> Column:
     return (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
 
 
-def _kinds_off(body: Column, held: Column) -> tuple[Column, Column]:
+def _kinds_of(body: Column, own: Column) -> Column:
+    """How many symbols of each kind a string has, and of none; ``own`` is its encoding."""
+    n, none = F.length(body), F.lit(0)
+    # Each letter becomes the first of its kind, so that a kind is counted by one letter.
+    marked = F.translate(body, "".join(_KINDS), "".join(k[0] * len(k) for k in _KINDS))
+    named = bound(marked, lambda m: F.array(*[n - F.length(F.replace(m, F.lit(k[0]))) for k in _KINDS]))
+    every = bound(named, lambda c: F.concat(c, F.array(n - sum((c[k] for k in range(len(_KINDS))), none))))
+    small = bound(F.length(F.regexp_replace(body, f"[{_KINDS[0]}]+", "")), lambda rest: F.array(n - rest, rest, none, none, none))
+    return F.when(own == _SMALL, small).otherwise(every)
+
+
+def _case_off(body: Column, n: Column, held: Column, size: Column) -> Column:
+    """A lower bound of how far the kinds are off, from small letters and all other symbols."""
+    due = n * (held[0] + held[1]) / size
+    others = F.length(F.regexp_replace(body, f"[{_LOWER}]+", ""))
+    return bound(n - others - due, lambda off: off * off / due + off * off / (n - due))
+
+
+def _kinds_off(counts: Column, n: Column, held: Column, size: Column) -> tuple[Column, Column]:
     """How far the kinds of symbols are from the numbers held by the alphabet, and the degrees of freedom."""
-    n, size = F.length(body), _sum(held)
-    named = [n - F.length(F.translate(body, k, "")) for k in _KINDS]
     chi, kinds = F.lit(0.0), F.lit(-1.0)
-    for k, own in enumerate([*named, n - sum(named, F.lit(0))]):
+    for k, own in enumerate(counts[k] for k in range(len(_KINDS) + 1)):
         due = F.greatest(n * held[k] / size, F.lit(1e-9))
         chi += F.when(held[k] > 0, F.pow(own - due, F.lit(2)) / due).otherwise(0.0)
         kinds += F.when(held[k] > 0, 1.0).otherwise(0.0)
@@ -168,69 +191,90 @@ def _kinds_off(body: Column, held: Column) -> tuple[Column, Column]:
 #: How many symbols of each kind, and of none, the encodings' alphabets hold.
 _HELD = [[float(sum(c in k for c in symbols)) for k in _KINDS] + [float(sum(c not in "".join(_KINDS) for c in symbols))] for _, symbols in ENCODINGS]
 
+#: The number of each ASCII symbol in the encodings' alphabets, -1 for those that they do not hold.
+_PLACES = [[float(symbols.find(chr(c))) for c in range(128)] for _, symbols in ENCODINGS]
+
 
 def _body(token: Column) -> Column:
-    return F.regexp_replace(token, "=+$", "")
+    return F.when(token.endswith("="), F.rtrim(token, F.lit("="))).otherwise(token)
 
 
 def encoding(token: Column) -> Column:
     """Number of the smallest encoding that holds ``token``."""
-    found = F.lit(len(ENCODINGS) - 1)
-    for k, (pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
-        found = F.when(_body(token).rlike(pattern), F.lit(k)).otherwise(found)
-    return found
+    def first(numbers: list[int]) -> Column:
+        found = F.lit(numbers[-1])
+        for k in reversed(numbers[:-1]):
+            found = F.when(_body(token).rlike(ENCODINGS[k][0]), F.lit(k)).otherwise(found)
+        return found
 
+    # Most strings are letters alone, which few encodings need be tried for.
+    return F.when(_body(token).rlike(ENCODINGS[_LETTERS][0]), first([1, 2, 3, 4, _LETTERS])).otherwise(first(list(range(len(ENCODINGS)))))
 
-def randomness(token: Column, whole: bool = True) -> Column:
-    """p-value of the hypothesis that the symbols of ``token`` are random in its encoding.
+
+def randomness(token: Column, whole: bool = True, own: Column | None = None) -> Column:
+    """p-value of the hypothesis that the symbols of ``token`` are random in its encoding, ``own`` where that is known.
 
     Unless ``whole``, tests end where those done put the p-value under 1 / BINS already, and 0 is given.
     """
     body = _body(token)
-    of_encoding = lambda values, e: F.element_at(F.lit(values) if isinstance(values[0], str) else F.array(*[F.array(*map(F.lit, v)) for v in values]), e + 1)
+    of_encoding = lambda values, e: F.element_at(F.lit(values), e + 1)
 
     def tested(v: Column) -> Column:
-        n, size = F.length(v["body"]).cast("double"), F.length(v["alphabet"]).cast("double")
+        n, size = v["n"], v["size"]
         square = lambda z: z * z
-        chi, kinds = _kinds_off(v["body"], v["held"])
-        mixed = bound(F.struct(chi.alias("chi"), kinds.alias("free")), lambda k: F.when(k["free"] > 0, square(_near_normal(k["chi"], k["free"]))).otherwise(0.0))
+        mixed_kinds = F.array_max(v["held"]) < size
         shifted = lambda x: (F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1))
 
+        def mixed(counts: Column) -> Column:
+            chi, kinds = _kinds_off(counts, n, v["held"], size)
+            return bound(F.struct(chi.alias("chi"), kinds.alias("free")), lambda k: F.when(k["free"] > 0, square(_near_normal(k["chi"], k["free"]))).otherwise(0.0))
+
         def runs(above: Column) -> Column:
             changes = _sum(F.zip_with(*shifted(above), lambda a, b: (a != b).cast("double")))
-            want = 1 + 2 * _sum(above) * (n - _sum(above)) / n
+            want = bound(_sum(above), lambda high: 1 + 2 * high * (n - high) / n)
             return bound(want, lambda w: (1 + changes - w) / F.sqrt(F.greatest((w - 1) * (w - 2) / (n - 1), F.lit(1e-9))))
 
         def drift(off: Column) -> Column:
-            both = _sum(F.zip_with(*shifted(off), lambda a, b: a * b)) / F.greatest(_sum(F.transform(off, lambda r: r * r)), F.lit(1e-9))
+            both = _sum(F.zip_with(*shifted(off), lambda a, b: a * b)) / F.greatest(F.aggregate(off, F.lit(0.0), lambda a, r: a + r * r), F.lit(1e-9))
             return (both + 1 / n) * F.sqrt(n)
 
-        def in_order(chars: Column) -> Column:
-            def parts(x: Column) -> Column:
-                one = bound(F.transform(x, lambda r: (r >= size / 2).cast("double")), runs)
-                two = bound(_sum(x) / n, lambda m: bound(F.transform(x, lambda r: r - m), drift))
-                return square(one) + square(two)
-
-            return bound(F.transform(chars, lambda c: (F.position(c, v["alphabet"]) - 1).cast("double")), parts)
-
         def spread(chars: Column) -> Column:
             # symbols that do not occur add nothing
             squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + square(n - F.length(F.replace(v["body"], c))))
             return square(_near_normal(squares * size / n - n, size - 1))
 
         def below(total: Column) -> Column:
-            return 1 - bound(_near_normal(total, F.when(F.array_max(v["held"]) < size, 4.0).otherwise(3.0)), normal_below)
+            return 1 - bound(_near_normal(total, F.when(mixed_kinds, 4.0).otherwise(3.0)), normal_below)
+
+        def ended(done: Column, on: Column) -> Column:
+            return on if whole else F.when(done >= F.when(mixed_kinds, FAR_OFF[1]).otherwise(FAR_OFF[0]), 0.0).otherwise(on)
+
+        def sooner(on: Column) -> Column:
+            # merged kinds are never further off than all, and that is quickly seen
+            least = bound(_near_normal(_case_off(v["body"], n, v["held"], size), F.lit(float(len(_KINDS) - 1))), lambda z: F.greatest(z, F.lit(0.0)))
+            return on if whole else F.when((v["own"] == _LETTERS) & (bound(least, square) >= FAR_OFF[1]), 0.0).otherwise(on)
 
-        def ended(done: Column, on: Callable[[Column], Column]) -> Column:
-            return on(done) if whole else F.when(done >= FAR_OFF, 0.0).otherwise(on(done))
+        def in_order(done: Column, chars: Column) -> Column:
+            def last(x: Column, one: Column) -> Column:
+                two = bound(_sum(x) / n, lambda m: bound(F.transform(x, lambda r: r - m), drift))
+                return ended(done + one, bound(done + (one + square(two)), below))
+
+            def parts(x: Column) -> Column:
+                one = bound(F.transform(x, lambda r: (r >= size / 2).cast("double")), runs)
+                return bound(square(one), lambda o: last(x, o))
+
+            return bound(F.transform(chars, lambda c: F.coalesce(F.get(v["places"], F.ascii(c)), F.lit(-1.0))), parts)
 
         def rest(first: Column) -> Column:
-            return bound(F.split(v["body"], ""), lambda chars: bound(first + spread(chars), lambda done: ended(done, lambda d: bound(d + in_order(chars), below))))
+            return bound(F.split(v["body"], ""), lambda chars: bound(first + spread(chars), lambda done: ended(done, in_order(done, chars))))
 
-        return F.when(n < 16, F.lit(0.0)).otherwise(bound(mixed, lambda first: ended(first, rest)))
+        return F.when(n < 16, F.lit(0.0)).otherwise(sooner(bound(bound(_kinds_of(v["body"], v["own"]), mixed), lambda first: ended(first, rest(first)))))
 
-    whose = lambda e: F.struct(body.alias("body"), of_encoding([symbols for _, symbols in ENCODINGS], e).alias("alphabet"), of_encoding(_HELD, e).alias("held"))
-    return bound(encoding(token), lambda e: bound(whose(e), tested))
+    whose = lambda b, e: F.struct(
+        b.alias("body"), e.alias("own"), F.length(b).cast("double").alias("n"), of_encoding(_PLACES, e).alias("places"),
+        of_encoding([float(len(symbols)) for _, symbols in ENCODINGS], e).alias("size"), of_encoding(_HELD, e).alias("held"),
+    )
+    return bound(encoding(token) if own is None else own, lambda e: bound(body, lambda b: bound(whose(b, e), tested)))
 
 
 def length_class(token: Column) -> Column:
@@ -269,7 +313,7 @@ def ordinary_pieces(text: Column, stride: int = STRIDE) -> Column:
     With the sum of ``PIECES`` as stride they follow each other and are the whole text, but for ends too short to be tested.
     """
     # Assignments go first, else a string right before one would take its name along and leave its value.
-    plain = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), f"{CANDIDATE}|[^A-Za-z0-9]+", "")
+    plain = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), f"{CANDIDATE}|[^{_ALNUM}]+", "")
     each = sum(PIECES)
     runs = F.regexp_extract_all(plain, F.lit(f"(.{{{PIECES[0]},{each}}}).{{0,{stride - each}}}"), F.lit(1))
     starts = [1 + sum(PIECES[:k]) for k in range(len(PIECES))]
@@ -284,8 +328,8 @@ def length_cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], fl
     both = F.concat(marked(F.transform("more", lambda s: s["hit"]), True), marked(ordinary_pieces(text, sum(PIECES)), False))
     # An outer explode, as before a plain one Spark adds a filter that finds all spans once more.
     hits = candidates(docs.select("text"), "base", "more").select(F.explode_outer(both).alias("h")).select("h.*").where("hit is not null").distinct()
-    value = F.least(F.floor(randomness(F.col("hit"), whole=False) * BINS), F.lit(BINS - 1)).cast("int")
-    binned = hits.select("own", length_class(F.col("hit")).alias("cls"), encoding(F.col("hit")).alias("enc"), value.alias("bin"))
+    value = F.least(F.floor(randomness(F.col("hit"), whole=False, own=F.col("enc")) * BINS), F.lit(BINS - 1)).cast("int")
+    binned = hits.withColumn("enc", encoding(F.col("hit"))).select("own", length_class(F.col("hit")).alias("cls"), "enc", value.alias("bin"))
     many = lambda of: F.count(F.when(of, F.lit(1)))
     counts = binned.groupBy("cls", "enc", "bin").agg(many(F.col("own")).alias("tested"), many(~F.col("own")).alias("ordinary"))
     whole, down = Window.partitionBy("cls"), Window.partitionBy("cls").orderBy(F.desc("bin"))

@@ -193,3 +193,39 @@ def test_digest_and_empty_table(spark, tmp_path):
     assert found[1]["base_sha256"] == hashlib.sha256(brute(texts()[3]).encode()).hexdigest()
     assert (found[1]["n_assign"], found[1]["n_access"], found[1]["n_hex"]) == (1, 0, 1)
     assert op7_secret_scans(spark, f"{tmp_path}/b").count() == 0
+
+
+def mixed_strings(rng):
+    """Random, ordinary and half ordinary strings of every encoding, with padding."""
+    out = [prose(rng).replace(" ", "")[:n] for n in PIECES for _ in range(40)]
+    out += [s.upper() for s in out[::4]] + [s.title() for s in out[::3]]
+    out += ["".join(c.upper() if rng.random() < 0.3 else c for c in s) for s in out[:120]]
+    out += ["".join(rng.choice(a) for _ in range(n)) for a in ALPHABETS.values() for n in PIECES for _ in range(8)]
+    return out + [s + "=" for s in out[::5]] + ["=" * 20, "a=b" * 9, "A+/-_=" * 8]
+
+
+def test_strings_are_tested_once_and_no_longer_than_their_bin_needs(spark):
+    """Bins and encodings are those of all tests; what lies under the lowest cut mostly ends early, and kinds are counted in one pass."""
+    strings = mixed_strings(random.Random(23))
+    s = F.col("s")
+    given = spark.createDataFrame([(x,) for x in strings], "s string").withColumn("e", secrets.encoding(s))
+    rows = given.select("s", "e", secrets.randomness(s).alias("a"), secrets.randomness(s, whole=False).alias("b"), secrets.randomness(s, whole=False, own=F.col("e")).alias("c")).collect()
+    assert [r["e"] for r in rows] == [next(k for k, (p, _) in enumerate(secrets.ENCODINGS) if re.search(p, r["s"].rstrip("="))) for r in rows]
+    assert all(r["b"] == r["c"] and int(r["a"] * secrets.BINS) == int(r["b"] * secrets.BINS) for r in rows)
+    low = [r for r in rows if r["a"] < 1 / secrets.BINS]
+    assert len(low) > 200 and sum(r["b"] > 0 for r in low) <= 0.1 * len(low)
+    assert str(secrets.randomness(s)).count("translate(") == 1
+
+
+def test_scans_name_their_symbols_and_find_the_same(spark):
+    rng = random.Random(29)
+    symbols = "abcxyzABCXYZ0189+/_=-  .,:;é𝄞\n@[`{"
+    texts = ["".join(rng.choice(symbols[: rng.choice([18, 24, len(symbols)])]) for _ in range(300)) for _ in range(60)] + ["x" * 19, "x" * 20, "token: abc " + "y" * 30]
+    t = F.col("t")
+    frame = spark.createDataFrame([(x,) for x in texts], "t string")
+    for r in frame.select("t", ordinary_pieces(t, sum(PIECES)).alias("p"), secrets.matches(t, secrets.CANDIDATE, "random").alias("m")).collect():
+        assert [(m["start"], m["end"]) for m in r["m"]] == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", r["t"])]
+        plain = re.sub(r"[A-Za-z0-9+/_=-]{20,}|[^A-Za-z0-9]+", "", ASSIGN.sub(" ", r["t"]))
+        assert "".join(r["p"]) == plain[: len("".join(r["p"]))] and len(plain) - len("".join(r["p"])) < PIECES[0]
+    # a negated class of ranges took Java eight times as long over whole texts
+    assert "[^A-Z" not in str(ordinary_pieces(t)) and "[^a-z" not in str(ordinary_pieces(t)) and "A-Z" not in secrets.CANDIDATE
